@@ -1 +1,8 @@
 """Source-corpus analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Arrow functions travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
