@@ -69,24 +69,20 @@ def stripped_length(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
+def _windows(text: Column, width: int) -> Column:
+    """All overlapping windows of ``width`` characters, found in one regex pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-character windows of the space-collapsed text."""
-    t = collapse_space(text)
-    return F.when(
-        F.length(t) >= k,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k)))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_windows(collapse_space(text), k))
 
 
 def char_trigrams(text: Column) -> Column:
     """3-character windows with repeats; short text yields itself once."""
     t = word_chars(text)
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))),
-        lambda i: F.substring(t, i, F.lit(3)),
-    )
+    return F.when(F.length(t) >= 3, _windows(t, 3)).otherwise(F.array(t))
 
 
 def refactor_prompt(code: Column) -> Column:
@@ -99,12 +95,25 @@ def error_text(errors: Column) -> Column:
     return F.when(F.size(errors) > 0, F.left(F.array_join(errors, "; "), F.lit(MAX_ERROR_CHARS)))
 
 
+def _thousands(count: Column) -> Column:
+    """``count / 1000`` to one decimal, rounded on the quotient's exact binary value.
+
+    Its fraction times 2**52 is a whole number, so tenths come out of integer
+    arithmetic, with halves going up.
+    """
+    quotient = count / F.lit(1000.0)
+    whole = F.floor(quotient)
+    fraction = ((quotient - whole) * F.lit(2.0**52)).cast("bigint")
+    tenths = whole * 10 + F.shiftright(fraction * 10 + 2**51, 52)
+    return F.concat(F.floor(tenths / 10).cast("bigint"), F.lit("."), tenths % 10, F.lit("K"))
+
+
 def humanize(value: Column, is_loc: bool = False) -> Column:
     """Display text: 'N/A' for null, '1.2K' for large line counts, else grouped digits."""
     grouped = F.regexp_replace(F.format_number(value.cast("double"), 3), r"\.?0+$", "")
     shown = F.when(value.isNull(), "N/A")
     if is_loc:
-        shown = shown.when(value > 1000, F.concat(F.format_string("%.1f", value / F.lit(1000.0)), F.lit("K")))
+        shown = shown.when(value > 1000, _thousands(value))
     return shown.otherwise(grouped)
 
 

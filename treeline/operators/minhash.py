@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from treeline.functions.text import collapse_space
+from treeline.functions.text import collapse_space, shingles
 from treeline.operators.buckets import bucket_pairs
 from treeline.session import materialize
 
@@ -81,14 +81,11 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def signatures(
-    docs: DataFrame, id_col: str, text_col: str, num_perm: int = 128, k: int = 5
-) -> DataFrame:
-    """``id, signature`` of every document with at least one shingle."""
-    usable = docs.select(
-        F.col(id_col).alias("id"), collapse_space(F.col(text_col)).alias("t")
-    ).where(F.length("t") >= k)
-    id_type = usable.schema["id"].dataType
+def signatures(docs: DataFrame, num_perm: int = 128, k: int = 5) -> DataFrame:
+    """``scope, id, signature`` of every row of ``scope, id, text`` with a shingle."""
+    usable = docs.select("scope", "id", collapse_space(F.col("text")).alias("t")).where(
+        F.length("t") >= k
+    )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = SlotMinima(num_perm)
@@ -96,11 +93,12 @@ def signatures(
             signed = [minima(shingle_hashes(t.as_py(), k)) for t in batch.column("t")]
             matrix = np.array(signed, dtype=np.int32).reshape(-1, num_perm)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), _fixed_lists(matrix, pa.int32())], ["id", "signature"]
+                [batch.column("scope"), batch.column("id"), _fixed_lists(matrix, pa.int32())],
+                ["scope", "id", "signature"],
             )
 
     schema = T.StructType([
-        T.StructField("id", id_type), T.StructField("signature", T.ArrayType(T.IntegerType())),
+        *usable.schema.fields[:2], T.StructField("signature", T.ArrayType(T.IntegerType())),
     ])
     return usable.mapInArrow(sign, schema)
 
@@ -111,22 +109,22 @@ def signature_classes(signed: DataFrame) -> DataFrame:
     Everything after works on these rows, so a group of copies of any size
     counts once and is never paired out.
     """
-    return signed.groupBy("signature").agg(
+    return signed.groupBy("scope", "signature").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
 
 
 def copies(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each further copy and the document that stands for it: ``id, representative``.
+    """Each further copy and the document that stands for it: ``scope, id, representative``.
 
     One side has one row per signature; AQE may split the other on a hot one.
     """
     repeated = classes.where(F.col("copies") > 1).select(
-        "signature", F.col("id").alias("representative")
+        "scope", "signature", F.col("id").alias("representative")
     )
-    return signed.join(repeated, "signature").where(
+    return signed.join(repeated, ["scope", "signature"]).where(
         F.col("id") != F.col("representative")
-    ).select("id", "representative")
+    ).select("scope", "id", "representative")
 
 
 def allowed_misses(threshold: float, num_perm: int) -> int:
@@ -141,7 +139,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int = 128) -> DataFrame:
-    """``id, key, spare`` rows; signatures within the threshold meet on some key.
+    """``scope, id, key, spare`` rows; signatures within the threshold meet on some key.
 
     With m misses allowed, slots fall into m // 2 + 1 blocks, so two signatures
     within the threshold differ in at most one slot of some block. A block gives
@@ -153,7 +151,7 @@ def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int =
     edges = np.linspace(0, num_perm, blocks + 1).astype(int)
     block_of = np.repeat(np.arange(blocks), np.diff(edges))
     salt = _mix(np.arange(1, num_perm + 1, dtype=np.uint64) << np.uint64(32))
-    id_type = classes.schema["id"].dataType
+    rows = classes.select("scope", "id", "signature")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,29 +161,25 @@ def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int =
             rest = _mix((whole[:, block_of] - parts) ^ salt)
             keys = np.concatenate([_mix(whole), rest], axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("signature"), _fixed_lists(keys, pa.int64())],
-                ["id", "signature", "keys"],
+                [*batch.columns, _fixed_lists(keys, pa.int64())], [*batch.schema.names, "keys"]
             )
 
-    schema = T.StructType([
-        T.StructField("id", id_type), T.StructField("signature", T.ArrayType(T.IntegerType())),
-        T.StructField("keys", T.ArrayType(T.LongType())),
-    ])
+    schema = T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
     return (
-        classes.select("id", "signature").mapInArrow(keyed, schema)
-        .select("id", "signature", F.posexplode("keys").alias("slot", "key"))
-        .select("id", "key", F.get("signature", F.col("slot") - blocks).alias("spare"))
+        rows.mapInArrow(keyed, schema)
+        .select("scope", "id", "signature", F.posexplode("keys").alias("slot", "key"))
+        .select("scope", "id", "key", F.get("signature", F.col("slot") - blocks).alias("spare"))
     )
 
 
 def candidates(classes: DataFrame, threshold: float = 0.85, num_perm: int = 128) -> DataFrame:
-    """Distinct pairs ``id_a < id_b`` that share a key."""
+    """Distinct pairs ``scope, id_a, id_b`` that share a key, ``id_a < id_b``."""
     keyed = candidate_keys(classes, threshold, num_perm)
-    met = bucket_pairs(keyed, ["key"], "id").where(
+    met = bucket_pairs(keyed, ["scope", "key"], "id").where(
         F.col("a_spare").isNull() | (F.col("a_spare") != F.col("b_spare"))
     )
     return met.select(
-        F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b")
+        "scope", F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b")
     ).distinct()
 
 
@@ -195,71 +189,94 @@ def with_similarity(
     """Add ``similarity``, the share of equal slots, and both sides' ``copies``."""
     def side(s: str) -> DataFrame:
         return classes.select(
-            F.col("id").alias(f"id_{s}"), F.col("signature").alias(f"signature_{s}"),
+            "scope", F.col("id").alias(f"id_{s}"), F.col("signature").alias(f"signature_{s}"),
             F.col("copies").alias(f"copies_{s}"),
         )
 
-    joined = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
-    id_type = classes.schema["id"].dataType
+    kept = ["scope", "id_a", "id_b", "copies_a", "copies_b"]
+    joined = pairs.join(side("a"), ["scope", "id_a"]).join(side("b"), ["scope", "id_b"]).select(
+        *kept, "signature_a", "signature_b"
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             equal = _matrix(batch.column("signature_a"), num_perm) == _matrix(
                 batch.column("signature_b"), num_perm
             )
-            kept = ["id_a", "id_b", "copies_a", "copies_b"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(equal.sum(axis=1) / num_perm)],
                 [*kept, "estimate"],
             )
 
     schema = T.StructType([
-        T.StructField("id_a", id_type), T.StructField("id_b", id_type),
-        T.StructField("copies_a", T.LongType()), T.StructField("copies_b", T.LongType()),
-        T.StructField("estimate", T.DoubleType()),
+        *joined.schema.fields[: len(kept)], T.StructField("estimate", T.DoubleType()),
     ])
     return joined.mapInArrow(compare, schema)
 
 
 @dataclass(frozen=True)
 class Duplicates:
-    """``pairs(id_a,id_b,similarity,copies_a,copies_b)`` between signature classes and
-    ``copies(id,representative)`` inside them; together every duplicate pair."""
+    """``pairs(scope,id_a,id_b,similarity,copies_a,copies_b)`` between signature classes
+    and ``copies(scope,id,representative)`` inside them; together every duplicate pair."""
 
+    docs: DataFrame
     pairs: DataFrame
     copies: DataFrame
     classes: DataFrame
     threshold: float
     k: int
 
-    def stats(self, docs: DataFrame) -> DataFrame:
-        """One row of counts. A pair of classes stands for the product of their
+    def stats(self) -> DataFrame:
+        """Counts per scope. A pair of classes stands for the product of their
         copies, a class of n copies for n(n-1)/2 pairs; no pair is written out."""
-        n = F.col("copies")
-        inside = self.classes.agg(F.coalesce(F.sum(F.expr("copies * (copies - 1) div 2")), F.lit(0)).alias("p"))
-        across = self.pairs.agg(
-            F.coalesce(F.sum(F.col("copies_a") * F.col("copies_b")), F.lit(0)).alias("p")
+        counts = (
+            self.docs.select("scope", F.lit(1).alias("files"), F.lit(0).cast("bigint").alias("found"))
+            .unionByName(self.classes.select(
+                "scope", F.lit(0).alias("files"), F.expr("copies * (copies - 1) div 2").alias("found")
+            ))
+            .unionByName(self.pairs.select(
+                "scope", F.lit(0).alias("files"), (F.col("copies_a") * F.col("copies_b")).alias("found")
+            ))
         )
-        found = inside.unionByName(across).agg(F.sum("p").alias("duplicate_pairs_found"))
-        analyzed = docs.agg(F.count(F.lit(1)).alias("files_analyzed"))
-        return analyzed.join(found, F.lit(True)).select(
-            "files_analyzed", "duplicate_pairs_found",
+        return counts.groupBy("scope").agg(
+            F.sum("files").alias("files_analyzed"), F.sum("found").alias("duplicate_pairs_found"),
             F.lit(self.threshold).alias("similarity_threshold"), F.lit(self.k).alias("shingle_size_k"),
         )
 
 
+def scoped(docs: DataFrame, id_col: str, text_col: str, scope_col: str | None = None) -> DataFrame:
+    """``scope, id, text``; duplicates are looked for inside one scope only."""
+    scope = F.lit("") if scope_col is None else F.col(scope_col)
+    return docs.select(scope.alias("scope"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
 def duplicates(
-    docs: DataFrame, id_col: str, text_col: str,
-    threshold: float = 0.85, num_perm: int = 128, k: int = 5,
+    docs: DataFrame, threshold: float = 0.85, num_perm: int = 128, k: int = 5
 ) -> Duplicates:
-    """All pairs of documents whose estimated similarity reaches ``threshold``.
+    """All pairs of ``scope, id, text`` rows whose estimated similarity reaches ``threshold``.
 
-    Signatures are written once to the shared folder; texts are not read again.
+    Signatures and pairs are written once to the shared folder; texts are read once.
     """
-    signed = materialize(signatures(docs, id_col, text_col, num_perm, k), "signatures")
-    classes = signature_classes(signed)
+    signed = materialize(signatures(docs, num_perm, k), "signatures")
+    classes = materialize(signature_classes(signed), "signature-classes")
     scored = with_similarity(candidates(classes, threshold, num_perm), classes, num_perm)
     pairs = scored.where(F.col("estimate") >= threshold).select(
-        "id_a", "id_b", F.round("estimate", 4).alias("similarity"), "copies_a", "copies_b"
+        "scope", "id_a", "id_b", F.round("estimate", 4).alias("similarity"), "copies_a", "copies_b"
+    )
+    return Duplicates(
+        docs, materialize(pairs, "duplicate-pairs"), copies(signed, classes), classes, threshold, k
+    )
+
+
+def exact_jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """Add ``jaccard``, the true overlap of both texts' shingle sets."""
+    def side(s: str) -> DataFrame:
+        return docs.select(
+            "scope", F.col("id").alias(f"id_{s}"), shingles(F.col("text"), k).alias(f"set_{s}")
+        )
+
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return (
+        pairs.join(side("a"), ["scope", "id_a"]).join(side("b"), ["scope", "id_b"])
+        .select(*pairs.columns, (shared / (F.size("set_a") + F.size("set_b") - shared)).alias("jaccard"))
     )
-    return Duplicates(pairs, copies(signed, classes), classes, threshold, k)

@@ -87,27 +87,26 @@ def _partition_top(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarra
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shipped.value
-        best_score = np.empty((len(names), 0))
-        best_id = np.empty((len(names), 0), dtype=object)
+        best_score = best_id = None
         for batch in batches:
+            ids = np.array(batch.column("id").to_pylist())
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            scores = matrix @ flat.reshape(-1, width).astype(np.float64).T
-            ids = np.array(batch.column("id").to_pylist(), dtype=object)
-            # rows in id order, then a stable sort, so ties go to the smaller id
+            # rows in id order and a stable sort: ties go to the smaller id
             order = np.argsort(ids, kind="stable")
-            best_score = np.hstack([best_score, scores[:, order].round(6)])
-            best_id = np.hstack([best_id, np.broadcast_to(ids[order], scores.shape)])
-            if best_score.shape[1] > k:
-                top = np.array([
-                    np.lexsort((row_ids, -row))[:k] for row, row_ids in zip(best_score, best_id)
-                ])
-                best_score = np.take_along_axis(best_score, top, axis=1)
-                best_id = np.take_along_axis(best_id, top, axis=1)
-        count = best_score.shape[1]
-        if count:
+            rows = flat.reshape(-1, width)[order].astype(np.float64)
+            scores = (matrix @ rows.T).round(6)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            score, name = np.take_along_axis(scores, top, axis=1), ids[order][top]
+            if best_score is not None:
+                score, name = np.hstack([best_score, score]), np.hstack([best_id, name])
+                top = np.lexsort((name, -score), axis=1)[:, :k]
+                score = np.take_along_axis(score, top, axis=1)
+                name = np.take_along_axis(name, top, axis=1)
+            best_score, best_id = score, name
+        if best_score is not None:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(names, count).tolist()),
+                    pa.array(np.repeat(names, best_score.shape[1])),
                     pa.array(best_id.ravel().tolist()),
                     pa.array(best_score.ravel()),
                 ],

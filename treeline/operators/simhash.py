@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -58,10 +57,10 @@ class Fingerprints:
         return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, fingerprint`` of every document that is not blank."""
-    usable = docs.where(~is_blank(F.col(text_col))).select(
-        F.col(id_col).alias("id"), word_chars(F.col(text_col)).alias("t")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``scope, id, fingerprint`` of every ``scope, id, text`` row that is not blank."""
+    usable = docs.where(~is_blank(F.col("text"))).select(
+        "scope", "id", word_chars(F.col("text")).alias("t")
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,19 +68,17 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             signed = [fingerprint(t.as_py()) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(signed, pa.int64())], ["id", "fingerprint"]
+                [batch.column("scope"), batch.column("id"), pa.array(signed, pa.int64())],
+                ["scope", "id", "fingerprint"],
             )
 
-    schema = T.StructType([
-        T.StructField("id", usable.schema["id"].dataType),
-        T.StructField("fingerprint", T.LongType()),
-    ])
+    schema = T.StructType([*usable.schema.fields[:2], T.StructField("fingerprint", T.LongType())])
     return usable.mapInArrow(sign, schema)
 
 
 def fingerprint_classes(signed: DataFrame) -> DataFrame:
     """Documents with one fingerprint as a single row: smallest ``id`` and ``copies``."""
-    return signed.groupBy("fingerprint").agg(
+    return signed.groupBy("scope", "fingerprint").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
 
@@ -109,97 +106,89 @@ def near_pairs(classes: DataFrame, max_distance: int = 3, agreeing: int = 3) ->
     masks = [_signed(m) for m in _masks(max_distance, agreeing)]
     fingerprint = F.col("fingerprint")
     keys = F.array(*[fingerprint.bitwiseAND(F.lit(m)) for m in masks])
-    rows = classes.select("id", "copies", "fingerprint", F.posexplode(keys).alias("mask", "key"))
+    rows = classes.select("scope", "id", "fingerprint", F.posexplode(keys).alias("mask", "key"))
     differing = F.col("a_fingerprint").bitwiseXOR(F.col("b_fingerprint"))
     first: Column = F.lit(-1)
     for i in reversed(range(len(masks))):
         first = F.when(differing.bitwiseAND(F.lit(masks[i])) == 0, i).otherwise(first)
-    swap = F.col("a_id") > F.col("b_id")
     return (
-        bucket_pairs(rows, ["mask", "key"], "id")
+        bucket_pairs(rows, ["scope", "mask", "key"], "id")
         .where((F.bit_count(differing) <= max_distance) & (F.col("mask") == first))
         .select(
-            F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"),
+            "scope", F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"),
             F.bit_count(differing).alias("distance"),
-            F.when(swap, F.col("b_copies")).otherwise(F.col("a_copies")).alias("copies_a"),
-            F.when(swap, F.col("a_copies")).otherwise(F.col("b_copies")).alias("copies_b"),
         )
     )
 
 
 def claimed_by_leaders(pairs: DataFrame) -> DataFrame:
-    """Leader of every claimed id: ``leader, id``.
+    """Leader of every claimed id: ``scope, id, leader``.
 
     Ids are visited in order; one not yet claimed leads and claims its unclaimed
     neighbours. That outcome does not need the visit: an id with no undecided
     smaller neighbour leads, its neighbours are claimed, and what remains is
     decided in the next round. A claimed id belongs to its smallest leader.
     """
-    spark = pairs.sparkSession
-    edges = materialize(pairs.select("id_a", "id_b"), "near-edges")
-    claimed: list[DataFrame] = []
+    edges = materialize(pairs.select("scope", "id_a", "id_b"), "near-edges")
+
+    def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+        return rows.join(ids.withColumnRenamed("id", column), ["scope", column], "left_anti")
+
+    claimed = edges.select("scope", F.col("id_b").alias("id")).limit(0)
     undecided = edges
     while not undecided.isEmpty():
-        leading = undecided.select("id_a").distinct().join(
-            undecided.select(F.col("id_b").alias("id_a")).distinct(), "id_a", "left_anti"
-        )
+        larger = undecided.select("scope", F.col("id_b").alias("id")).distinct()
         newly = materialize(
-            undecided.join(leading, "id_a").select(F.col("id_b").alias("id")).distinct(), "claimed"
+            without(undecided, "id_a", larger).select("scope", F.col("id_b").alias("id")).distinct(),
+            "claimed",
         )
-        claimed.append(newly)
+        claimed = claimed.unionByName(newly)
         undecided = materialize(
-            undecided.join(newly.select(F.col("id").alias("id_a")), "id_a", "left_anti")
-            .join(newly.select(F.col("id").alias("id_b")), "id_b", "left_anti"),
-            "undecided-edges",
+            without(without(undecided, "id_a", newly), "id_b", newly), "undecided-edges"
         )
-    none = spark.createDataFrame([], T.StructType([T.StructField("id", edges.schema["id_a"].dataType)]))
-    followers = reduce(DataFrame.unionByName, claimed, none)
-    return (
-        edges.join(followers.select(F.col("id").alias("id_a")), "id_a", "left_anti")
-        .groupBy(F.col("id_b").alias("id"))
-        .agg(F.min("id_a").alias("leader"))
-        .select("leader", "id")
+    return without(edges, "id_a", claimed).groupBy("scope", F.col("id_b").alias("id")).agg(
+        F.min("id_a").alias("leader")
     )
 
 
 @dataclass(frozen=True)
 class Groups:
-    """``members(leader,id)``: every duplicate and the document that leads its group."""
+    """``members(scope,leader,id)``: every duplicate and the document that leads its group."""
 
-    members: DataFrame
     signed: DataFrame
+    members: DataFrame
     max_distance: int
 
     def stats(self) -> DataFrame:
-        """One row of counts, with the parameter echoed."""
-        groups = self.members.agg(F.count_distinct("leader").alias("duplicate_groups_found"))
-        return self.signed.agg(F.count(F.lit(1)).alias("files_analyzed")).join(
-            groups, F.lit(True)
-        ).withColumn("hamming_distance_k", F.lit(self.max_distance))
+        """Counts per scope, with the parameter echoed."""
+        counts = self.signed.select(
+            "scope", F.lit(1).alias("files"), F.lit(0).alias("found")
+        ).unionByName(
+            self.members.select("scope", "leader").distinct().select(
+                "scope", F.lit(0).alias("files"), F.lit(1).alias("found")
+            )
+        )
+        return counts.groupBy("scope").agg(
+            F.sum("files").alias("files_analyzed"), F.sum("found").alias("duplicate_groups_found"),
+            F.lit(self.max_distance).alias("hamming_distance_k"),
+        )
 
 
-def duplicate_groups(
-    docs: DataFrame, id_col: str, text_col: str, max_distance: int = 3
-) -> Groups:
-    """Leader groups of near-duplicates.
+def duplicate_groups(docs: DataFrame, max_distance: int = 3) -> Groups:
+    """Leader groups of near-duplicates among ``scope, id, text`` rows.
 
     Groups are formed among distinct fingerprints; further copies of a
     fingerprint then follow the leader of its class, or the class itself.
     """
-    signed = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = fingerprint_classes(signed)
+    signed = materialize(fingerprints(docs), "fingerprints")
+    classes = materialize(fingerprint_classes(signed), "fingerprint-classes")
     claims = claimed_by_leaders(near_pairs(classes, max_distance))
-    led = classes.join(claims, "id", "left").select(
-        "fingerprint", F.coalesce("leader", "id").alias("leader")
-    ).where(F.col("leader").isNotNull())
-    repeated = classes.where(F.col("copies") > 1).select("fingerprint")
-    relevant = led.join(
-        repeated.unionByName(
-            classes.join(claims.select("id"), "id", "left_semi").select("fingerprint")
-        ).distinct(),
-        "fingerprint", "left_semi",
-    )
-    members = signed.join(relevant, "fingerprint").where(F.col("id") != F.col("leader")).select(
-        "leader", "id"
+    led = (
+        classes.join(claims, ["scope", "id"], "left")
+        .where((F.col("copies") > 1) | F.col("leader").isNotNull())
+        .select("scope", "fingerprint", F.coalesce("leader", "id").alias("leader"))
     )
-    return Groups(members, signed, max_distance)
+    members = signed.join(led, ["scope", "fingerprint"]).where(
+        F.col("id") != F.col("leader")
+    ).select("scope", "leader", "id")
+    return Groups(signed, materialize(members, "group-members"), max_distance)
