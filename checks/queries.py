@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from treeline.functions import paths, scores, text
 from treeline.operators import cycles, enrich, functions as spans, graph, imports, jobs
 from treeline.operators import lexical, metrics, minhash, search, simhash
+from treeline.operators.facts import facts
 from treeline.plans import report
 from treeline.session import configure, materialize, new_path
 from treeline.sources import fixture, sinks
@@ -36,17 +37,17 @@ def _lexed(spark, sf_dir) -> DataFrame:
     return lexical.lex(lexical.source_rows(_files(spark, sf_dir)))
 
 
+def _facts(spark, sf_dir) -> DataFrame:
+    return facts(_files(spark, sf_dir))
+
+
 def _functions(spark, sf_dir) -> DataFrame:
-    return spans.functions(_lexed(spark, sf_dir))
+    return spans.functions(_facts(spark, sf_dir))
 
 
 def _graph(spark, sf_dir) -> graph.Graph:
-    source = lexical.source_rows(_files(spark, sf_dir))
-    lexed = lexical.lex(source)
-    return graph.build(
-        source.select("repo", "path", "ext"), spans.definitions(lexed),
-        imports.resolve(imports.imports(lexed), source),
-    )
+    read = _facts(spark, sf_dir).select("repo", "path", "ext", "language", "defined", "imported")
+    return report.dependency_graph(materialize(read, "facts"))
 
 
 def _docs(spark, sf_dir) -> DataFrame:
@@ -150,7 +151,7 @@ def file_comments(spark, sf_dir):
 
 @query
 def file_metrics(spark, sf_dir):
-    return metrics.file_metrics(_lexed(spark, sf_dir)).drop("repo")
+    return metrics.file_metrics(_facts(spark, sf_dir)).drop("repo")
 
 
 @query
@@ -164,7 +165,7 @@ def document_lines(spark, sf_dir):
 
 @query
 def corpus_size(spark, sf_dir):
-    per_language = metrics.total_metrics(metrics.file_metrics(_lexed(spark, sf_dir)), "language")
+    per_language = metrics.total_metrics(metrics.file_metrics(_facts(spark, sf_dir)), "language")
     debt = scores.debt_score(F.col("loc"), F.col("marker_comments"), F.lit(0))
     return per_language.withColumn("debt", debt)
 
@@ -188,13 +189,13 @@ def function_spans(spark, sf_dir):
 
 @query
 def file_definitions(spark, sf_dir):
-    return spans.definitions(_lexed(spark, sf_dir)).drop("repo")
+    return spans.definitions(_facts(spark, sf_dir)).drop("repo")
 
 
 @query
 def function_summary(spark, sf_dir):
-    lexed = _lexed(spark, sf_dir)
-    return metrics.function_summary(metrics.file_metrics(lexed), spans.functions(lexed)).drop("repo")
+    read = materialize(_facts(spark, sf_dir), "facts")
+    return metrics.function_summary(metrics.file_metrics(read), spans.functions(read)).drop("repo")
 
 
 @query
@@ -255,23 +256,23 @@ def refactor_suggestions(spark, sf_dir):
 
 @query
 def code_metrics(spark, sf_dir):
-    lexed = _lexed(spark, sf_dir)
-    return metrics.code_metrics(metrics.file_metrics(lexed), spans.functions(lexed)).drop("repo")
+    read = materialize(_facts(spark, sf_dir), "facts")
+    return metrics.code_metrics(metrics.file_metrics(read), spans.functions(read)).drop("repo")
 
 
 # --- imports and graph -------------------------------------------------------
 
 @query
 def file_imports(spark, sf_dir):
-    return imports.imports(_lexed(spark, sf_dir)).select(
+    return imports.imports(_facts(spark, sf_dir)).select(
         "path", "import_no", "type", "module", F.array_join("items", ",").alias("items")
     )
 
 
 @query
 def resolved_imports(spark, sf_dir):
-    source = lexical.source_rows(_files(spark, sf_dir))
-    return imports.resolve(imports.imports(lexical.lex(source)), source).select(
+    read = materialize(_facts(spark, sf_dir).select("repo", "path", "language", "imported"), "facts")
+    return imports.resolve(imports.imports(read), read).select(
         "path", "import_no", "module", "target"
     )
 
@@ -382,7 +383,8 @@ def event_graph_stats(spark, sf_dir):
     edges = _transitions(spark, sf_dir)
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
     nodes = ends.distinct().select(F.lit("events").alias("repo"), "id", F.lit("file").alias("type"))
-    built = graph.Graph(nodes, edges.withColumn("dst_type", F.lit("file")).withColumn(
+    files = nodes.select("repo", F.col("id").alias("path"))
+    built = graph.Graph(files, nodes, edges.withColumn("dst_type", F.lit("file")).withColumn(
         "relationship", F.lit("imports")))
     return graph.graph_stats(built).drop("repo")
 
@@ -392,7 +394,8 @@ def event_degrees(spark, sf_dir):
     edges = _transitions(spark, sf_dir)
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
     nodes = ends.distinct().select(F.lit("events").alias("repo"), "id", F.lit("file").alias("type"))
-    built = graph.Graph(nodes, edges.withColumn("dst_type", F.lit("file")).withColumn(
+    files = nodes.select("repo", F.col("id").alias("path"))
+    built = graph.Graph(files, nodes, edges.withColumn("dst_type", F.lit("file")).withColumn(
         "relationship", F.lit("imports")))
     return graph.degrees(built).drop("repo")
 
@@ -602,8 +605,7 @@ def humanized_numbers(spark, sf_dir):
 
 @query
 def report_round_trip(spark, sf_dir):
-    lexed = _lexed(spark, sf_dir)
-    made = metrics.file_metrics(lexed).groupBy(F.col("ext").alias("job_id")).agg(
+    made = metrics.file_metrics(_facts(spark, sf_dir)).groupBy(F.col("ext").alias("job_id")).agg(
         F.sum("loc").alias("loc"), F.sum("marker_comments").alias("markers")
     ).select("job_id", F.struct("loc", "markers").alias("code_metrics"))
     path = new_path(spark, "reports")

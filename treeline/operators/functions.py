@@ -1,16 +1,17 @@
 """Function spans and cyclomatic complexity.
 
-Files become slim event rows (headers, braces, indents, decisions); spans come
-from window functions over those rows, partitioned by file. Text stays behind:
-only numbers and names are shuffled, once.
+A file becomes an array of slim events (headers, braces, indents, decisions);
+spans come from window functions over the exploded events, partitioned by file.
+Text stays behind: only numbers and names are shuffled, once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from treeline.functions.rows import explode_rows
+
 _FILE = ["repo", "path"]
-_COLUMNS = ["repo", "path", "language", "name", "start_line", "end_line", "complexity"]
 
 _ARGS = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
 _IDENT = r"[A-Za-z_$][\w$]*"
@@ -51,163 +52,159 @@ _PYTHON_DECISION = "|".join([
 _PYTHON_HEADER = r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([^\s(]+)"
 
 
-def _brace_events(lexed: DataFrame) -> DataFrame:
-    """Rows ``line, tok, kind, name``: H header, A bodiless, O open, C close, D decision."""
-    script = F.lit(rf"{_SCRIPT_HEADER}|[{{}}]|{_BRACE_DECISION}")
-    java = F.lit(rf"{_JAVA_HEADER}|[{{}}]|{_BRACE_DECISION}")
-    line_rows = lexed.where(F.col("language") != "python").select(
-        *_FILE, "language", F.posexplode(F.split("masked", "\n")).alias("line_no", "line")
-    )
-    found = F.when(
-        F.col("language") == "java", F.regexp_extract_all("line", java, F.lit(0))
-    ).otherwise(F.regexp_extract_all("line", script, F.lit(0)))
-    tokens = line_rows.select(
-        *_FILE, "language", (F.col("line_no") + 1).alias("line_no"),
-        F.trim(F.col("line")).startswith("{").alias("leading_brace"),
-        F.posexplode(found).alias("tok", "token"),
-    )
-    token = F.col("token")
-    kind = (
-        F.when(token == "{", "O").when(token == "}", "C")
-        .when(token.contains("(") & token.endswith(";"), "A")
-        .when(token.contains("(") | token.contains("=>"), "H")
-        .otherwise("D")
-    )
-    name = F.when(
-        token.contains("=>"), F.regexp_extract(token, rf"^({_IDENT})", 1)
-    ).otherwise(F.regexp_extract(token, rf"({_IDENT})\s*\(", 1))
-    return tokens.select(
-        *_FILE, "language", "line_no", "tok", kind.alias("kind"),
-        (F.col("leading_brace") & (F.col("tok") == 0)).alias("leading_brace"),
-        F.when(kind.isin("H", "A"), F.when(name == "", "unknown").otherwise(name)).alias("name"),
-    )
+_EVENT = (
+    "array<struct<line_no:int,tok:int,kind:string,name:string,decisions:int,leading_brace:boolean,"
+    "indent:int,bounds:array<int>,previous:int,last_line:int>>"
+)
 
 
-def _brace_functions(lexed: DataFrame) -> DataFrame:
-    """Match braces: on one nesting level, an opening brace is followed by its close."""
-    in_file = Window.partitionBy(*_FILE).orderBy("line_no", "tok")
-    whole_file = Window.partitionBy(*_FILE)
-    kind = F.col("kind")
-    step = F.when(kind == "O", 1).when(kind == "C", -1).otherwise(0)
-    decision = F.when(kind == "D", 1).otherwise(0)
-    events = _brace_events(lexed).select(
-        "*",
-        F.sum(step).over(in_file).alias("depth"),
-        F.sum(decision).over(in_file).alias("seen"),
-        F.sum(decision).over(whole_file).alias("all_seen"),
-        F.max("line_no").over(whole_file).alias("last_line"),
-        F.lag("kind").over(in_file).alias("before"),
-        F.lag("name").over(in_file).alias("header"),
-        F.lag("line_no").over(in_file).alias("header_line"),
-    )
-    bodiless = events.where(kind == "A").select(
-        *_FILE, "language", "name", F.col("line_no").alias("start_line"),
-        F.col("line_no").alias("end_line"), F.lit(1).cast("bigint").alias("complexity"),
-    )
-    level = F.when(kind == "O", F.col("depth")).otherwise(F.col("depth") + 1)
-    on_level = Window.partitionBy(*_FILE, "level").orderBy("line_no", "tok")
-    opens_function = (
-        (kind == "O") & (F.col("before") == "H")
-        & ((F.col("header_line") == F.col("line_no")) | F.col("leading_brace"))
-    )
-    spans = (
-        events.where(kind.isin("O", "C"))
-        .withColumn("level", level)
-        .select(
-            "*",
-            F.lead("line_no").over(on_level).alias("end_line_no"),
-            F.lead("seen").over(on_level).alias("end_seen"),
+def _event(**fields: Column) -> Column:
+    """Struct of ``_EVENT`` with absent fields null."""
+    types = [f.split(":", 1) for f in (
+        "line_no:int", "tok:int", "kind:string", "name:string", "decisions:int",
+        "leading_brace:boolean", "indent:int", "bounds:array<int>", "previous:int", "last_line:int",
+    )]
+    return F.struct(*[
+        fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in types
+    ])
+
+
+def _brace_events(lines: Column, headers: str) -> Column:
+    """Events of one file: H header, A bodiless, O open, C close, D decision."""
+    pattern = F.lit(rf"{headers}|[{{}}]|{_BRACE_DECISION}")
+
+    def event(token: Column, tok: Column, line: Column, n: Column) -> Column:
+        kind = (
+            F.when(token == "{", "O").when(token == "}", "C")
+            .when(token.contains("(") & token.endswith(";"), "A")
+            .when(token.contains("(") | token.contains("=>"), "H")
+            .otherwise("D")
         )
-        .where(opens_function)
-        .select(
-            *_FILE, "language", F.col("header").alias("name"),
-            F.col("header_line").alias("start_line"),
-            F.coalesce("end_line_no", "last_line").alias("end_line"),
-            (F.coalesce("end_seen", "all_seen") - F.col("seen") + 1).alias("complexity"),
+        name = F.when(kind.isin("H", "A"), _header_name(token))
+        return _event(
+            line_no=n + 1, tok=tok, kind=kind, name=F.when(name == "", "unknown").otherwise(name),
+            decisions=F.when(kind == "D", 1).otherwise(0),
+            leading_brace=(tok == 0) & F.ltrim(line).startswith("{"),
         )
+
+    return F.flatten(F.transform(
+        lines,
+        lambda line, n: F.transform(
+            F.regexp_extract_all(line, pattern, F.lit(0)), lambda t, i: event(t, i, line, n)
+        ),
+    ))
+
+
+def _header_name(token: Column) -> Column:
+    return F.when(
+        token.contains("=>"), F.regexp_extract(F.ltrim(token), rf"^({_IDENT})", 1)
+    ).otherwise(F.regexp_extract(token, rf"({_IDENT})\s*\(", 1))
+
+
+def _python_events(filled: Column, levels: Column) -> Column:
+    """Events of one file: L, a line that holds a decision or may end a function.
+
+    ``filled`` are its numbered non-blank lines, ``levels`` the distinct indents
+    of its function headers. ``bounds`` are the levels the line ends.
+    """
+    last_line = F.element_at(filled, -1)["line_no"]
+
+    def event(row: Column, i: Column) -> Column:
+        line = row["line"]
+        indent = F.length(F.regexp_extract(line, r"^([ \t]*)", 1))
+        # a line that only closes a bracket continues the statement above
+        bounds = F.when(
+            line.rlike(r"^\s*[)\]}]"), F.array().cast("array<int>")
+        ).otherwise(F.filter(levels, lambda level: level >= indent))
+        return _event(
+            line_no=row["line_no"], tok=F.lit(0), kind=F.lit("L"),
+            name=F.when(line.rlike(_PYTHON_HEADER), F.regexp_extract(line, _PYTHON_HEADER, 2)),
+            decisions=F.regexp_count(line, F.lit(_PYTHON_DECISION)), indent=indent, bounds=bounds,
+            previous=F.get(filled, i - 1)["line_no"], last_line=last_line,
+        )
+
+    return F.filter(
+        F.transform(filled, event), lambda e: (e["decisions"] > 0) | (F.size(e["bounds"]) > 0)
     )
-    return spans.unionByName(bodiless)
 
 
-def _python_lines(lexed: DataFrame) -> DataFrame:
-    """Non-blank lines that hold a decision or may end a function."""
+def add_events(lexed: DataFrame) -> DataFrame:
+    """Add ``events``, the rows function spans are computed from, as one array per file."""
+    masked_lines = F.split("masked", "\n")
+    python = F.col("language") == "python"
     numbered = F.filter(
         F.transform(
-            F.split("masked", "\n"),
+            masked_lines,
             lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")),
         ),
         lambda x: x["line"].rlike(r"\S"),
     )
     indents = F.regexp_extract_all("masked", F.lit("(?m)" + _PYTHON_HEADER), F.lit(1))
-    per_file = lexed.where(F.col("language") == "python").select(
-        *_FILE, numbered.alias("filled"),
-        F.array_distinct(F.transform(indents, F.length)).alias("levels"),
-    ).where(F.size("levels") > 0)
-    with_previous = per_file.select(
-        *_FILE, "levels", F.array_max("levels").alias("deepest"),
-        F.element_at("filled", -1)["line_no"].alias("last_line"),
-        F.explode(F.transform(
-            "filled",
-            lambda x, i: F.struct(
-                x["line_no"].alias("line_no"), x["line"].alias("line"),
-                F.get("filled", i - 1)["line_no"].alias("previous"),
-            ),
-        )).alias("row"),
+    with_lines = lexed.select(
+        "*", F.when(python, numbered).alias("_filled"),
+        F.when(python, F.array_distinct(F.transform(indents, F.length))).alias("_levels"),
     )
-    line = F.col("row.line")
-    read = with_previous.select(
-        *_FILE, "levels", "deepest", "last_line",
-        F.col("row.line_no").alias("line_no"), F.col("row.previous").alias("previous"),
-        F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
-        F.when(line.rlike(_PYTHON_HEADER), F.regexp_extract(line, _PYTHON_HEADER, 2)).alias("name"),
-        # a line that only closes a bracket continues the statement above
-        line.rlike(r"^\s*[)\]}]").alias("continues"),
-        F.regexp_count(line, F.lit(_PYTHON_DECISION)).alias("decisions"),
+    events = (
+        F.when(python & (F.size("_levels") == 0), F.array().cast(_EVENT))
+        .when(python, _python_events(F.col("_filled"), F.col("_levels")).cast(_EVENT))
+        .when(F.col("language") == "java", _brace_events(masked_lines, _JAVA_HEADER).cast(_EVENT))
+        .otherwise(_brace_events(masked_lines, _SCRIPT_HEADER).cast(_EVENT))
     )
-    return read.where((F.col("decisions") > 0) | (F.col("indent") <= F.col("deepest")))
+    return with_lines.select(*lexed.columns, events.alias("events"))
+
 
+def functions(facts: DataFrame) -> DataFrame:
+    """Every function of every file, nested ones too, with span and complexity.
 
-def _python_functions(lexed: DataFrame) -> DataFrame:
-    """On one header indent, a function ends before the next line indented no deeper."""
-    in_file = Window.partitionBy(*_FILE).orderBy("line_no")
+    Braces: on one nesting level an opening brace is followed by its close.
+    Python: on one header indent a function ends before the next line indented
+    no deeper. Either way the end is the next row of the file on that level.
+    """
+    in_file = Window.partitionBy(*_FILE).orderBy("line_no", "tok")
     whole_file = Window.partitionBy(*_FILE)
-    on_level = Window.partitionBy(*_FILE, "level").orderBy("line_no")
-    bounds = F.when(
-        F.col("continues"), F.array().cast("array<int>")
-    ).otherwise(F.filter("levels", lambda k: k >= F.col("indent")))
-    return (
-        _python_lines(lexed)
+    on_level = Window.partitionBy(*_FILE, "level").orderBy("line_no", "tok")
+    kind, depth = F.col("kind"), F.col("depth")
+    step = F.when(kind == "O", 1).when(kind == "C", -1).otherwise(0)
+    events = (
+        explode_rows(facts, [*_FILE, "language"], "events", "e")
+        .select(*_FILE, "language", "e.*")
         .select(
             "*",
+            F.sum(step).over(in_file).alias("depth"),
             (F.sum("decisions").over(in_file) - F.col("decisions")).alias("seen"),
             F.sum("decisions").over(whole_file).alias("all_seen"),
-        )
-        .select(
-            *_FILE, "line_no", "previous", "indent", "name", "last_line", "seen", "all_seen",
-            F.explode(bounds).alias("level"),
-        )
-        .select(
-            "*",
-            F.lead("previous").over(on_level).alias("end_line_no"),
-            F.lead("seen").over(on_level).alias("end_seen"),
-        )
-        .where(F.col("name").isNotNull() & (F.col("indent") == F.col("level")))
-        .select(
-            *_FILE, F.lit("python").alias("language"), "name",
-            F.col("line_no").alias("start_line"),
-            F.coalesce("end_line_no", "last_line").alias("end_line"),
-            (F.coalesce("end_seen", "all_seen") - F.col("seen") + 1).alias("complexity"),
+            F.max("line_no").over(whole_file).alias("last_event"),
+            F.lag("kind").over(in_file).alias("before"),
+            F.lag("name").over(in_file).alias("header"),
+            F.lag("line_no").over(in_file).alias("header_line"),
         )
     )
-
-
-def functions(lexed: DataFrame) -> DataFrame:
-    """Every function of every file, nested ones too, with span and complexity."""
-    both = _brace_functions(lexed).unionByName(_python_functions(lexed))
-    return both.select(
-        *_FILE, "language", "name", F.col("start_line").cast("int").alias("start_line"),
-        F.col("end_line").cast("int").alias("end_line"),
-        F.col("complexity").cast("bigint").alias("complexity"),
+    levels = (
+        F.when(kind == "L", F.col("bounds")).when(kind == "O", F.array(depth))
+        .when(kind == "C", F.array(depth + 1)).when(kind == "A", F.array(F.lit(-1)))
+    )
+    ends = explode_rows(events, ["*"], levels.cast("array<int>"), "level").select(
+        "*",
+        F.when(kind == "L", F.coalesce(F.lead("previous").over(on_level), "last_line"))
+        .otherwise(F.coalesce(F.lead("line_no").over(on_level), "last_event")).alias("end"),
+        F.coalesce(F.lead("seen").over(on_level), "all_seen").alias("end_seen"),
+    )
+    opens_body = (
+        (kind == "O") & (F.col("before") == "H")
+        & ((F.col("header_line") == F.col("line_no")) | F.col("leading_brace"))
+    )
+    starts = (
+        opens_body | (kind == "A")
+        | ((kind == "L") & F.col("name").isNotNull() & (F.col("indent") == F.col("level")))
+    )
+    bodiless = kind == "A"
+    return ends.where(starts).select(
+        *_FILE, "language",
+        F.when(kind == "O", F.col("header")).otherwise(F.col("name")).alias("name"),
+        F.when(kind == "O", F.col("header_line")).otherwise(F.col("line_no")).alias("start_line"),
+        F.when(bodiless, F.col("line_no")).otherwise(F.col("end")).alias("end_line"),
+        F.when(bodiless, F.lit(1).cast("bigint"))
+        .otherwise(F.col("end_seen") - F.col("seen") + 1).alias("complexity"),
     )
 
 
@@ -223,28 +220,22 @@ def with_content(functions: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def definitions(lexed: DataFrame) -> DataFrame:
-    """Named functions and classes per file: ``repo, path, kind, name``, no shuffle."""
+def add_definitions(lexed: DataFrame) -> DataFrame:
+    """Add ``defined``: an array of the file's named functions and classes."""
     masked = F.col("masked")
     script = rf"(?m)(?:{_SCRIPT_HEADER})(?=\s*\{{)"
     java = rf"(?m)(?:{_JAVA_HEADER})(?=\s*\{{|\s*$)"
-    brace_headers = F.when(
-        F.col("language") == "java", F.regexp_extract_all(masked, F.lit(java), F.lit(0))
-    ).otherwise(F.regexp_extract_all(masked, F.lit(script), F.lit(0)))
-
-    def header_name(h: Column) -> Column:
-        return F.when(
-            h.contains("=>"), F.regexp_extract(F.trim(h), rf"^({_IDENT})", 1)
-        ).otherwise(F.regexp_extract(h, rf"({_IDENT})\s*\(", 1))
-
-    function_names = F.when(
-        F.col("language") == "python",
-        F.regexp_extract_all(masked, F.lit("(?m)" + _PYTHON_HEADER), F.lit(2)),
-    ).otherwise(F.transform(brace_headers, header_name))
-    class_names = F.regexp_extract_all(
-        masked,
-        F.lit(rf"(?m)(?:^|[{{}};]|\s)class[ \t]+({_IDENT})(?=\s*(?:[({{:]|extends\b|implements\b|<))"),
-        F.lit(1),
+    classes = rf"(?m)(?:^|[{{}};]|\s)class[ \t]+({_IDENT})(?=\s*(?:[({{:]|extends\b|implements\b|<))"
+    function_names = (
+        F.when(
+            F.col("language") == "python",
+            F.regexp_extract_all(masked, F.lit("(?m)" + _PYTHON_HEADER), F.lit(2)),
+        )
+        .when(
+            F.col("language") == "java",
+            F.transform(F.regexp_extract_all(masked, F.lit(java), F.lit(0)), _header_name),
+        )
+        .otherwise(F.transform(F.regexp_extract_all(masked, F.lit(script), F.lit(0)), _header_name))
     )
 
     def named(kind: str, names: Column) -> Column:
@@ -253,5 +244,24 @@ def definitions(lexed: DataFrame) -> DataFrame:
             lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")),
         )
 
-    rows = F.concat(named("function", function_names), named("class", class_names))
-    return lexed.select(*_FILE, F.explode(rows).alias("d")).select(*_FILE, "d.kind", "d.name")
+    class_names = F.regexp_extract_all(masked, F.lit(classes), F.lit(1))
+    return lexed.withColumn(
+        "defined", F.concat(named("function", function_names), named("class", class_names))
+    )
+
+
+def definitions(facts: DataFrame) -> DataFrame:
+    """Named functions and classes per file: ``repo, path, kind, name``."""
+    return explode_rows(facts, _FILE, "defined", "d").select(*_FILE, "d.kind", "d.name")
+
+
+def defined_names(facts: DataFrame) -> DataFrame:
+    """Like ``definitions``, one row per name and file; a class wins over a function."""
+    class_names = F.transform(
+        F.filter("defined", lambda d: d["kind"] == "class"), lambda d: d["name"]
+    )
+    kept = F.filter(
+        "defined", lambda d: (d["kind"] == "class") | ~F.array_contains("_classes", d["name"])
+    )
+    with_classes = facts.select(*_FILE, "defined", class_names.alias("_classes"))
+    return explode_rows(with_classes, _FILE, kept, "d").select(*_FILE, "d.kind", "d.name")

@@ -11,28 +11,30 @@ from treeline.functions import paths
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes(repo,id,type,language,name,file,module)`` and
-    ``edges(repo,src,dst,dst_type,relationship,module)``."""
+    """``nodes(repo,id,type,language,name,file,module)``,
+    ``edges(repo,src,dst,dst_type,relationship,module)`` and the file paths among
+    the nodes, ``files(repo,path)``."""
 
+    files: DataFrame
     nodes: DataFrame
     edges: DataFrame
 
     def without_externals(self) -> Graph:
         """Drop external nodes and the edges that reach them."""
         return Graph(
+            self.files,
             self.nodes.where(F.col("type") != "external"),
             self.edges.where(F.col("dst_type") != "external"),
         )
 
 
-def build(files: DataFrame, definitions: DataFrame, resolved: DataFrame) -> Graph:
+def build(files: DataFrame, defined: DataFrame, resolved: DataFrame) -> Graph:
     """Graph of files, their functions and classes, and imports.
 
-    ``files`` has ``repo, path, ext``. A class takes the node of a function with
-    its name; several imports of one target leave one edge, the last one's.
+    ``files`` has ``repo, path, ext``, ``defined`` one row per file and name.
+    Several imports of one target leave one edge, with the last one's module.
     """
     text = F.lit(None).cast("string")
-    defined = definitions.groupBy("repo", "path", "name").agg(F.min("kind").alias("kind"))
     defined_id = paths.node_id(F.col("path"), F.col("name"))
     external = paths.external_id(F.col("module"))
     nodes = (
@@ -67,7 +69,7 @@ def build(files: DataFrame, definitions: DataFrame, resolved: DataFrame) -> Grap
         .agg(F.max_by("module", "import_no").alias("module"))
         .select("repo", "src", "dst", "dst_type", F.lit("imports").alias("relationship"), "module")
     )
-    return Graph(nodes, defines.unionByName(imported))
+    return Graph(files.select("repo", "path"), nodes, defines.unionByName(imported))
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def degrees(graph: Graph) -> DataFrame:
     ends = (
         rows(graph.edges, "src", one, imports, zero)
         .unionByName(rows(graph.edges.where(F.col("dst_type") == "file"), "dst", zero, zero, one))
-        .unionByName(rows(graph.nodes.where(F.col("type") == "file"), "id", zero, zero, zero))
+        .unionByName(rows(graph.files, "path", zero, zero, zero))
     )
     return ends.groupBy("repo", "file").agg(
         F.sum("o").alias("out_degree"), F.sum("i").alias("import_out_degree"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.functions import paths
+from treeline.functions.rows import explode_rows
 
 _RECORD = "array<struct<type:string,module:string,items:array<string>>>"
 
@@ -53,8 +54,8 @@ def _script_record(statement: Column) -> Column:
     ).otherwise(_record("require", module))
 
 
-def imports(lexed: DataFrame) -> DataFrame:
-    """One row per import in file order: ``import_no, type, module, items``.
+def add_imports(lexed: DataFrame) -> DataFrame:
+    """Add ``imported``: an array of the file's import records in file order.
 
     Python and Java are read from masked text; JavaScript needs its literals.
     """
@@ -70,9 +71,12 @@ def imports(lexed: DataFrame) -> DataFrame:
         .when(F.col("language") == "javascript", script)
         .otherwise(java)
     )
-    return lexed.select(
-        "repo", "path", "language", F.posexplode(records.cast(_RECORD)).alias("n", "i")
-    ).select(
+    return lexed.withColumn("imported", records.cast(_RECORD))
+
+
+def imports(facts: DataFrame) -> DataFrame:
+    """One row per import: ``import_no, type, module, items``."""
+    return explode_rows(facts, ["repo", "path", "language"], "imported", "i", "n").select(
         "repo", "path", "language", (F.col("n") + 1).alias("import_no"),
         "i.type", "i.module", "i.items",
     )
@@ -114,8 +118,7 @@ def file_keys(files: DataFrame) -> DataFrame:
     )
     keys = F.concat(F.array(_key("full", F.col("path")), _key("base", F.col("base"))), tails)
     return (
-        files.select("repo", "path", base.alias("base"))
-        .select("repo", "path", F.explode(keys).alias("k"))
+        explode_rows(files.select("repo", "path", base.alias("base")), ["repo", "path"], keys, "k")
         .groupBy("repo", "k.kind", "k.key")
         .agg(F.min("path").alias("target"))
     )
@@ -139,8 +142,10 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
         F.array(_key("full", module), _key("base", module), _key("full", relative), _key("base", relative))
     )
     resolved = (
-        located.select("repo", "module", "relative").distinct()
-        .select("repo", "module", "relative", F.explode(wanted).alias("k"))
+        explode_rows(
+            located.select("repo", "module", "relative").distinct(),
+            ["repo", "module", "relative"], wanted, "k",
+        )
         .select("repo", "module", "relative", "k.kind", "k.key")
         .join(file_keys(files), ["repo", "kind", "key"])
         .groupBy("repo", "module", "relative")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.functions import paths, text
+from treeline.functions.rows import explode_rows
 
 _DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 _SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
@@ -102,9 +103,8 @@ def lex(source: DataFrame) -> DataFrame:
 
 def comments(lexed: DataFrame) -> DataFrame:
     """One row per comment, numbered in file order from 1."""
-    return lexed.select(
-        "repo", "path", F.posexplode("comments").alias("comment_no", "comment")
-    ).withColumn("comment_no", F.col("comment_no") + 1)
+    rows = explode_rows(lexed, ["repo", "path"], "comments", "comment", "comment_no")
+    return rows.withColumn("comment_no", F.col("comment_no") + 1)
 
 
 def lines(lexed: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def lines(lexed: DataFrame) -> DataFrame:
     both = F.arrays_zip(
         F.split("content", "\n").alias("raw"), F.split("code", "\n").alias("kept")
     )
-    exploded = lexed.select("repo", "path", F.posexplode(both).alias("line_no", "line"))
+    exploded = explode_rows(lexed, ["repo", "path"], both, "line", "line_no")
     return exploded.select(
         "repo", "path", (F.col("line_no") + 1).alias("line_no"),
         F.col("line.raw").alias("line"),

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from treeline.functions import scores, text
 
 
-def file_metrics(lexed: DataFrame) -> DataFrame:
-    """Per file: ``loc``, ``loc_span``, ``marker_comments``, ``marker_lines``.
+FILE_METRICS = ("loc", "loc_span", "marker_comments", "marker_lines")
+
+
+def add_file_metrics(lexed: DataFrame) -> DataFrame:
+    """Add ``loc``, ``loc_span``, ``marker_comments`` and ``marker_lines``.
 
     ``loc`` counts lines that hold something besides comments and space;
     ``loc_span`` runs from the first to the last non-blank line.
     """
     trimmed = F.regexp_replace("content", r"^\s+|\s+$", "")
     return lexed.select(
-        "repo", "path", "ext", "language",
+        "*",
         text.line_count(F.col("code")).cast("bigint").alias("loc"),
         F.when(trimmed == "", 0).otherwise(F.regexp_count(trimmed, F.lit(r"\n")) + 1)
         .cast("bigint").alias("loc_span"),
@@ -24,13 +27,18 @@ def file_metrics(lexed: DataFrame) -> DataFrame:
     )
 
 
+def file_metrics(facts: DataFrame) -> DataFrame:
+    """One row per file."""
+    return facts.select("repo", "path", "ext", "language", *FILE_METRICS)
+
+
 def total_metrics(per_file: DataFrame, *keys: str) -> DataFrame:
     """Totals of ``file_metrics`` by any grouping; no keys give one row."""
     return per_file.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("files"),
         *[
             F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-            for c in ("loc", "loc_span", "marker_comments", "marker_lines")
+            for c in FILE_METRICS
         ],
     )
 

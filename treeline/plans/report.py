@@ -9,42 +9,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from treeline.operators import cycles, enrich, functions as spans, graph, imports, lexical
 from treeline.operators import metrics, minhash
+from treeline.operators.facts import facts
 from treeline.session import materialize
 
 ANALYSIS_METHOD = "Lexical scan + dependency tables + MinHash + vector search"
 
 
-@dataclass(frozen=True)
-class Facts:
-    """Tables every section reads; each file is cut and matched once."""
-
-    files: DataFrame
-    per_file: DataFrame
-    functions: DataFrame
-    definitions: DataFrame
-    imports: DataFrame
-
-
-def extract(
-    files: DataFrame, exclude_third_party: bool = True, exclude_tests: bool = True
-) -> Facts:
-    """Extract and write the fact tables; ``files`` itself stays unread afterwards."""
-    source = lexical.source_rows(files, exclude_third_party, exclude_tests)
-    lexed = materialize(lexical.lex(source), "lexed")
-    return Facts(
-        files=lexed.select("repo", "path", "ext", "language", "content"),
-        per_file=materialize(metrics.file_metrics(lexed), "file-metrics"),
-        functions=materialize(spans.functions(lexed), "functions"),
-        definitions=materialize(spans.definitions(lexed), "definitions"),
-        imports=materialize(imports.imports(lexed), "imports"),
-    )
-
-
-def dependency_graph(facts: Facts) -> graph.Graph:
-    return graph.build(
-        facts.per_file.select("repo", "path", "ext"), facts.definitions,
-        imports.resolve(facts.imports, facts.per_file),
-    )
+def dependency_graph(facts: DataFrame) -> graph.Graph:
+    """Graph of a fact table; resolved imports are written, as nodes and edges both read them."""
+    resolved = materialize(imports.resolve(imports.imports(facts), facts), "resolved-imports")
+    return graph.build(facts.select("repo", "path", "ext"), spans.defined_names(facts), resolved)
 
 
 def _top(degrees: DataFrame, by: str, name: str) -> DataFrame:
@@ -109,26 +83,28 @@ def full_report(
     and vectors grow with the corpus and are tables of their own
     (``minhash.duplicates``, ``graph.node_link_rows``, ``search.embed``).
     """
-    facts = extract(files, exclude_third_party, exclude_tests)
+    read = materialize(facts(files, exclude_third_party, exclude_tests), "facts")
+    functions = materialize(spans.functions(read), "functions")
     sections = Sections()
 
     def duplication() -> DataFrame:
-        docs = minhash.scoped(facts.files, "path", "content", "repo")
-        return minhash.duplicates(docs).stats().withColumnRenamed("scope", "repo")
+        source = lexical.source_rows(files, exclude_third_party, exclude_tests)
+        found = minhash.duplicates(minhash.scoped(source, "path", "content", "repo"))
+        return found.stats().withColumnRenamed("scope", "repo")
 
     def suggested() -> DataFrame:
-        rows = enrich.suggestions(facts.functions, facts.files, scorer)
+        rows = enrich.suggestions(functions, files, scorer)
         return rows.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(
             "file_path", "function_name", "complexity", "suggestion", "original_code", "error"
         ))).alias("items"))
 
     parts = [
-        sections.run("Code metrics", lambda: metrics.code_metrics(facts.per_file, facts.functions), "code_metrics"),
-        sections.run("Dependency analysis", lambda: dependency_metrics(dependency_graph(facts), exclude_third_party), "dependency_metrics"),
+        sections.run("Code metrics", lambda: metrics.code_metrics(metrics.file_metrics(read), functions), "code_metrics"),
+        sections.run("Dependency analysis", lambda: dependency_metrics(dependency_graph(read), exclude_third_party), "dependency_metrics"),
         sections.run("Duplication analysis", duplication, "duplication_metrics"),
         sections.run("Suggestions", suggested, "llm_suggestions"),
     ]
-    report = facts.per_file.select(F.col("repo")).distinct()
+    report = read.select("repo").distinct()
     for part in parts:
         if part is not None:
             report = report.join(part, "repo", "left")
