@@ -450,8 +450,10 @@ ORACLES: dict[str, str] = {
     "function_spans": _with(SPANS, "SELECT path, language, name, start_line, end_line, complexity FROM spans"),
     "file_definitions": _with(DEFINITIONS, "SELECT path, kind, name FROM definitions"),
     "function_summary": _with(SPANS, f"SELECT {_SUMMARY} FROM spans"),
-    "complexity_shares": _with(SPANS, f"""SELECT {_BUCKET} AS bucket, count(*) AS n,
-      round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM spans), 4) AS share FROM spans GROUP BY 1"""),
+    "complexity_shares": _with(SPANS, f"""SELECT bucket, count(path) AS n,
+      round(count(path) * 100.0::DOUBLE / (SELECT count(*) FROM spans), 4) AS share
+      FROM (VALUES ('low'), ('medium'), ('high'), ('very_high')) AS b(bucket)
+      LEFT JOIN (SELECT path, {_BUCKET} AS bucket FROM spans) USING (bucket) GROUP BY bucket"""),
     "complexity_severities": _with(SPANS, """SELECT path, name, CASE WHEN complexity <= 5 THEN 'green'
       WHEN complexity <= 10 THEN 'yellow' WHEN complexity <= 20 THEN 'orange' ELSE 'red' END AS severity FROM spans"""),
     "complex_functions": _with(SPANS, "SELECT path, name, complexity, body AS content FROM spans WHERE complexity > 10"),

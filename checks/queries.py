@@ -200,15 +200,10 @@ def function_summary(spark, sf_dir):
 
 @query
 def complexity_shares(spark, sf_dir):
-    found = _functions(spark, sf_dir)
-    buckets = found.groupBy(scores.complexity_bucket(F.col("complexity")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # four buckets at most, so the total is a sum over four rows
-    total = buckets.groupBy().agg(F.sum("n").alias("total"))
-    return buckets.join(F.broadcast(total)).select(
-        "bucket", "n", F.round(scores.share_percent(F.col("n"), F.col("total")), 4).alias("share")
-    )
+    read = materialize(_facts(spark, sf_dir), "facts")
+    return metrics.complexity_shares(
+        metrics.function_summary(metrics.file_metrics(read), spans.functions(read))
+    ).drop("repo")
 
 
 @query

@@ -64,9 +64,16 @@ def unquote(text: Column) -> Column:
     return F.btrim(text, F.lit("\"'"))
 
 
+def stripped(text: Column) -> Column:
+    """Text without whitespace of any kind at its ends.
+
+    The look-behind lets a run of whitespace be tried once, not from each of its characters.
+    """
+    return F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")
+
+
 def stripped_length(text: Column) -> Column:
-    """Characters left after trimming whitespace of any kind."""
-    return F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.length(stripped(text))
 
 
 def _windows(text: Column, width: int) -> Column:

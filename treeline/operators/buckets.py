@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from treeline.session import materialize
+
 
 def bucket_pairs(rows: DataFrame, key: list[str], id_col: str, cell_rows: int = 1000) -> DataFrame:
     """Join ``rows`` with itself on ``key``: columns ``a_*`` and ``b_*``, each pair once.
 
-    Buckets of one row are dropped first. A bucket of n rows is cut into
+    Buckets of one row, usually most, are dropped first, and what is left is
+    written for both sides to read. A bucket of n rows is cut into
     ceil(n / cell_rows) parts and each pair of parts is a join cell of its own,
     so no task holds more than two parts however large the bucket is, and no
     pair is lost.
     """
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     parts = F.ceil(F.col("_n") / cell_rows).cast("int")
-    placed = rows.join(sizes, key).select(
-        *rows.columns, (parts - 1).alias("_last"),
-        F.pmod(F.xxhash64(id_col), parts).cast("int").alias("_part"),
+    placed = materialize(
+        rows.join(sizes, key).select(
+            *rows.columns, (parts - 1).alias("_last"),
+            F.pmod(F.xxhash64(id_col), parts).cast("int").alias("_part"),
+        ),
+        "shared-buckets",
     )
 
     def side(prefix: str, own: str, other: str, span) -> DataFrame:

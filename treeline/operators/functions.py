@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treeline.functions.rows import explode_rows
+from treeline.session import broadcast_if_small
 
 _FILE = ["repo", "path"]
 
@@ -29,7 +30,7 @@ _SCRIPT_HEADER = "|".join([
     rf"#?{_IDENT}\s*{_ARGS}\s*(?::[^={{}};]+)?(?=\{{|$)",
 ])
 _JAVA_HEADER = "|".join([
-    rf"(?<=^|[{{}};])\s*(?:@[\w.]+\s+)*{_NOT_A_NAME}(?:[\w$<>\[\],.?&]+\s+)+{_NOT_A_NAME}"
+    rf"(?<=^|[{{}};])\s*(?:@[\w.]+\s+)*{_NOT_A_NAME}(?:[\w$<>\[\],.?&]+\s+){{1,16}}{_NOT_A_NAME}"
     rf"{_IDENT}\s*{_ARGS}\s*(?:throws\s+[\w$.,\s]+?)?(?:;|(?=\{{|$))",
     rf"(?<=^|[{{}};])\s*{_NOT_A_NAME}{_IDENT}\s*{_ARGS}\s*(?=\{{)",
 ])
@@ -42,27 +43,28 @@ _BRACE_DECISION = "|".join([
     r"(?<![?<,(]\s{0,4})\?(?![.?:>,)=;])",
 ])
 
+# what counts anywhere, and what counts only outside brackets
+_PYTHON_OPERATOR = r"\b(?:and|or)\b|\belse\b(?!\s*:)"
 _PYTHON_DECISION = "|".join([
     r"^\s*(?:async\s+)?(?:if|elif|else|for|while|except|finally)\b",
     r"[:;]\s*(?:if|for|while)\b",
-    r"\b(?:and|or)\b",
-    r"\belse\b(?!\s*:)",
+    _PYTHON_OPERATOR,
 ])
 
 _PYTHON_HEADER = r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([^\s(]+)"
 
 
 _EVENT = (
-    "array<struct<line_no:int,tok:int,kind:string,name:string,decisions:int,leading_brace:boolean,"
-    "indent:int,bounds:array<int>,previous:int,last_line:int>>"
+    "array<struct<line_no:int,tok:int,kind:string,name:string,step:int,decisions:int,operators:int,"
+    "leading_brace:boolean,indent:int,bounds:array<int>,previous:int,last_line:int>>"
 )
 
 
 def _event(**fields: Column) -> Column:
     """Struct of ``_EVENT`` with absent fields null."""
     types = [f.split(":", 1) for f in (
-        "line_no:int", "tok:int", "kind:string", "name:string", "decisions:int",
-        "leading_brace:boolean", "indent:int", "bounds:array<int>", "previous:int", "last_line:int",
+        "line_no:int", "tok:int", "kind:string", "name:string", "step:int", "decisions:int",
+        "operators:int", "leading_brace:boolean", "indent:int", "bounds:array<int>", "previous:int", "last_line:int",
     )]
     return F.struct(*[
         fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in types
@@ -83,6 +85,7 @@ def _brace_events(lines: Column, headers: str) -> Column:
         name = F.when(kind.isin("H", "A"), _header_name(token))
         return _event(
             line_no=n + 1, tok=tok, kind=kind, name=F.when(name == "", "unknown").otherwise(name),
+            step=F.when(kind == "O", 1).when(kind == "C", -1).otherwise(0),
             decisions=F.when(kind == "D", 1).otherwise(0),
             leading_brace=(tok == 0) & F.ltrim(line).startswith("{"),
         )
@@ -102,7 +105,7 @@ def _header_name(token: Column) -> Column:
 
 
 def _python_events(filled: Column, levels: Column) -> Column:
-    """Events of one file: L, a line that holds a decision or may end a function.
+    """Events of one file: L, a line with decisions or brackets or one that may end a function.
 
     ``filled`` are its numbered non-blank lines, ``levels`` the distinct indents
     of its function headers. ``bounds`` are the levels the line ends.
@@ -112,19 +115,19 @@ def _python_events(filled: Column, levels: Column) -> Column:
     def event(row: Column, i: Column) -> Column:
         line = row["line"]
         indent = F.length(F.regexp_extract(line, r"^([ \t]*)", 1))
-        # a line that only closes a bracket continues the statement above
-        bounds = F.when(
-            line.rlike(r"^\s*[)\]}]"), F.array().cast("array<int>")
-        ).otherwise(F.filter(levels, lambda level: level >= indent))
+        opened = F.regexp_count(line, F.lit(r"[(\[{]")) - F.regexp_count(line, F.lit(r"[)\]}]"))
         return _event(
             line_no=row["line_no"], tok=F.lit(0), kind=F.lit("L"),
             name=F.when(line.rlike(_PYTHON_HEADER), F.regexp_extract(line, _PYTHON_HEADER, 2)),
-            decisions=F.regexp_count(line, F.lit(_PYTHON_DECISION)), indent=indent, bounds=bounds,
+            step=opened, decisions=F.regexp_count(line, F.lit(_PYTHON_DECISION)),
+            operators=F.regexp_count(line, F.lit(_PYTHON_OPERATOR)), indent=indent,
+            bounds=F.filter(levels, lambda level: level >= indent),
             previous=F.get(filled, i - 1)["line_no"], last_line=last_line,
         )
 
     return F.filter(
-        F.transform(filled, event), lambda e: (e["decisions"] > 0) | (F.size(e["bounds"]) > 0)
+        F.transform(filled, event),
+        lambda e: (e["decisions"] > 0) | (e["step"] != 0) | (F.size(e["bounds"]) > 0),
     )
 
 
@@ -164,15 +167,19 @@ def functions(facts: DataFrame) -> DataFrame:
     whole_file = Window.partitionBy(*_FILE)
     on_level = Window.partitionBy(*_FILE, "level").orderBy("line_no", "tok")
     kind, depth = F.col("kind"), F.col("depth")
-    step = F.when(kind == "O", 1).when(kind == "C", -1).otherwise(0)
+    # a Python line inside brackets continues a statement: it ends nothing, and
+    # its leading words belong to a comprehension
+    continues = (kind == "L") & (F.col("depth") - F.col("step") > 0)
+    counted = F.when(continues, F.col("operators")).otherwise(F.col("decisions"))
     events = (
         explode_rows(facts, [*_FILE, "language"], "events", "e")
         .select(*_FILE, "language", "e.*")
+        .withColumn("depth", F.sum("step").over(in_file))
+        .withColumn("counted", counted)
         .select(
             "*",
-            F.sum(step).over(in_file).alias("depth"),
-            (F.sum("decisions").over(in_file) - F.col("decisions")).alias("seen"),
-            F.sum("decisions").over(whole_file).alias("all_seen"),
+            (F.sum("counted").over(in_file) - F.col("counted")).alias("seen"),
+            F.sum("counted").over(whole_file).alias("all_seen"),
             F.max("line_no").over(whole_file).alias("last_event"),
             F.lag("kind").over(in_file).alias("before"),
             F.lag("name").over(in_file).alias("header"),
@@ -180,7 +187,7 @@ def functions(facts: DataFrame) -> DataFrame:
         )
     )
     levels = (
-        F.when(kind == "L", F.col("bounds")).when(kind == "O", F.array(depth))
+        F.when(continues, None).when(kind == "L", F.col("bounds")).when(kind == "O", F.array(depth))
         .when(kind == "C", F.array(depth + 1)).when(kind == "A", F.array(F.lit(-1)))
     )
     ends = explode_rows(events, ["*"], levels.cast("array<int>"), "level").select(
@@ -209,13 +216,17 @@ def functions(facts: DataFrame) -> DataFrame:
 
 
 def with_content(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """Add each function's own source lines."""
+    """Add each function's own source lines.
+
+    A short list of functions goes to the texts; only a long one shuffles them.
+    """
     text = F.array_join(
         F.slice(F.split("content", "\n"), F.col("start_line"),
                 F.col("end_line") - F.col("start_line") + 1),
         "\n",
     )
-    return functions.join(files.select("repo", "path", "content"), _FILE).select(
+    chosen = broadcast_if_small(functions, "chosen-functions")
+    return files.select("repo", "path", "content").join(chosen, _FILE).select(
         *functions.columns, text.alias("content")
     )
 

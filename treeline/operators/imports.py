@@ -10,8 +10,8 @@ from treeline.functions.rows import explode_rows
 _RECORD = "array<struct<type:string,module:string,items:array<string>>>"
 
 _PYTHON = (
-    r"(?m)^[ \t]*(?:from[ \t]+\S+[ \t]+import\b[ \t]*(?:\([^)]*\)|(?:\\\n|[^\n;])*)"
-    r"|import[ \t]+(?:\\\n|[^\n;])+)"
+    r"(?m)^[ \t]*(?:from[ \t]+\S+[ \t]+import\b[ \t]*(?:\([^)]*\)|[^\n;\\]*+(?:\\.?\n?[^\n;\\]*+)*+)"
+    r"|import[ \t]+[^\n;\\]*+(?:\\.?\n?[^\n;\\]*+)*+)"
 )
 _SCRIPT = (
     r"""(?m)^[ \t]*import\b\s*(?:[^'"`;]*?\bfrom\s*)?["'][^"'\n]+["']"""

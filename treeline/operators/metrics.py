@@ -16,7 +16,7 @@ def add_file_metrics(lexed: DataFrame) -> DataFrame:
     ``loc`` counts lines that hold something besides comments and space;
     ``loc_span`` runs from the first to the last non-blank line.
     """
-    trimmed = F.regexp_replace("content", r"^\s+|\s+$", "")
+    trimmed = text.stripped(F.col("content"))
     return lexed.select(
         "*",
         text.line_count(F.col("code")).cast("bigint").alias("loc"),
@@ -64,6 +64,15 @@ def function_summary(per_file: DataFrame, functions: DataFrame) -> DataFrame:
     return files.join(counted, "repo", "left").fillna(zero)
 
 
+def complexity_shares(summary: DataFrame) -> DataFrame:
+    """The buckets of ``function_summary`` as rows, with their share in percent."""
+    names = [name for name, _ in scores.COMPLEXITY_BUCKETS] + ["very_high"]
+    share = F.round(scores.share_percent(F.col("n"), F.col("total_functions")), 4)
+    return summary.unpivot(["repo", "total_functions"], names, "bucket", "n").select(
+        "repo", "bucket", "n", share.alias("share")
+    )
+
+
 def complex_functions(functions: DataFrame, above: int = scores.COMPLEX_ABOVE) -> DataFrame:
     """Functions over the complexity limit."""
     return functions.where(F.col("complexity") > above)

@@ -104,14 +104,16 @@ def signatures(docs: DataFrame, num_perm: int = 128, k: int = 5) -> DataFrame:
 
 
 def signature_classes(signed: DataFrame) -> DataFrame:
-    """Documents with one signature as a single row: smallest ``id`` and ``copies``.
+    """Documents with one signature as a single row: ``no``, smallest ``id``, ``copies``.
 
     Everything after works on these rows, so a group of copies of any size
-    counts once and is never paired out.
+    counts once and is never paired out. The table is written, which fixes the
+    numbers that stand for the classes in the larger tables to come.
     """
-    return signed.groupBy("scope", "signature").agg(
+    grouped = signed.groupBy("scope", "signature").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
+    return materialize(grouped.withColumn("no", F.monotonically_increasing_id()), "signature-classes")
 
 
 def copies(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int = 128) -> DataFrame:
-    """``scope, id, key, spare`` rows; signatures within the threshold meet on some key.
+    """``no, key, spare`` rows; signatures within the threshold meet on some key.
 
     With m misses allowed, slots fall into m // 2 + 1 blocks, so two signatures
     within the threshold differ in at most one slot of some block. A block gives
@@ -151,7 +153,7 @@ def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int =
     edges = np.linspace(0, num_perm, blocks + 1).astype(int)
     block_of = np.repeat(np.arange(blocks), np.diff(edges))
     salt = _mix(np.arange(1, num_perm + 1, dtype=np.uint64) << np.uint64(32))
-    rows = classes.select("scope", "id", "signature")
+    rows = classes.select("scope", "no", "signature")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,35 +169,46 @@ def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int =
     schema = T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
     return (
         rows.mapInArrow(keyed, schema)
-        .select("scope", "id", "signature", F.posexplode("keys").alias("slot", "key"))
-        .select("scope", "id", "key", F.get("signature", F.col("slot") - blocks).alias("spare"))
+        .select("scope", "no", "signature", F.posexplode("keys").alias("slot", "key"))
+        .select(
+            "no", F.xxhash64("scope", "key").alias("key"),
+            F.get("signature", F.col("slot") - blocks).alias("spare"),
+        )
     )
 
 
 def candidates(classes: DataFrame, threshold: float = 0.85, num_perm: int = 128) -> DataFrame:
-    """Distinct pairs ``scope, id_a, id_b`` that share a key, ``id_a < id_b``."""
+    """Distinct pairs ``no_a, no_b`` of classes that share a key."""
     keyed = candidate_keys(classes, threshold, num_perm)
-    met = bucket_pairs(keyed, ["scope", "key"], "id").where(
+    met = bucket_pairs(keyed, ["key"], "no").where(
         F.col("a_spare").isNull() | (F.col("a_spare") != F.col("b_spare"))
     )
     return met.select(
-        "scope", F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b")
+        F.least("a_no", "b_no").alias("no_a"), F.greatest("a_no", "b_no").alias("no_b")
     ).distinct()
 
 
 def with_similarity(
     pairs: DataFrame, classes: DataFrame, num_perm: int = 128
 ) -> DataFrame:
-    """Add ``similarity``, the share of equal slots, and both sides' ``copies``."""
+    """``scope, id_a < id_b, copies_a, copies_b, estimate``, the share of equal slots."""
     def side(s: str) -> DataFrame:
         return classes.select(
-            "scope", F.col("id").alias(f"id_{s}"), F.col("signature").alias(f"signature_{s}"),
-            F.col("copies").alias(f"copies_{s}"),
+            F.col("no").alias(f"no_{s}"), F.struct("scope", "id", "copies", "signature").alias(s)
         )
 
     kept = ["scope", "id_a", "id_b", "copies_a", "copies_b"]
-    joined = pairs.join(side("a"), ["scope", "id_a"]).join(side("b"), ["scope", "id_b"]).select(
-        *kept, "signature_a", "signature_b"
+    swap = F.col("a.id") > F.col("b.id")
+    first, second = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    joined = (
+        pairs.join(side("a"), "no_a").join(side("b"), "no_b")
+        .where(F.col("a.scope") == F.col("b.scope"))
+        .select(first.alias("a"), second.alias("b"))
+        .select(
+            "a.scope", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"),
+            F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"),
+            F.col("a.signature").alias("signature_a"), F.col("b.signature").alias("signature_b"),
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +271,7 @@ def duplicates(
     Signatures and pairs are written once to the shared folder; texts are read once.
     """
     signed = materialize(signatures(docs, num_perm, k), "signatures")
-    classes = materialize(signature_classes(signed), "signature-classes")
+    classes = signature_classes(signed)
     scored = with_similarity(candidates(classes, threshold, num_perm), classes, num_perm)
     pairs = scored.where(F.col("estimate") >= threshold).select(
         "scope", "id_a", "id_b", F.round("estimate", 4).alias("similarity"), "copies_a", "copies_b"

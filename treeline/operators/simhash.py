@@ -78,9 +78,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def fingerprint_classes(signed: DataFrame) -> DataFrame:
     """Documents with one fingerprint as a single row: smallest ``id`` and ``copies``."""
-    return signed.groupBy("scope", "fingerprint").agg(
+    grouped = signed.groupBy("scope", "fingerprint").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
+    return materialize(grouped, "fingerprint-classes")
 
 
 def _masks(max_distance: int, agreeing: int) -> list[int]:
@@ -181,7 +182,7 @@ def duplicate_groups(docs: DataFrame, max_distance: int = 3) -> Groups:
     fingerprint then follow the leader of its class, or the class itself.
     """
     signed = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(fingerprint_classes(signed), "fingerprint-classes")
+    classes = fingerprint_classes(signed)
     claims = claimed_by_leaders(near_pairs(classes, max_distance))
     led = (
         classes.join(claims, ["scope", "id"], "left")

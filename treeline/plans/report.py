@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treeline.operators import cycles, enrich, functions as spans, graph, imports, lexical
 from treeline.operators import metrics, minhash
@@ -59,18 +59,18 @@ def dependency_metrics(built: graph.Graph, exclude_third_party: bool = True) ->
 
 @dataclass
 class Sections:
-    """Runs one section after the other; a failing one becomes an error text."""
+    """Runs one section after the other; a failing one becomes its error text."""
 
     errors: list[str] = field(default_factory=list)
 
-    def run(self, label: str, make: Callable[[], DataFrame], name: str) -> DataFrame | None:
+    def run(self, label: str, make: Callable[[], DataFrame], name: str) -> DataFrame | Column:
         try:
             section = make()
             columns = [c for c in section.columns if c != "repo"]
             return materialize(section.select("repo", F.struct(*columns).alias(name)), "section")
         except Exception as failure:  # a broken section must not lose the others
             self.errors.append(f"{label} failed: {failure}")
-            return None
+            return F.struct(F.lit(str(failure)).alias("error")).alias(name)
 
 
 def full_report(
@@ -106,7 +106,9 @@ def full_report(
     ]
     report = read.select("repo").distinct()
     for part in parts:
-        if part is not None:
+        if isinstance(part, Column):
+            report = report.select("*", part)
+        else:
             report = report.join(part, "repo", "left")
     return report.select(
         F.lit(job_id).alias("job_id"), F.col("repo").alias("repository"),

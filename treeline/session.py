@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime SQL settings the operators rely on; none of them is a size.
 _SQL_CONF = {
@@ -59,3 +59,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
+    """Write ``df``, count it, and hint a broadcast join only up to ``max_rows`` rows."""
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table
