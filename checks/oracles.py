@@ -375,17 +375,12 @@ _SUMMARY = """(SELECT count(*) FROM file_metrics) AS files_analyzed, count(*) AS
   round(avg(complexity), 2) AS avg_complexity, count(*) FILTER (complexity <= 5) AS low,
   count(*) FILTER (complexity BETWEEN 6 AND 10) AS medium,
   count(*) FILTER (complexity BETWEEN 11 AND 20) AS high, count(*) FILTER (complexity > 20) AS very_high"""
-# Java's opening comment, text on two lines, is blanked here whole; see CODE
 _RANKED = f"""{SPANS},
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY path, start_line) AS scan_rank,
     row_number() OVER (ORDER BY complexity DESC, path, start_line) AS score_rank
   FROM spans WHERE complexity > 10
 )"""
-_STATS = """(SELECT count(*) FROM {n}) AS total_nodes, {types}
-  e AS total_edges, round(2.0::DOUBLE * e / n, 2) AS average_connections_per_node,
-  round(e::DOUBLE / (n * (n - 1)), 4) AS graph_density"""
-
 
 def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{select}"
@@ -407,6 +402,18 @@ _DUPLICATE_STATS = """SELECT (SELECT count(*) FROM {docs}) AS files_analyzed,
    + (SELECT coalesce(sum(copies_a * copies_b), 0) FROM pairs))::BIGINT AS duplicate_pairs_found,
   0.85::DOUBLE AS similarity_threshold, 5 AS shingle_size_k"""
 
+_SOURCE_DUPLICATES = _with(
+    KEPT + ",source_texts AS (SELECT path AS doc_id, content AS text FROM kept)," + _signatures("source_texts"),
+    _DUPLICATE_STATS.format(docs="kept"))
+_FILE_CYCLES = GRAPH + "," + _cycles("(SELECT src, dst FROM edges WHERE dst_type = 'file')")
+_CODE_METRICS = _with(SPANS, f"""SELECT *, round(marker_comments * 5 + avg_complexity * 2 + loc / 1000.0::DOUBLE, 2) AS debt_score
+  FROM (SELECT {_SUMMARY}, (SELECT sum(loc)::BIGINT FROM file_metrics) AS loc,
+    (SELECT sum(marker_comments)::BIGINT FROM file_metrics) AS marker_comments FROM spans)""")
+_INNER_EDGES = _with(GRAPH, "SELECT count(*) AS total_edges FROM edges WHERE dst_type <> 'external'")
+_CYCLE_COUNT = _with(_FILE_CYCLES, "SELECT count(*) AS circular_dependencies FROM cycles", recursive=True)
+_REPORT = f"""SELECT 'job-1' AS job_id, 'corpus' AS repository, c.*, total_edges, circular_dependencies,
+  duplicate_pairs_found FROM ({_CODE_METRICS}) c, ({_INNER_EDGES}), ({_CYCLE_COUNT}), ({_SOURCE_DUPLICATES})"""
+
 ORACLES: dict[str, str] = {
     "path_facts": _with(SF, f"""SELECT path, {_EXT} AS ext, left(path, length(path) - length({_EXT})) AS base,
       {_LANGUAGE} AS language, {_VENDORED} AS third_party, {_TEST} AS test,
@@ -466,9 +473,7 @@ ORACLES: dict[str, str] = {
       body AS original_code,
       CASE WHEN contains(body, 'function') THEN 'Suggestion failed for ' || name || ': no answer' END AS error
       FROM ranked WHERE scan_rank <= 3"""),
-    "code_metrics": _with(SPANS, f"""SELECT *, round(marker_comments * 5 + avg_complexity * 2 + loc / 1000.0::DOUBLE, 2) AS debt_score
-      FROM (SELECT {_SUMMARY}, (SELECT sum(loc)::BIGINT FROM file_metrics) AS loc,
-        (SELECT sum(marker_comments)::BIGINT FROM file_metrics) AS marker_comments FROM spans)"""),
+    "code_metrics": _CODE_METRICS,
     "file_imports": _with(IMPORTS, "SELECT path, import_no, type, module, items FROM imports"),
     "resolved_imports": _with(IMPORTS, "SELECT path, import_no, module, target FROM resolved"),
     "graph_nodes": _with(GRAPH, "SELECT * FROM nodes"),
@@ -491,10 +496,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'links', '{"source":"' || src || '","target":"' || dst || '","relationship":"' || relationship || '"'
         || coalesce(',"module":"' || module || '"', '') || '}' FROM edges"""),
     "gexf_edges": _with(GRAPH, "SELECT src AS source, dst AS target, relationship FROM edges"),
-    "file_cycles": _with(GRAPH + "," + _cycles("(SELECT src, dst FROM edges WHERE dst_type = 'file')"),
-                         "SELECT * FROM cycles", recursive=True),
-    "first_cycles": _with(GRAPH + "," + _cycles("(SELECT src, dst FROM edges WHERE dst_type = 'file')"),
-                          "SELECT * FROM cycles ORDER BY length, chain LIMIT 10", recursive=True),
+    "file_cycles": _with(_FILE_CYCLES, "SELECT * FROM cycles", recursive=True),
+    "first_cycles": _with(_FILE_CYCLES, "SELECT * FROM cycles ORDER BY length, chain LIMIT 10", recursive=True),
     "event_cycles": _with(TRANSITIONS + "," + _cycles("transitions"), "SELECT * FROM cycles", recursive=True),
     "event_graph_stats": _with(TRANSITIONS, _graph_stats("event_nodes", "transitions", "'file'")),
     "event_degrees": _with(TRANSITIONS, """SELECT id AS file, (SELECT count(*) FROM transitions WHERE src = id) AS out_degree,
@@ -513,9 +516,7 @@ ORACLES: dict[str, str] = {
     "minhash_copies": _with(_signatures("documents"), """SELECT s.doc_id AS id, c.id AS representative
       FROM signatures s JOIN classes c ON c.signature = s.signature WHERE s.doc_id <> c.id"""),
     "minhash_stats": _with(_signatures("documents"), _DUPLICATE_STATS.format(docs="documents")),
-    "source_duplicate_stats": _with(
-        KEPT + ",source_texts AS (SELECT path AS doc_id, content AS text FROM kept)," + _signatures("source_texts"),
-        _DUPLICATE_STATS.format(docs="kept")),
+    "source_duplicate_stats": _SOURCE_DUPLICATES,
     "exact_similarity": _with(_signatures("documents") + """,
       shingles AS (SELECT DISTINCT doc_id, c0 || c1 || c2 || c3 || c4 AS s FROM windows WHERE c4 IS NOT NULL),
       sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
@@ -576,6 +577,9 @@ ORACLES: dict[str, str] = {
       CASE WHEN floor(l_extendedprice) > 1000 THEN printf('%.1f',
           (floor(l_extendedprice) + (floor(l_extendedprice)::BIGINT % 1000 IN (250, 750))::INT) / 1000) || 'K'
         ELSE regexp_replace(format('{:,.3f}', floor(l_extendedprice)), '\.?0+$', '') END AS loc FROM lineitem""",
+    "full_report": f"SELECT *, 3 AS suggestions, true AS excluded_third_party, true AS excluded_tests, 0 AS errors FROM ({_REPORT})",
+    "job_summary": f"""SELECT job_id, repository, loc, debt_score, avg_complexity,
+      duplicate_pairs_found AS duplicate_pairs FROM ({_REPORT})""",
     "report_round_trip": _with(METRICS, """SELECT ext AS job_id, sum(loc)::BIGINT AS loc,
       sum(marker_comments)::BIGINT AS markers FROM file_metrics WHERE ext = '.ts' GROUP BY ext"""),
 }

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from treeline.functions.text import collapse_space, shingles
 from treeline.operators.buckets import bucket_pairs
-from treeline.session import materialize
+from treeline.session import broadcast_if_small, materialize
 
 # Shingles are hashed as base-BASE numbers modulo PRIME.
 BASE = 1_000_003
@@ -282,14 +282,23 @@ def duplicates(
 
 
 def exact_jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """Add ``jaccard``, the true overlap of both texts' shingle sets."""
+    """Add ``jaccard``, the true overlap of both texts' shingle sets.
+
+    Only texts that occur in a pair are cut, after a join that leaves the other
+    texts where they are when the list of ids is short.
+    """
+    ends = pairs.select("scope", F.col("id_a").alias("id")).unionByName(
+        pairs.select("scope", F.col("id_b").alias("id"))
+    ).distinct()
+    wanted = docs.join(broadcast_if_small(ends, "paired-ids"), ["scope", "id"])
+    sets = wanted.select("scope", "id", shingles(F.col("text"), k).alias("set"))
+
     def side(s: str) -> DataFrame:
-        return docs.select(
-            "scope", F.col("id").alias(f"id_{s}"), shingles(F.col("text"), k).alias(f"set_{s}")
-        )
+        return sets.select("scope", F.col("id").alias(f"id_{s}"), F.col("set").alias(f"set_{s}"))
 
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return (
         pairs.join(side("a"), ["scope", "id_a"]).join(side("b"), ["scope", "id_b"])
-        .select(*pairs.columns, (shared / (F.size("set_a") + F.size("set_b") - shared)).alias("jaccard"))
+        .select(*pairs.columns, shared.alias("_shared"), F.size("set_a").alias("_a"), F.size("set_b").alias("_b"))
+        .select(*pairs.columns, (F.col("_shared") / (F.col("_a") + F.col("_b") - F.col("_shared"))).alias("jaccard"))
     )
