@@ -254,10 +254,7 @@ windows AS (
 
 
 def _slot(multiplier: int, offset: int) -> str:
-    high, low = divmod(multiplier, 2**32)
-    b_high, b_low = divmod(offset, 2**32)
-    return (f"((({high}::UBIGINT * h) + (({low}::UBIGINT * h + {b_low}::UBIGINT) >> 32) "
-            f"+ {b_high}::UBIGINT) & 4294967295)")
+    return f"(({multiplier}::UBIGINT * h + {offset}::UBIGINT) & 4294967295)"
 
 
 def _signatures(source: str, scope: str = "'x'") -> str:

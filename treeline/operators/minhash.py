@@ -12,7 +12,6 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +26,11 @@ BASE = 1_000_003
 PRIME = 2**31 - 1
 
 
-@cache
 def slot_parameters(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplier (odd) and offset of each slot, 64 bits, from md5 of its number."""
+    """Multiplier (odd) and offset of each slot, 32 bits, from md5 of its number."""
     digests = [hashlib.md5(f"slot-{i}".encode()).digest() for i in range(num_perm)]
-    words = np.array([np.frombuffer(d, dtype="<u8") for d in digests])
-    return words[:, 0] | np.uint64(1), words[:, 1]
+    words = np.array([np.frombuffer(d, dtype="<u4") for d in digests])
+    return words[:, 0] | np.uint32(1), words[:, 1]
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -46,28 +44,28 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
 
 
 class SlotMinima:
-    """Smallest value of each slot function over a document's hashes.
+    """Smallest value of each slot function, a*h+b modulo 2**32, over a document's hashes.
 
-    Works in blocks through two buffers that fit a core's cache and are kept
-    from document to document.
+    Works in blocks through one buffer that fits a core's cache and is kept
+    from document to document; 32-bit words keep the loop in vector registers.
     """
 
     def __init__(self, num_perm: int, step: int = 512):
         multiplier, offset = slot_parameters(num_perm)
         self._multiplier, self._offset = multiplier[:, None], offset[:, None]
         self._step = step
-        self._mixed = np.empty((num_perm, step), dtype=np.uint64)
+        self._mixed = np.empty((num_perm, step), dtype=np.uint32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        values = hashes.astype(np.uint64)
-        low = np.full(len(self._mixed), 2**64 - 1, dtype=np.uint64)
+        values = hashes.astype(np.uint32)
+        low = np.full(len(self._mixed), 2**32 - 1, dtype=np.uint32)
         for start in range(0, len(values), self._step):
             block = values[None, start : start + self._step]
             mixed = self._mixed[:, : block.shape[1]]
             np.multiply(self._multiplier, block, out=mixed)
             np.add(mixed, self._offset, out=mixed)
             np.minimum(low, mixed.min(axis=1), out=low)
-        return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return low.view(np.int32)
 
 
 def _fixed_lists(matrix: np.ndarray, value_type: pa.DataType) -> pa.ListArray:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +15,33 @@ from treeline.functions import paths, text
 MIN_QUERY_CHARS = 3
 MAX_K = 50
 _SPACE = " \t\n\r\f\v"
+_KNOWN_TERMS = 1 << 18
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-@lru_cache(maxsize=1 << 18)
-def _bucket(term: str, width: int) -> int:
-    return int.from_bytes(hashlib.md5(term.encode("utf-8")).digest()[:4], "big") % width
+def hashed_terms(width: int = 256) -> Encoder:
+    """Encoder that counts lower-cased, space-separated terms in hash buckets.
 
+    A term's bucket is the first 32 bits of its md5 modulo ``width``; buckets of
+    frequent terms are kept, up to a bound.
+    """
+    known: dict[str, int] = {}
+    spaces = str.maketrans(_SPACE, " " * len(_SPACE))
 
-def hashed_terms(width: int = 256) -> Encoder:
-    """Encoder that counts lower-cased, space-separated terms in hash buckets."""
+    def bucket(term: str) -> int:
+        found = known.get(term)
+        if found is None:
+            found = int.from_bytes(hashlib.md5(term.encode("utf-8")).digest()[:4], "big") % width
+            if len(known) < _KNOWN_TERMS:
+                known[term] = found
+        return found
 
     def encode(texts: list[str]) -> np.ndarray:
         vectors = np.zeros((len(texts), width))
         for vector, one in zip(vectors, texts):
-            for term in one.lower().translate(dict.fromkeys(map(ord, _SPACE), " ")).split(" "):
-                if term:
-                    vector[_bucket(term, width)] += 1
+            buckets = [bucket(term) for term in one.lower().translate(spaces).split(" ") if term]
+            vector += np.bincount(buckets, minlength=width) if buckets else 0
         return vectors
 
     return encode
