@@ -24,7 +24,7 @@ def _peel(edges: DataFrame, rounds: int) -> DataFrame:
 
 
 def elementary_cycles(
-    edges: DataFrame, max_len: int | None = None, peel_rounds: int = 2
+    edges: DataFrame, max_len: int | None = None, peel_rounds: int = 1
 ) -> DataFrame:
     """Every elementary cycle, self-loops included: ``repo, length, chain``.
 

@@ -128,24 +128,37 @@ def _partition_top(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarra
     return vectors.select("id", "embedding").mapInArrow(score, schema)
 
 
+def _query_chunks(queries: DataFrame, chunk_rows: int) -> list[DataFrame]:
+    """``queries`` as chunks that were counted to hold at most ``chunk_rows`` rows each."""
+    total = queries.count()
+    chunks = max(1, math.ceil(total / chunk_rows))
+    largest = total
+    while largest > chunk_rows:
+        number = F.pmod(F.xxhash64("query_id", "embedding"), F.lit(chunks))
+        sizes = queries.groupBy(number.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0]
+        if largest > chunk_rows:
+            chunks *= 2
+    if chunks == 1:
+        return [queries]
+    return [queries.where(number == chunk) for chunk in range(chunks)]
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, chunk_rows: int = 2048
 ) -> DataFrame:
     """The ``k`` best vectors of every query: ``query_id, id, score, rank``.
 
     ``queries`` has ``query_id, embedding`` and is counted first: a few queries
-    travel to the vectors; more than ``chunk_rows`` go in chunks of that size,
-    each with its own pass. Vectors are scored where they lie and only ``k``
+    travel to the vectors; more than ``chunk_rows`` go in chunks of at most that
+    size, each with its own pass. Vectors are scored where they lie and only ``k``
     rows per partition and query are shuffled. Ties rank by id.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must lie in 1..{MAX_K}")
-    chunks = max(1, math.ceil(queries.count() / chunk_rows * 1.25))
     found = None
-    for chunk in range(chunks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select(
-            "query_id", "embedding"
-        ).collect()
+    for chunk in _query_chunks(queries, chunk_rows):
+        rows = chunk.select("query_id", "embedding").collect()
         if not rows:
             continue
         part = _partition_top(
