@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
     Only a local master may go without the setting; it then gets one
-    temporary folder per Python process.
+    temporary folder per Python process, removed when the process ends.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="treeline-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     return _local_dir
 
 
