@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup
+from treeline.llm import chat, decontaminate, exact_dedup, line_dedup
 from treeline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,38 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op6_line_dedup(spark, sf_dir):
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id", F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op6_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, text, i, string_split(text, chr(10))[i] AS raw
+  FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), trimmed AS (
+  SELECT doc_id, source, i, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM lines
+), boilerplate AS (
+  SELECT line, min((doc_id, i)) AS first FROM trimmed WHERE length(line) >= 20
+  GROUP BY line HAVING count(DISTINCT source) >= 5
+), judged AS (
+  SELECT doc_id, i, raw, first IS NOT NULL AND (doc_id, i) <> first AS gone
+  FROM trimmed LEFT JOIN boilerplate USING (line)
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS left_over
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN text IS NOT NULL THEN sha256(left_over) END AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op7_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
