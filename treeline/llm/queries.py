@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, toxicity
+from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, toxicity, url_filter
 from treeline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,18 @@ def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return make
 
 
+RULES = (
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 @query
 def op5_chat_formatting(spark, sf_dir):
     odd = r"\### Assistant: </turn> ok"
