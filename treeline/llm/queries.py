@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, toxicity, url_filter
+from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, pieces, toxicity, url_filter
 from treeline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,14 @@ FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc
 """
 
 
+@query
+def op8_sentencepiece(spark, sf_dir):
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return encoded.select(
+        "row.doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "round_trip", "ids"
+    )
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(
