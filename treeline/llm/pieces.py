@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -213,7 +213,7 @@ def encode(documents: DataFrame, path: str = MODEL, check: bool = False) -> Data
     """``row`` (the columns of ``documents (text, ...)``) and ``ids``; with ``check`` also ``round_trip``."""
     vocabulary = load(path).parts()
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
-    schema = StructType(packed.schema.fields[:1]).add("ids", "array<int>")
+    schema = StructType(packed.schema.fields[:1]).add("ids", ArrayType(IntegerType()))
     if check:
         schema = schema.add("round_trip", "boolean")
     return packed.mapInArrow(_encoder(vocabulary, path, check), schema)
