@@ -12,6 +12,7 @@ _PIECE = 1 << 19  # bytes hashed at once: bounds the temporary arrays
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SECOND = np.random.default_rng(20_012).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,10 +43,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """Sums of byte values times powers; a span's hash is a difference, shifted back to power 0."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=sums[1:])
+    np.cumsum(values[data] * powers(len(data))[0], out=sums[1:])
     return sums
 
 
