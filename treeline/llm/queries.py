@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, pieces, suffix_dedup, toxicity, url_filter
-from treeline.llm.store import table
+from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, pieces, secrets, suffix_dedup, toxicity, url_filter
+from treeline.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,27 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """Findings of four folds of the ids with a label that the issuer's own format proves or rules out."""
+    issued = F.col("candidate").rlike("^AKIA[A-Z0-9]{16}$") | (
+        F.col("candidate").rlike("^[0-9a-f]{40}$") & F.col("before").rlike("token = \"$")
+    ) | (F.col("candidate").rlike("^[0-9a-f]{18}$") & F.col("before").rlike("password=$"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    return found.where(fold != 0).withColumn("label", issued.cast("int"))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = stored(secrets.findings(documents), "findings")
+    dictionary, pairs = secrets.language(documents)
+    model = secrets.train(labelled_findings(found), dictionary, pairs)
+    scored = secrets.score(found, model, dictionary, pairs)
+    return scored.select(
+        "doc_id", "nth", "candidate", "score", (F.col("score") >= 0.5).alias("secret"),
+    )
+
+
 @query
 def op5_chat_formatting(spark, sf_dir):
     odd = r"\### Assistant: </turn> ok"
