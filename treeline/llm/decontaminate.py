@@ -24,11 +24,12 @@ id and text give one row each. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from treeline.llm.store import row_key, stored
 from treeline.llm.words import Words, mixed, text_buffers, words
@@ -42,9 +43,6 @@ _LANE = 512  # words
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
 
-_FOUND = "doc_id long, key binary, n_words long, runs array<struct<first:int,last:int>>, items array<string>"
-
-
 def windows(benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """Distinct ``item, pattern`` of ``benchmark (item_id, text)``; words joined by one blank."""
     found = F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(_WORD), F.lit(1))
@@ -130,34 +128,39 @@ def _search(patterns: list[str], items: list[list[str]]):
                 own = np.flatnonzero(counts == length)
                 built.append(_Tables([encoded[i] for i in own], own, length))
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            for row, data, offsets in text_buffers(batch.column("text")):
+            others = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            sizes, runs, hits = [], [], []
+            for _, data, offsets in text_buffers(batch.column("text")):
                 text = words(data, offsets, _IS_WORD)
                 low = data | ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
                 hit: dict[int, tuple[list, set]] = {}
                 for table in built:
                     for end, number in table.matches(low, text):
                         doc = int(np.searchsorted(text.first, end, "right")) - 1
-                        runs, own = hit.setdefault(doc, ([], set()))
-                        runs.append((end - table.length + 1 - int(text.first[doc]), end - int(text.first[doc])))
-                        own.update(items[number])
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_pylist([{
-                    "doc_id": ids[row + i].as_py(), "key": keys[row + i].as_py(), "n_words": int(text.first[i + 1] - text.first[i]),
-                    "runs": [{"first": a, "last": b} for a, b in _merged(hit[i][0])] if i in hit else [],
-                    "items": sorted(hit[i][1]) if i in hit else [],
-                } for i in range(n)], schema=_SCHEMA)
+                        own, named = hit.setdefault(doc, ([], set()))
+                        own.append((end - table.length + 1 - int(text.first[doc]), end - int(text.first[doc])))
+                        named.update(items[number])
+                sizes.append(np.diff(text.first))
+                for doc in range(len(offsets) - 1):
+                    own, named = hit.get(doc, ((), ()))
+                    runs.append([{"first": a, "last": b} for a, b in _merged(own)])
+                    hits.append(sorted(named))
+            found = [pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(runs, _RUNS)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in others), *found, pa.array(hits, pa.list_(pa.string()))],
+                names=[*(batch.schema.names[i] for i in others), "n_words", "runs", "items"],
+            )
 
     return run
 
 
-_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()),
-    ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string())),
-])
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_RESULT = StructType().add("n_words", "long").add(
+    "runs", ArrayType(StructType().add("first", "integer").add("last", "integer"))
+).add("items", ArrayType(StringType()))
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for first, last in sorted(runs):
         if out and first <= out[-1][1] + 1:
@@ -176,6 +179,26 @@ def _union_length(runs: Column) -> Column:
     ), lambda s: s["n"])
 
 
+def _blocks(benchmark: DataFrame, length: int, block_patterns: int) -> list:
+    """A search for every block of (pattern, item) rows."""
+    pairs = stored(windows(benchmark, length), "patterns")
+    blocks = max(1, -(-pairs.count() // block_patterns))
+    searches = []
+    for number in range(blocks):
+        own = pairs.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks)) == number)
+        by_pattern: dict[str, list[str]] = {}
+        for item, pattern in own.select("item", "pattern").collect():  # about block_patterns rows
+            by_pattern.setdefault(pattern, []).append(item)
+        searches.append(_search(list(by_pattern), list(by_pattern.values())))
+    return searches
+
+
+def _searched(rows: DataFrame, search) -> DataFrame:
+    """``rows`` with the hits in ``text`` in its place."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(search, StructType([*kept, *_RESULT.fields]))
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, length: int = WINDOW, block_patterns: int = 200_000
 ) -> DataFrame:
@@ -184,34 +207,28 @@ def contamination(
     ``runs`` are the hit words (first and last word number), ``items`` the sorted
     ids of the items with an occurring pattern.
     """
-    pairs = stored(windows(benchmark, length), "patterns")
-    blocks = max(1, -(-pairs.count() // block_patterns))
-    key = row_key(F.col("doc_id"), F.col("text")) if blocks > 1 else F.lit(b"")
+    searches = _blocks(benchmark, length, block_patterns)
+    key = row_key(F.col("doc_id"), F.col("text")) if len(searches) > 1 else F.lit(b"")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
-    found = []
-    for number in range(blocks):
-        own = pairs.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks)) == number)
-        by_pattern: dict[str, list[str]] = {}
-        for item, pattern in own.select("item", "pattern").collect():  # about block_patterns rows
-            by_pattern.setdefault(pattern, []).append(item)
-        found.append(texts.mapInArrow(_search(list(by_pattern), list(by_pattern.values())), _FOUND))
-    if blocks == 1:
-        merged = found[0]
-    else:
-        everything = found[0]
-        for more in found[1:]:
-            everything = everything.unionByName(more)
-        everything = stored(everything, "pattern-hits")
+    merged = _searched(texts, searches[0])
+    if len(searches) > 1:
+        for search in searches[1:]:
+            merged = merged.unionByName(_searched(texts, search))
         # rows that agree in id and text agree in hits: merged once, then repeated as often as they came
-        merged = everything.groupBy("doc_id", "key").agg(
+        merged = stored(merged, "pattern-hits").groupBy("doc_id", "key").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-            (F.count("*") / blocks).cast("int").alias("rows"),
+            (F.count("*") / len(searches)).cast("int").alias("rows"),
         ).withColumn("copy", F.explode_outer(F.sequence(F.lit(1), F.col("rows"))))
     return merged.select("doc_id", "n_words", _union_length(F.col("runs")).alias("n_hit"), "runs", "items")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit word; ids must be unique and not null here."""
-    hit = contamination(documents, benchmark).where("n_hit > 0").select("doc_id")
-    return documents.join(hit, "doc_id", "left_anti")
+def decontaminated(
+    documents: DataFrame, benchmark: DataFrame, length: int = WINDOW, block_patterns: int = 200_000
+) -> DataFrame:
+    """The rows of ``documents`` without a hit word; every block of patterns filters what the last one left."""
+    left = documents
+    for search in _blocks(benchmark, length, block_patterns):
+        packed = left.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
+        left = _searched(packed, search).where(F.size("runs") == 0).select("row.*")
+    return left

@@ -17,7 +17,7 @@ about n comparisons and not n².
 
 Null texts and texts without words have no shingles and are linked with nothing;
 fewer words than a shingle form one shingle. A component's id is its smallest
-doc_id; null ids count only in components without another, whose id is null.
+doc_id, and that row is kept; rows without id come after all others, by key.
 Rows equal in id and text share their verdict. Other columns are ignored.
 """
 
@@ -58,10 +58,10 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             if end - begin >= size:
                 yield np.unique(runs[begin : end - size + 1])
             elif end > begin:
-                short = found.hashes[begin]
+                short = found.hashes[begin : begin + 1]
                 for k in range(begin + 1, end):
-                    short = mixed(short * np.uint64(3) + found.hashes[k : k + 1])[0]
-                yield np.array([short], np.uint64)
+                    short = mixed(short * np.uint64(3) + found.hashes[k : k + 1])
+                yield short
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -215,9 +215,9 @@ def _listed(size: int):
 def near_duplicates(
     documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, crowd: int = CROWD
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links, kept`` of every row of ``documents (doc_id, text)``.
+    """``doc_id, key, n_shingles, component_id, n_links, kept`` of every row of ``documents (doc_id, text)``.
 
-    ``n_links`` counts the confirmed links of the row's node: enough to hold its
+    ``key`` names the row (``row_key``). ``n_links`` counts the confirmed links of the row's node: enough to hold its
     component together, not all there may be.
     """
     texts = documents.select(
@@ -226,8 +226,9 @@ def near_duplicates(
     facts = stored(texts.mapInArrow(
         _facts(size), "doc_id long, key binary, n_shingles long, node binary, signature binary"
     ), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")  # a row without id comes last
     nodes = stored(facts.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.any_value("signature").alias("signature")
+        F.min(first).alias("first"), F.any_value("signature").alias("signature")
     ), "nodes")
     signatures = nodes.select("node", "signature")
     candidates = stored(_candidates(signatures, crowd), "candidates")
@@ -239,7 +240,7 @@ def near_duplicates(
         .mapInArrow(_agreement, "a binary, b binary, same int").where(F.col("same") >= least), "likely",
     )
     wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    sources = nodes.join(wanted, "node", "left_semi").select("key", "node")
+    sources = nodes.join(wanted, "node", "left_semi").select("first.key", "node")
     sets = stored(
         texts.select("key", "text").join(sources, "key").select("node", "text")
         .mapInArrow(_listed(size), "node binary, shingles array<long>")
@@ -247,9 +248,9 @@ def near_duplicates(
     )
     best = likely.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select("best.a", "b")
     links = stored(_confirmed(best, sets, similarity), "links")
-    first = stored(components(links), "first-components")
-    home = first.select(F.col("node").alias("a"), F.col("component").alias("home_a"))
-    host = first.select(F.col("node").alias("b"), F.col("component").alias("home_b"))
+    joined = stored(components(links), "first-components")
+    home = joined.select(F.col("node").alias("a"), F.col("component").alias("home_a"))
+    host = joined.select(F.col("node").alias("b"), F.col("component").alias("home_b"))
     open_pairs = stored(
         likely.join(best, ["a", "b"], "left_anti").join(home, "a", "left").join(host, "b", "left")
         .where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b"), "open-pairs",
@@ -257,26 +258,27 @@ def near_duplicates(
     links = stored(links.unionByName(_confirmed(open_pairs, sets, similarity)), "all-links")
     joined = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = nodes.select("node", "least_id").join(joined, "node").join(degree, "node")
-    component = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = stored(ids.join(component, "component").select("node", "component_id", "n_links"), "component-ids")
-    lone = nodes.select("node", F.col("least_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")).join(
+    ids = nodes.select("node", "first").join(joined, "node").join(degree, "node")
+    component = ids.groupBy("component").agg(F.min("first").alias("least"))
+    named = stored(ids.join(component, "component").select("node", "least", "n_links"), "component-ids")
+    lone = nodes.select("node", F.col("first").alias("least"), F.lit(0).cast("long").alias("n_links")).join(
         named, "node", "left_anti"
     )
     found = stored(named.unionByName(lone), "node-components")
-    slim = facts.drop("signature", "key")
+    slim = facts.drop("signature")
     hot = hot_keys(slim.where("node is not null"), "node")
-    with_words = salted(slim.where("node is not null"), "node", hot, "doc_id").join(
+    with_words = salted(slim.where("node is not null"), "node", hot, "key").join(
         for_every_salt(found, "node", hot), ["node", "salt"]
+    ).withColumns({"component_id": F.col("least.doc_id"), "kept": F.col("key") == F.col("least.key")})
+    without = slim.where("node is null").withColumns(
+        {"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "kept": F.lit(True)}
     )
-    without = slim.where("node is null").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
-    columns = ["doc_id", "n_shingles", "component_id", "n_links"]
-    return with_words.select(columns).unionByName(without.select(columns)).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    columns = ["doc_id", "key", "n_shingles", "component_id", "n_links", "kept"]
+    return with_words.select(columns).unionByName(without.select(columns))
 
 
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """One document of every component stays; ids must be unique and not null here."""
-    kept = near_duplicates(documents, **options).where("kept").select("doc_id")
-    return documents.join(kept, "doc_id", "left_semi")
+    """``documents`` with one row of every component; rows equal in id and text count as one."""
+    dropped = near_duplicates(documents, **options).where("not kept").select(F.col("key").alias("_dropped"))
+    own = row_key(F.col("doc_id"), F.col("text"))
+    return documents.join(dropped.distinct(), own == F.col("_dropped"), "left_anti")
