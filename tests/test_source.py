@@ -148,6 +148,67 @@ def test_spans(tree, path, content, expected):
     assert {r.name: (r.start_line, r.end_line, r.complexity) for r in rows} == expected
 
 
+DEEP = """function big(
+  a,
+  b
+) {
+  return a;
+}
+const add = (a, b) => a && b;
+function nest(a = f(g(h(1)))) { return x => x ? 1 : 2 }
+const o = { m(p) { do { p--; }                while (p > 0); while (p) { p++ } }, k: 1 };
+foo((v): T => { if (v) {} }, w => w
+  .q || 2);
+for (let i = size(o) - 1; i >= f(0); i--) { go(i) }
+"""
+WIDE = """class B {
+  public static final synchronized strictfp Map<String, Map<String, List<Map<A, Map<B, C>>>>> wide(
+      int a,
+      List<? extends X> b
+  ) throws E {
+    for (int i = b.size() - 1; i >= f(0); i--) { s += i; }
+    for (
+      int k = 0; k < a;
+      k++
+    ) { }
+    return a > 0 ? g(a) : h(b);
+  }
+  @Named(value = 1, other = f(2)) B() { super(); }
+  int v = call(1);
+}
+enum E { P(1), Q(2); E(int x) { } }
+"""
+NESTED = """def f(a=g((1, (2, (3,)))),
+      b=None):
+    x = 1 if a else 2; y = 3
+    if a: pass; return [
+        i for i in a if i and
+        b
+    ]
+    def odd(self): pass
+    z = a \\
+        or b
+    def inner():
+        def most(): return 1
+
+        return 2
+"""
+
+
+@pytest.mark.parametrize("path, content, expected", [
+    ("d.js", DEEP, {"big": (1, 6, 1), "unknown": (10, 10, 2), "nest": (8, 8, 2), "x": (8, 8, 2), "m": (9, 9, 2), "w": (10, 11, 2)}),
+    ("W.java", WIDE, {"wide": (2, 12, 4), "B": (13, 13, 1), "E": (16, 16, 1)}),
+    ("n.py", NESTED, {"f": (1, 14, 5), "odd": (8, 8, 1), "inner": (11, 14, 1), "most": (12, 12, 1)}),
+])
+def test_spans_without_limits(tree, path, content, expected):
+    read = facts(tree([(path, content)]))
+    rows = spans.functions(read).collect()
+    found = {r.name: (r.start_line, r.end_line, r.complexity) for r in rows}
+    assert found == expected or found == expected | {"unknown": (7, 7, 2)}
+    named = {r.name for r in spans.definitions(read).where("kind = 'function'").collect()}
+    assert named == set(expected) - {"unknown"}
+
+
 def test_unbalanced_braces_end_at_last_event(tree):
     rows = spans.functions(facts(tree([("a.js", "function f() {\n if (a) {\n  b();\n")]))).collect()
     assert [(r.name, r.complexity) for r in rows] == [("f", 2)]
@@ -201,6 +262,6 @@ def test_unreadable_file_is_reported(spark, tmp_path):
 def test_huge_lines(tree, path, content):
     """Nothing recurses on, or rescans, very long lines."""
     read = facts(tree([(path, content)]))
-    sizes = [F.size(c).alias(c) for c in ("events", "imported", "defined")]
+    sizes = [F.size(c).alias(c) for c in ("spans", "imported", "defined")]
     assert read.select("loc", "loc_span", *sizes).collect()[0].loc > 0
     assert spans.functions(read).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from treeline.operators.functions import add_definitions, add_events
+from treeline.operators.functions import add_definitions, add_spans
 from treeline.operators.imports import add_imports
 from treeline.operators.lexical import lex, source_rows
 from treeline.operators.metrics import FILE_METRICS, add_file_metrics
@@ -13,13 +13,13 @@ from treeline.operators.metrics import FILE_METRICS, add_file_metrics
 def facts(
     files: DataFrame, exclude_third_party: bool = True, exclude_tests: bool = True
 ) -> DataFrame:
-    """One row per source file: metrics, ``defined``, ``imported`` and ``events``.
+    """One row per source file: metrics, ``defined``, ``imported`` and ``spans``.
 
     All columns come from one pass over the text. Used once, unread columns are
     pruned; used more often, the table is small enough to be written.
     """
     source = source_rows(files, exclude_third_party, exclude_tests)
-    read = add_events(add_imports(add_definitions(add_file_metrics(lex(source)))))
+    read = add_imports(add_definitions(add_spans(add_file_metrics(lex(source)))))
     return read.select(
-        "repo", "path", "ext", "language", *FILE_METRICS, "defined", "imported", "events"
+        "repo", "path", "ext", "language", *FILE_METRICS, "defined", "imported", "spans"
     )

@@ -1,262 +1,70 @@
 """Function spans and cyclomatic complexity.
 
-A file becomes an array of slim events (headers, braces, indents, decisions);
-spans come from window functions over the exploded events, partitioned by file.
-Text stays behind: only numbers and names are shuffled, once.
+One scan per file (``functions/scan.py``, in Arrow batches) turns masked text into
+an array of spans; text stays behind, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from treeline.functions.rows import explode_rows
-from treeline.session import broadcast_if_small
+from treeline.functions.scan import functions_in
 
 _FILE = ["repo", "path"]
-
-_ARGS = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
 _IDENT = r"[A-Za-z_$][\w$]*"
-
-# Words that may stand where a method name would.
-_NOT_A_NAME = (
-    r"(?!(?:if|for|while|switch|catch|function|return|new|throw|else|do|try|assert|case|await|"
-    r"yield|with|synchronized|package|import|typeof|super)\b)"
-)
-
-_SCRIPT_HEADER = "|".join([
-    rf"\bfunction\s*\*?\s*{_IDENT}\s*{_ARGS}",
-    r"(?:[\w$]+\s*)?=>\s*(?=\{)",
-    rf"(?<=^|[{{}};])\s*(?:(?:async|static|get|set|public|private|protected|readonly)\s+)*\*?{_NOT_A_NAME}"
-    rf"#?{_IDENT}\s*{_ARGS}\s*(?::[^={{}};]+)?(?=\{{|$)",
-])
-_JAVA_HEADER = "|".join([
-    rf"(?<=^|[{{}};])\s*(?:@[\w.]+\s+)*{_NOT_A_NAME}(?:[\w$<>\[\],.?&]+\s+){{1,16}}{_NOT_A_NAME}"
-    rf"{_IDENT}\s*{_ARGS}\s*(?:throws\s+[\w$.,\s]+?)?(?:;|(?=\{{|$))",
-    rf"(?<=^|[{{}};])\s*{_NOT_A_NAME}{_IDENT}\s*{_ARGS}\s*(?=\{{)",
-])
-
-_BRACE_DECISION = "|".join([
-    r"\b(?:if|else|catch|finally|switch)\b",
-    r"(?<!\}\s{0,8})\bwhile\b",
-    r"\bfor(?=\s*\([^;)]*;)",
-    r"&&|\|\|",
-    r"(?<![?<,(]\s{0,4})\?(?![.?:>,)=;])",
-])
-
-# what counts anywhere, and what counts only outside brackets
-_PYTHON_OPERATOR = r"\b(?:and|or)\b|\belse\b(?!\s*:)"
-_PYTHON_DECISION = "|".join([
-    r"^\s*(?:async\s+)?(?:if|elif|else|for|while|except|finally)\b",
-    r"[:;]\s*(?:if|for|while)\b",
-    _PYTHON_OPERATOR,
-])
-
-_PYTHON_HEADER = r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([^\s(]+)"
-
-
-_EVENT = (
-    "array<struct<line_no:int,tok:int,kind:string,name:string,step:int,decisions:int,operators:int,"
-    "leading_brace:boolean,indent:int,bounds:array<int>,previous:int,last_line:int>>"
+_SPANS = ArrayType(
+    StructType().add("name", StringType()).add("start_line", IntegerType())
+    .add("end_line", IntegerType()).add("complexity", LongType())
 )
 
 
-def _event(**fields: Column) -> Column:
-    """Struct of ``_EVENT`` with absent fields null."""
-    types = [f.split(":", 1) for f in (
-        "line_no:int", "tok:int", "kind:string", "name:string", "step:int", "decisions:int",
-        "operators:int", "leading_brace:boolean", "indent:int", "bounds:array<int>", "previous:int", "last_line:int",
-    )]
-    return F.struct(*[
-        fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in types
-    ])
-
-
-def _brace_events(lines: Column, headers: str) -> Column:
-    """Events of one file: H header, A bodiless, O open, C close, D decision."""
-    pattern = F.lit(rf"{headers}|[{{}}]|{_BRACE_DECISION}")
-
-    def event(token: Column, tok: Column, line: Column, n: Column) -> Column:
-        kind = (
-            F.when(token == "{", "O").when(token == "}", "C")
-            .when(token.contains("(") & token.endswith(";"), "A")
-            .when(token.contains("(") | token.contains("=>"), "H")
-            .otherwise("D")
-        )
-        name = F.when(kind.isin("H", "A"), _header_name(token))
-        return _event(
-            line_no=n + 1, tok=tok, kind=kind, name=F.when(name == "", "unknown").otherwise(name),
-            step=F.when(kind == "O", 1).when(kind == "C", -1).otherwise(0),
-            decisions=F.when(kind == "D", 1).otherwise(0),
-            leading_brace=(tok == 0) & F.ltrim(line).startswith("{"),
-        )
-
-    return F.flatten(F.transform(
-        lines,
-        lambda line, n: F.transform(
-            F.regexp_extract_all(line, pattern, F.lit(0)), lambda t, i: event(t, i, line, n)
-        ),
-    ))
-
-
-def _header_name(token: Column) -> Column:
-    return F.when(
-        token.contains("=>"), F.regexp_extract(F.ltrim(token), rf"^({_IDENT})", 1)
-    ).otherwise(F.regexp_extract(token, rf"({_IDENT})\s*\(", 1))
-
+@F.pandas_udf(_SPANS)
+def _spans(languages: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([
+        [dict(zip(("name", "start_line", "end_line", "complexity"), span)) for span in functions_in(language, text)]
+        if language and text else []
+        for language, text in zip(languages, texts)
+    ], dtype=object)
 
-def _python_events(filled: Column, levels: Column) -> Column:
-    """Events of one file: L, a line with decisions or brackets or one that may end a function.
 
-    ``filled`` are its numbered non-blank lines, ``levels`` the distinct indents
-    of its function headers. ``bounds`` are the levels the line ends.
-    """
-    last_line = F.element_at(filled, -1)["line_no"]
-
-    def event(row: Column, i: Column) -> Column:
-        line = row["line"]
-        indent = F.length(F.regexp_extract(line, r"^([ \t]*)", 1))
-        opened = F.regexp_count(line, F.lit(r"[(\[{]")) - F.regexp_count(line, F.lit(r"[)\]}]"))
-        return _event(
-            line_no=row["line_no"], tok=F.lit(0), kind=F.lit("L"),
-            name=F.when(line.rlike(_PYTHON_HEADER), F.regexp_extract(line, _PYTHON_HEADER, 2)),
-            step=opened, decisions=F.regexp_count(line, F.lit(_PYTHON_DECISION)),
-            operators=F.regexp_count(line, F.lit(_PYTHON_OPERATOR)), indent=indent,
-            bounds=F.filter(levels, lambda level: level >= indent),
-            previous=F.get(filled, i - 1)["line_no"], last_line=last_line,
-        )
-
-    return F.filter(
-        F.transform(filled, event),
-        lambda e: (e["decisions"] > 0) | (e["step"] != 0) | (F.size(e["bounds"]) > 0),
-    )
-
-
-def add_events(lexed: DataFrame) -> DataFrame:
-    """Add ``events``, the rows function spans are computed from, as one array per file."""
-    masked_lines = F.split("masked", "\n")
-    python = F.col("language") == "python"
-    numbered = F.filter(
-        F.transform(
-            masked_lines,
-            lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")),
-        ),
-        lambda x: x["line"].rlike(r"\S"),
-    )
-    indents = F.regexp_extract_all("masked", F.lit("(?m)" + _PYTHON_HEADER), F.lit(1))
-    with_lines = lexed.select(
-        "*", F.when(python, numbered).alias("_filled"),
-        F.when(python, F.array_distinct(F.transform(indents, F.length))).alias("_levels"),
-    )
-    events = (
-        F.when(python & (F.size("_levels") == 0), F.array().cast(_EVENT))
-        .when(python, _python_events(F.col("_filled"), F.col("_levels")).cast(_EVENT))
-        .when(F.col("language") == "java", _brace_events(masked_lines, _JAVA_HEADER).cast(_EVENT))
-        .otherwise(_brace_events(masked_lines, _SCRIPT_HEADER).cast(_EVENT))
-    )
-    return with_lines.select(*lexed.columns, events.alias("events"))
+def add_spans(lexed: DataFrame) -> DataFrame:
+    """Add ``spans``, the functions of the file in the order of their headers."""
+    return lexed.withColumn("spans", _spans("language", "masked"))
 
 
 def functions(facts: DataFrame) -> DataFrame:
-    """Every function of every file, nested ones too, with span and complexity.
-
-    Braces: on one nesting level an opening brace is followed by its close.
-    Python: on one header indent a function ends before the next line indented
-    no deeper. Either way the end is the next row of the file on that level.
-    """
-    in_file = Window.partitionBy(*_FILE).orderBy("line_no", "tok")
-    whole_file = Window.partitionBy(*_FILE)
-    on_level = Window.partitionBy(*_FILE, "level").orderBy("line_no", "tok")
-    kind, depth = F.col("kind"), F.col("depth")
-    # a Python line inside brackets continues a statement: it ends nothing, and
-    # its leading words belong to a comprehension
-    continues = (kind == "L") & (F.col("depth") - F.col("step") > 0)
-    counted = F.when(continues, F.col("operators")).otherwise(F.col("decisions"))
-    events = (
-        explode_rows(facts, [*_FILE, "language"], "events", "e")
-        .select(*_FILE, "language", "e.*")
-        .withColumn("depth", F.sum("step").over(in_file))
-        .withColumn("counted", counted)
-        .select(
-            "*",
-            (F.sum("counted").over(in_file) - F.col("counted")).alias("seen"),
-            F.sum("counted").over(whole_file).alias("all_seen"),
-            F.max("line_no").over(whole_file).alias("last_event"),
-            F.lag("kind").over(in_file).alias("before"),
-            F.lag("name").over(in_file).alias("header"),
-            F.lag("line_no").over(in_file).alias("header_line"),
-        )
-    )
-    levels = (
-        F.when(continues, None).when(kind == "L", F.col("bounds")).when(kind == "O", F.array(depth))
-        .when(kind == "C", F.array(depth + 1)).when(kind == "A", F.array(F.lit(-1)))
-    )
-    ends = explode_rows(events, ["*"], levels.cast("array<int>"), "level").select(
-        "*",
-        F.when(kind == "L", F.coalesce(F.lead("previous").over(on_level), "last_line"))
-        .otherwise(F.coalesce(F.lead("line_no").over(on_level), "last_event")).alias("end"),
-        F.coalesce(F.lead("seen").over(on_level), "all_seen").alias("end_seen"),
-    )
-    opens_body = (
-        (kind == "O") & (F.col("before") == "H")
-        & ((F.col("header_line") == F.col("line_no")) | F.col("leading_brace"))
-    )
-    starts = (
-        opens_body | (kind == "A")
-        | ((kind == "L") & F.col("name").isNotNull() & (F.col("indent") == F.col("level")))
-    )
-    bodiless = kind == "A"
-    return ends.where(starts).select(
-        *_FILE, "language",
-        F.when(kind == "O", F.col("header")).otherwise(F.col("name")).alias("name"),
-        F.when(kind == "O", F.col("header_line")).otherwise(F.col("line_no")).alias("start_line"),
-        F.when(bodiless, F.col("line_no")).otherwise(F.col("end")).alias("end_line"),
-        F.when(bodiless, F.lit(1).cast("bigint"))
-        .otherwise(F.col("end_seen") - F.col("seen") + 1).alias("complexity"),
+    """Every function of every file, nested ones too, with span and complexity."""
+    return explode_rows(facts, [*_FILE, "language"], "spans", "s").select(
+        *_FILE, "language", F.coalesce("s.name", F.lit("unknown")).alias("name"),
+        "s.start_line", "s.end_line", "s.complexity",
     )
 
 
 def with_content(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """Add each function's own source lines.
-
-    A short list of functions goes to the texts; only a long one shuffles them.
-    """
+    """Add each function's own source lines."""
     text = F.array_join(
         F.slice(F.split("content", "\n"), F.col("start_line"),
                 F.col("end_line") - F.col("start_line") + 1),
         "\n",
     )
-    chosen = broadcast_if_small(functions, "chosen-functions")
-    return files.select("repo", "path", "content").join(chosen, _FILE).select(
+    return files.select("repo", "path", "content").join(functions, _FILE).select(
         *functions.columns, text.alias("content")
     )
 
 
-def add_definitions(lexed: DataFrame) -> DataFrame:
-    """Add ``defined``: an array of the file's named functions and classes."""
-    masked = F.col("masked")
-    script = rf"(?m)(?:{_SCRIPT_HEADER})(?=\s*\{{)"
-    java = rf"(?m)(?:{_JAVA_HEADER})(?=\s*\{{|\s*$)"
+def add_definitions(spanned: DataFrame) -> DataFrame:
+    """Add ``defined``: the file's named functions, as in ``spans``, and its classes."""
     classes = rf"(?m)(?:^|[{{}};]|\s)class[ \t]+({_IDENT})(?=\s*(?:[({{:]|extends\b|implements\b|<))"
-    function_names = (
-        F.when(
-            F.col("language") == "python",
-            F.regexp_extract_all(masked, F.lit("(?m)" + _PYTHON_HEADER), F.lit(2)),
-        )
-        .when(
-            F.col("language") == "java",
-            F.transform(F.regexp_extract_all(masked, F.lit(java), F.lit(0)), _header_name),
-        )
-        .otherwise(F.transform(F.regexp_extract_all(masked, F.lit(script), F.lit(0)), _header_name))
-    )
 
     def named(kind: str, names: Column) -> Column:
-        return F.transform(
-            F.filter(F.array_distinct(names), lambda n: n != ""),
-            lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")),
-        )
+        return F.transform(F.array_distinct(names), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
-    class_names = F.regexp_extract_all(masked, F.lit(classes), F.lit(1))
-    return lexed.withColumn(
+    function_names = F.filter(F.transform("spans", lambda s: s["name"]), lambda n: n.isNotNull())
+    class_names = F.regexp_extract_all("masked", F.lit(classes), F.lit(1))
+    return spanned.withColumn(
         "defined", F.concat(named("function", function_names), named("class", class_names))
     )
 
