@@ -47,6 +47,8 @@ def _python() -> str:
       || repeat('    elif x > 1:' || {_NL} || '        y = 1' || {_NL}, doc_id % 20)
       || '    else:' || {_NL} || '        return y' || {_NL} || {_NL}
       || 'class C' || doc_id || ':' || {_NL} || '    pass' || {_NL}
+      || 'def g' || doc_id || '(a=k((1, (2,))),' || {_NL} || '        b=None):' || {_NL}
+      || '    def inner(): return a or b' || {_NL} || '    return 1 if a else 2' || {_NL}
       || '# ' || replace(text, {_NL}, {_NL} || '# ')"""
 
 
@@ -57,6 +59,9 @@ def _script(prefix: str) -> str:
       || '  if (x && y) {{ return "// no"; }}' || {_NL}
       || repeat('  while (x > 1) {{ x--; }}' || {_NL}, doc_id % 20)
       || '  return y;' || {_NL} || '}}' || {_NL} || 'class C' || doc_id || ' {{' || {_NL} || '}}' || {_NL}
+      || 'function g' || doc_id || '(' || {_NL} || '  a,' || {_NL} || '  b' || {_NL} || ') {{' || {_NL}
+      || '  for (let i = size(b) - 1; i >= 0; i--) {{ do {{ a--; }}            while (a > 0); }}' || {_NL}
+      || '  const h = (p, q = k(k(1))) => p && q;' || {_NL} || '  return a;' || {_NL} || '}}' || {_NL}
       || '// ' || replace(text, {_NL}, {_NL} || '// ')"""
 
 
@@ -67,7 +72,11 @@ def _java() -> str:
       || '  int f' || doc_id || '(int x, int y) {{' || {_NL}
       || '    if (x > 0 && y > 0) {{ return x; }}' || {_NL}
       || repeat('    for (int i = 0; i < x; i++) {{ y++; }}' || {_NL}, doc_id % 20)
-      || '    return y;' || {_NL} || '  }}' || {_NL} || '}}' || {_NL}
+      || '    return y;' || {_NL} || '  }}' || {_NL}
+      || '  public List<Map<String, List<String>>> g' || doc_id || '(' || {_NL} || '      int a,' || {_NL}
+      || '      List<? extends Object> b' || {_NL} || '  ) throws Exception {{' || {_NL}
+      || '    for (int i = b.size() - 1; i >= 0; i--) {{ do {{ a--; }}            while (a > 0); }}' || {_NL}
+      || '    return a > b.size() ? null : c(a);' || {_NL} || '  }}' || {_NL} || '}}' || {_NL}
       || '// ' || replace(text, {_NL}, {_NL} || '// ')"""
 
 
@@ -138,6 +147,12 @@ bodies AS (
       ELSE regexp_extract(content, '(?s)\n(  int f.*?\n  \}})', 1) END AS body
   FROM code
 ),
+seconds AS (
+  SELECT path, language, regexp_extract(content, '\n(?:def|function|  public [^\n]*>) (g-?[0-9]+)\(', 1) AS name,
+    len(string_split(content[: instr(content, chr(10) || CASE language WHEN 'python' THEN 'def g'
+      WHEN 'javascript' THEN 'function g' ELSE '  public List<' END)], chr(10))) AS line
+  FROM code
+),
 spans AS (
   SELECT path, language, regexp_extract(body, '(f-?[0-9]+)\(', 1) AS name, body,
     1 + len(string_split(content[: instr(content, body) - 1], chr(10))) - 1 AS start_line,
@@ -145,12 +160,19 @@ spans AS (
     1 + len(regexp_extract_all(regexp_replace(body, '"[^"]*"', '', 'g'),
       '\b(?:if|elif|else|for|while|and|or)\b|&&|\|\|')) AS complexity
   FROM bodies
+  UNION ALL
+  SELECT path, language, name, NULL, line,
+    line + CASE language WHEN 'python' THEN 3 WHEN 'javascript' THEN 7 ELSE 6 END, 3 FROM seconds
+  UNION ALL
+  SELECT path, language, 'inner', NULL, line + 2, line + 2, 2 FROM seconds WHERE language = 'python'
+  UNION ALL
+  SELECT path, language, 'unknown', NULL, line + 5, line + 5, 2 FROM seconds WHERE language = 'javascript'
 )"""
 
 DEFINITIONS = rf"""{CODE},
 definitions AS (
   SELECT path, 'function' AS kind,
-    unnest(regexp_extract_all(code, '(?:def|function|int) (f[0-9]+)\(', 1)) AS name FROM code
+    unnest(regexp_extract_all(code, '(?:def|function|int|>>>) ([fg][0-9]+|inner)\(', 1)) AS name FROM code
   UNION ALL
   SELECT path, 'class', unnest(regexp_extract_all(code, '(?:^|\n)class (C[0-9]+)', 1)) FROM code
 )"""
@@ -350,7 +372,8 @@ changes AS (
     CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'RUNNING'
       WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
     CASE WHEN event_type = 'error' THEN 'Task execution failed: ' || props END AS error,
-    CASE WHEN event_type = 'purchase' AND value > 20 THEN 'r' || event_id END AS report_path
+    CASE WHEN event_type = 'purchase' AND value > 20 THEN 'r' || event_id END AS report_path,
+    CASE WHEN event_type = 'purchase' THEN 'loc=' || event_id END AS summary
   FROM events
 ),
 jobs AS (
@@ -359,6 +382,7 @@ jobs AS (
     arg_max(status, row(ts, seq)) AS status,
     arg_max(error, row(ts, seq)) FILTER (error IS NOT NULL) AS error,
     arg_max(report_path, row(ts, seq)) FILTER (report_path IS NOT NULL) AS report_path,
+    arg_max(summary, row(ts, seq)) FILTER (summary IS NOT NULL) AS summary,
     min(ts) AS created_at, max(ts) AS updated_at
   FROM changes GROUP BY job_id
 )"""
@@ -546,7 +570,7 @@ ORACLES: dict[str, str] = {
         FROM q JOIN v ON v.bucket = q.bucket GROUP BY ALL) QUALIFY rank <= 10"""),
     "vector_table": """SELECT 'job-' || label AS job_id, vec_id AS id, len(embedding) AS width,
       round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label = 3""",
-    "current_jobs": _with(JOBS, """SELECT job_id, repo_url, status, error, report_path,
+    "current_jobs": _with(JOBS, """SELECT job_id, repo_url, status, error, report_path, summary,
       strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
       strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM jobs"""),
     "final_status": f"""WITH failed AS (SELECT event_id, CASE event_type
@@ -554,8 +578,9 @@ ORACLES: dict[str, str] = {
         WHEN 'click' THEN ['Could not read ' || repeat(props, 200)]
         WHEN 'view' THEN ['FAISS index build failed: y'] ELSE [] END AS errors FROM events)
       SELECT event_id, CASE WHEN len(list_filter(errors, lambda e: {_FATAL})) > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-        CASE WHEN len(errors) > 0 THEN left(array_to_string(errors, '; '), 1000) END AS error FROM failed""",
-    "status_view": _with(JOBS, """SELECT job_id, status, repo_url,
+        CASE WHEN len(errors) > 0 THEN left(array_to_string(errors, '; '), 1000) END AS error,
+        array_to_string(errors, chr(10)) AS errors FROM failed""",
+    "status_view": _with(JOBS, """SELECT job_id, status, repo_url, summary,
       strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at,
       CASE WHEN status = 'COMPLETED' THEN '/analyze/results/' || job_id END AS results_url,
       CASE WHEN status = 'FAILED' THEN error END AS error FROM jobs"""),
@@ -574,7 +599,11 @@ ORACLES: dict[str, str] = {
       CASE WHEN floor(l_extendedprice) > 1000 THEN printf('%.1f',
           (floor(l_extendedprice) + (floor(l_extendedprice)::BIGINT % 1000 IN (250, 750))::INT) / 1000) || 'K'
         ELSE regexp_replace(format('{:,.3f}', floor(l_extendedprice)), '\.?0+$', '') END AS loc FROM lineitem""",
-    "full_report": f"SELECT *, 3 AS suggestions, true AS excluded_third_party, true AS excluded_tests, 0 AS errors FROM ({_REPORT})",
+    "full_report": f"SELECT *, 3 AS suggestions, true AS excluded_third_party, true AS excluded_tests, 0 AS errors, 'COMPLETED' AS status FROM ({_REPORT})",
+    "report_without_third_party_filter": _with(SF, f"""SELECT 'job-2' AS job_id, count(*) AS files_analyzed,
+      sum(CASE WHEN path LIKE '%.java' THEN 2 ELSE 3 END)::BIGINT AS total_functions,
+      count(*) FILTER (NOT {_VENDORED}) AS graph_files, 'COMPLETED' AS status FROM sf WHERE NOT {_TEST}"""),
+    "tree_scan": _with(SF, f"SELECT path, length(content) AS chars, NULL::VARCHAR AS error FROM sf WHERE NOT {_VENDORED}"),
     "job_summary": f"""SELECT job_id, repository, loc, debt_score, avg_complexity,
       duplicate_pairs_found AS duplicate_pairs FROM ({_REPORT})""",
     "report_round_trip": _with(METRICS, """SELECT ext AS job_id, sum(loc)::BIGINT AS loc,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from treeline.functions import paths, scores, text
@@ -13,7 +14,7 @@ from treeline.operators import lexical, metrics, minhash, search, simhash
 from treeline.operators.facts import facts
 from treeline.plans import report
 from treeline.session import configure, materialize, new_path
-from treeline.sources import fixture, sinks
+from treeline.sources import files as tree, fixture, sinks
 from treeline.sources.tables import read_documents, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +136,27 @@ def relative_modules(spark, sf_dir):
     )
 
 
+@query
+def tree_scan(spark, sf_dir):
+    """The derived files, written to a folder as files and read back by a scan of it."""
+    root = new_path(spark, "tree")
+
+    def write(batches):
+        for batch in batches:
+            system, base = fs.FileSystem.from_uri(root)
+            for path, content in zip(batch["path"], batch["content"]):
+                system.create_dir(f"{base}/{path.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as stream:
+                    stream.write(content.encode())
+            yield batch[["path"]]
+
+    written = _files(spark, sf_dir).select("path", "content").mapInPandas(write, "path string")
+    written.write.format("noop").mode("overwrite").save()
+    return tree.scan_tree(spark, root, "r", exclude_third_party=True).select(
+        "path", F.length("content").alias("chars"), "error"
+    )
+
+
 # --- lines, comments, markers ---------------------------------------------
 
 @query
@@ -507,7 +529,10 @@ def text_search(spark, sf_dir):
         F.concat(F.lit("notes/d"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content")
     )
     vectors = search.embed(search.indexable(docs), "path", "content")
-    asked = read_table(spark, sf_dir, "benchmark").where(F.length("text") >= search.MIN_QUERY_CHARS)
+    asked = read_table(spark, sf_dir, "benchmark")
+    short = asked.where(F.length("text") < search.MIN_QUERY_CHARS).count()
+    if short:
+        raise ValueError(f"{short} queries are shorter than {search.MIN_QUERY_CHARS} characters")
     queries = search.embed(asked, "item_id", "text").withColumnRenamed("id", "query_id")
     return search.search(vectors, queries, k=10).withColumnRenamed("id", "path")
 
@@ -539,6 +564,7 @@ def _changes(spark, sf_dir) -> DataFrame:
         .when(kind == "purchase", "COMPLETED").otherwise("FAILED").alias("status"),
         F.when(kind == "error", F.concat(F.lit("Task execution failed: "), "props")).alias("error"),
         F.when((kind == "purchase") & (F.col("value") > 20), F.concat(F.lit("r"), "event_id")).alias("report_path"),
+        F.when(kind == "purchase", F.concat(F.lit("loc="), "event_id")).alias("summary"),
     )
 
 
@@ -546,7 +572,7 @@ def _changes(spark, sf_dir) -> DataFrame:
 def current_jobs(spark, sf_dir):
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return jobs.current_jobs(_changes(spark, sf_dir)).select(
-        "job_id", "repo_url", "status", "error", "report_path",
+        "job_id", "repo_url", "status", "error", "report_path", "summary",
         F.date_format("created_at", stamp).alias("created_at"),
         F.date_format("updated_at", stamp).alias("updated_at"),
     )
@@ -562,7 +588,8 @@ def final_status(spark, sf_dir):
         .when(kind == "view", F.array(F.lit("FAISS index build failed: y")))
         .otherwise(no_errors)
     )
-    return jobs.with_final_status(read_table(spark, sf_dir, "events").select("event_id", errors.alias("errors")))
+    runs = jobs.with_final_status(read_table(spark, sf_dir, "events").select("event_id", errors.alias("errors")))
+    return runs.withColumn("errors", F.array_join("errors", "\n"))
 
 
 @query
@@ -614,12 +641,22 @@ def report_round_trip(spark, sf_dir):
 def full_report(spark, sf_dir):
     made = report.full_report(_files(spark, sf_dir), "job-1")
     return made.select(
-        "job_id", "repository", "code_metrics.*",
+        "job_id", "repository", "code_metrics.*", "status",
         F.col("dependency_metrics.total_edges").alias("total_edges"),
         F.col("dependency_metrics.circular_dependencies").alias("circular_dependencies"),
         F.col("duplication_metrics.duplicate_pairs_found").alias("duplicate_pairs_found"),
         F.size("llm_suggestions.items").alias("suggestions"),
         "excluded_third_party", "excluded_tests", F.size("analysis_errors").alias("errors"),
+    ).drop("error")
+
+
+@query
+def report_without_third_party_filter(spark, sf_dir):
+    """Vendored files are measured but never enter the graph."""
+    made = report.full_report(_files(spark, sf_dir), "job-2", exclude_third_party=False)
+    return made.select(
+        "job_id", "code_metrics.files_analyzed", "code_metrics.total_functions",
+        F.col("dependency_metrics.total_files").alias("graph_files"), "status",
     )
 
 

@@ -25,19 +25,23 @@ Your suggestion:
 # Fixed value: longest error text kept on a job row.
 MAX_ERROR_CHARS = 1000
 
+# White space of Unicode, as the members of a character class.
+SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
 
 def decode_lossy(content: Column) -> Column:
-    """Bytes to text, dropping what is not valid UTF-8."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes to text, dropping what is not valid UTF-8; valid bytes stay as they are."""
+    read = content.cast("string")
+    return F.when(F.is_valid_utf8(read), read).otherwise(F.replace(F.make_valid_utf8(read), F.lit("�"), F.lit("")))
 
 
 def is_blank(line: Column) -> Column:
-    return ~line.rlike(r"\S")
+    return ~line.rlike(f"[^{SPACE}]")
 
 
 def line_count(text: Column) -> Column:
     """Lines holding at least one non-space character."""
-    return F.regexp_count(text, F.lit(r"\S[^\n]*"))
+    return F.regexp_count(text, F.lit(f"[^{SPACE}][^\\n]*"))
 
 
 def has_marker(comment: Column) -> Column:
@@ -52,7 +56,7 @@ def marker_lines(text: Column) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """Every whitespace run to one space; ends are not trimmed."""
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(text, f"[{SPACE}]+", " ")
 
 
 def word_chars(text: Column) -> Column:
@@ -69,7 +73,7 @@ def stripped(text: Column) -> Column:
 
     The look-behind lets a run of whitespace be tried once, not from each of its characters.
     """
-    return F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")
+    return F.regexp_replace(text, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+$", "")
 
 
 def stripped_length(text: Column) -> Column:

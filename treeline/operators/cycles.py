@@ -9,23 +9,22 @@ from pyspark.sql import DataFrame, functions as F
 from treeline.session import materialize
 
 
-def _peel(edges: DataFrame, rounds: int) -> DataFrame:
-    """Drop edges that enter a node nothing leaves or leave a node nothing enters.
+def _peel(edges: DataFrame) -> DataFrame:
+    """Drop edges that enter a node nothing leaves or leave a node nothing enters, until none is left.
 
-    Such edges lie on no cycle. Any number of rounds is exact; more only prune more.
+    Such edges lie on no cycle; a graph without cycles loses all of them.
     """
-    for _ in range(rounds):
+    before, left = None, edges.count()
+    while left != before and left:
         sources = edges.select("repo", F.col("src").alias("dst")).distinct()
         targets = edges.select("repo", F.col("dst").alias("src")).distinct()
-        edges = edges.join(sources, ["repo", "dst"], "left_semi").join(
-            targets, ["repo", "src"], "left_semi"
-        ).select("repo", "src", "dst")
+        kept = edges.join(sources, ["repo", "dst"], "left_semi").join(targets, ["repo", "src"], "left_semi")
+        edges = materialize(kept.select("repo", "src", "dst"), "cycle-edges")
+        before, left = left, edges.count()
     return edges
 
 
-def elementary_cycles(
-    edges: DataFrame, max_len: int | None = None, peel_rounds: int = 1
-) -> DataFrame:
+def elementary_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """Every elementary cycle, self-loops included: ``repo, length, chain``.
 
     ``edges`` has ``repo, src, dst``. A chain starts at its smallest node, so
@@ -33,8 +32,7 @@ def elementary_cycles(
     nodes greater than the start. The loop ends when no path can grow, or at
     ``max_len`` nodes if that is given.
     """
-    distinct = edges.select("repo", "src", "dst").distinct()
-    graph = materialize(_peel(distinct, peel_rounds), "cycle-edges")
+    graph = _peel(materialize(edges.select("repo", "src", "dst").distinct(), "cycle-edges"))
     loops = graph.where(F.col("src") == F.col("dst")).select(
         "repo", F.lit(1).alias("length"), F.array("src").alias("chain")
     )

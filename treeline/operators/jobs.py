@@ -18,8 +18,8 @@ FATAL_ERRORS = (
 def current_jobs(changes: DataFrame) -> DataFrame:
     """Latest state of every job.
 
-    ``changes`` has ``job_id, seq, ts, repo_url, status, error, report_path``; a
-    null leaves a field as it was. The aggregates combine before the shuffle, so
+    ``changes`` has ``job_id, seq, ts, repo_url, status, error, report_path`` and,
+    if wanted, ``summary``; a null leaves a field as it was. The aggregates combine before the shuffle, so
     a job with many changes moves as one row per task.
     """
     at = F.struct("ts", "seq")
@@ -28,20 +28,25 @@ def current_jobs(changes: DataFrame) -> DataFrame:
         return F.max_by(column, F.when(F.col(column).isNotNull(), at)).alias(column)
 
     return changes.groupBy("job_id").agg(
-        last("repo_url"), last("status"), last("error"), last("report_path"),
+        *[last(c) for c in ("repo_url", "status", "error", "report_path", "summary") if c in changes.columns],
         F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
     )
 
 
+def append_changes(changes: DataFrame, path: str) -> None:
+    """Add rows to the table of changes; nothing in it is ever rewritten."""
+    changes.write.mode("append").parquet(path)
+
+
 def with_final_status(runs: DataFrame) -> DataFrame:
-    """Replace ``errors`` by ``status`` and ``error``: fatal errors fail the job,
-    others are kept on a completed one."""
+    """Add ``status`` and ``error`` to ``errors``: fatal errors fail the job, others are
+    kept on a completed one. ``error`` is for display and cut; ``errors`` stays whole."""
     error = F.col("errors")
     fatal = F.exists(
         error, lambda e: reduce(Column.__or__, [e.contains(text) for text in FATAL_ERRORS])
     )
     return runs.select(
-        *[c for c in runs.columns if c != "errors"],
+        *runs.columns,
         F.when(fatal, "FAILED").otherwise("COMPLETED").alias("status"),
         error_text(error).alias("error"),
     )
@@ -50,14 +55,16 @@ def with_final_status(runs: DataFrame) -> DataFrame:
 def status_view(jobs: DataFrame) -> DataFrame:
     """What a poller sees: the result location of completed jobs, the error of failed ones."""
     status = F.col("status")
+    summary = ["summary"] if "summary" in jobs.columns else []
     return jobs.select(
-        "job_id", "status", "repo_url",
+        "job_id", "status", "repo_url", *summary,
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"),
         F.when(status == "COMPLETED", F.concat(F.lit("/analyze/results/"), "job_id")).alias("results_url"),
         F.when(status == "FAILED", F.col("error")).alias("error"),
     )
 
 
+# Fixed values below: the texts of the view.
 def results_view(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     """``job_id, status, error, report``: the report, or why there is none yet.
 

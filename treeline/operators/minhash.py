@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from treeline.functions.text import collapse_space, shingles
 from treeline.operators.buckets import bucket_pairs
-from treeline.session import broadcast_if_small, materialize
+from treeline.session import materialize
 
 # Shingles are hashed as base-BASE numbers modulo PRIME.
 BASE = 1_000_003
@@ -288,7 +288,7 @@ def exact_jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     ends = pairs.select("scope", F.col("id_a").alias("id")).unionByName(
         pairs.select("scope", F.col("id_b").alias("id"))
     ).distinct()
-    wanted = docs.join(broadcast_if_small(ends, "paired-ids"), ["scope", "id"])
+    wanted = docs.join(materialize(ends, "paired-ids"), ["scope", "id"])
     sets = wanted.select("scope", "id", shingles(F.col("text"), k).alias("set"))
 
     def side(s: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from treeline.functions import paths, text
+from treeline.session import materialize
 
 MIN_QUERY_CHARS = 3
 MAX_K = 50
@@ -129,36 +130,33 @@ def _partition_top(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarra
 
 
 def _query_chunks(queries: DataFrame, chunk_rows: int) -> list[DataFrame]:
-    """``queries`` as chunks that were counted to hold at most ``chunk_rows`` rows each."""
-    total = queries.count()
-    chunks = max(1, math.ceil(total / chunk_rows))
-    largest = total
-    while largest > chunk_rows:
-        number = F.pmod(F.xxhash64("query_id", "embedding"), F.lit(chunks))
-        sizes = queries.groupBy(number.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0]
-        if largest > chunk_rows:
-            chunks *= 2
-    if chunks == 1:
-        return [queries]
+    """``queries`` hashed into chunks of about ``chunk_rows`` rows."""
+    chunks = max(1, math.ceil(queries.count() / chunk_rows))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
     return [queries.where(number == chunk) for chunk in range(chunks)]
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, chunk_rows: int = 2048
+    vectors: DataFrame, queries: DataFrame, k: int = 10, chunk_rows: int = 2048, max_k: int = MAX_K
 ) -> DataFrame:
     """The ``k`` best vectors of every query: ``query_id, id, score, rank``.
 
-    ``queries`` has ``query_id, embedding`` and is counted first: a few queries
-    travel to the vectors; more than ``chunk_rows`` go in chunks of at most that
-    size, each with its own pass. Vectors are scored where they lie and only ``k``
-    rows per partition and query are shuffled. Ties rank by id.
+    ``queries`` has ``query_id, embedding``; a ``query_id`` names one query, and
+    rows without id or vector are left out on either side. A few queries travel to
+    the vectors; more go in chunks, each with its own pass. Vectors are scored
+    where they lie and only ``k`` rows per partition and query are shuffled. Ties
+    rank by id. ``max_k`` is the largest ``k`` that a caller may ask for.
     """
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must lie in 1..{MAX_K}")
+    if not 1 <= k <= max_k:
+        raise ValueError(f"k must lie in 1..{max_k}")
+    asked = materialize(
+        queries.select("query_id", "embedding").where("query_id is not null and embedding is not null")
+        .dropDuplicates(["query_id"]), "queries",
+    )
+    vectors = vectors.where("id is not null and embedding is not null")
     found = None
-    for chunk in _query_chunks(queries, chunk_rows):
-        rows = chunk.select("query_id", "embedding").collect()
+    for chunk in _query_chunks(asked, chunk_rows):
+        rows = chunk.collect()
         if not rows:
             continue
         part = _partition_top(

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from treeline.functions import paths
 from treeline.operators import cycles, enrich, functions as spans, graph, imports, lexical
 from treeline.operators import metrics, minhash
 from treeline.operators.facts import facts
+from treeline.operators.jobs import with_final_status
 from treeline.session import materialize
 
 ANALYSIS_METHOD = "Lexical scan + dependency tables + MinHash + vector search"
@@ -57,20 +60,40 @@ def dependency_metrics(built: graph.Graph, exclude_third_party: bool = True) ->
     )
 
 
+# one type per section, so that readers find the same fields whether a section worked or not
+SECTION_TYPES = {
+    "code_metrics": "loc bigint, marker_comments bigint, files_analyzed bigint, total_functions bigint, "
+    "max_complexity bigint, min_complexity bigint, avg_complexity double, low bigint, medium bigint, "
+    "high bigint, very_high bigint, debt_score double",
+    "dependency_metrics": "total_files bigint, total_functions bigint, total_classes bigint, "
+    "total_external_dependencies bigint, total_edges bigint, average_connections_per_node double, "
+    "graph_density double, most_dependent_files array<struct<file:string,dependencies:bigint>>, "
+    "most_depended_on_files array<struct<file:string,dependents:bigint>>, circular_dependencies bigint, "
+    "circular_dependency_chains array<array<string>>",
+    "duplication_metrics": "files_analyzed bigint, duplicate_pairs_found bigint, similarity_threshold double, "
+    "shingle_size_k int",
+    "llm_suggestions": "items array<struct<file_path:string,function_name:string,complexity:bigint,"
+    "suggestion:string,original_code:string,error:string>>",
+}
+
+
 @dataclass
 class Sections:
-    """Runs one section after the other; a failing one becomes its error text."""
+    """Runs one section after the other; a failing one keeps its fields, all null, beside its error."""
 
     errors: list[str] = field(default_factory=list)
 
     def run(self, label: str, make: Callable[[], DataFrame], name: str) -> DataFrame | Column:
+        kinds = T.StructType.fromDDL(SECTION_TYPES[name])
         try:
             section = make()
-            columns = [c for c in section.columns if c != "repo"]
-            return materialize(section.select("repo", F.struct(*columns).alias(name)), "section")
+            fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]
+            value = F.struct(*fields, F.lit(None).cast("string").alias("error"))
+            return materialize(section.select("repo", value.alias(name)), "section")
         except Exception as failure:  # a broken section must not lose the others
             self.errors.append(f"{label} failed: {failure}")
-            return F.struct(F.lit(str(failure)).alias("error")).alias(name)
+            fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in kinds]
+            return F.struct(*fields, F.lit(str(failure)).alias("error")).alias(name)
 
 
 def full_report(
@@ -81,42 +104,54 @@ def full_report(
 
     Sections hold figures and bounded lists only. Duplicate pairs, graph rows
     and vectors grow with the corpus and are tables of their own
-    (``minhash.duplicates``, ``graph.node_link_rows``, ``search.embed``).
+    (``minhash.duplicates``, ``graph.node_link_rows``, ``search.embed``). Vendored
+    files never enter the graph; ``exclude_third_party`` hides its external nodes.
     """
-    read = materialize(facts(files, exclude_third_party, exclude_tests), "facts")
-    functions = materialize(spans.functions(read), "functions")
     sections = Sections()
 
+    @cache
+    def read() -> DataFrame:
+        return materialize(facts(files, exclude_third_party, exclude_tests), "facts")
+
+    @cache
+    def functions() -> DataFrame:
+        return materialize(spans.functions(read()), "functions")
+
+    def dependencies() -> DataFrame:
+        own = read().where(~paths.is_third_party(F.col("path")))
+        return dependency_metrics(dependency_graph(own), exclude_third_party)
+
     def duplication() -> DataFrame:
         source = lexical.source_rows(files, exclude_third_party, exclude_tests)
         found = minhash.duplicates(minhash.scoped(source, "path", "content", "repo"))
         return found.stats().withColumnRenamed("scope", "repo")
 
     def suggested() -> DataFrame:
-        rows = enrich.suggestions(functions, files, scorer)
+        rows = enrich.suggestions(functions(), files, scorer)
         return rows.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(
             "file_path", "function_name", "complexity", "suggestion", "original_code", "error"
         ))).alias("items"))
 
     parts = [
-        sections.run("Code metrics", lambda: metrics.code_metrics(metrics.file_metrics(read), functions), "code_metrics"),
-        sections.run("Dependency analysis", lambda: dependency_metrics(dependency_graph(read), exclude_third_party), "dependency_metrics"),
+        sections.run("Code metrics", lambda: metrics.code_metrics(metrics.file_metrics(read()), functions()), "code_metrics"),
+        sections.run("Dependency analysis", dependencies, "dependency_metrics"),
         sections.run("Duplication analysis", duplication, "duplication_metrics"),
         sections.run("Suggestions", suggested, "llm_suggestions"),
     ]
-    report = read.select("repo").distinct()
+    report = files.select("repo").distinct()
     for part in parts:
         if isinstance(part, Column):
             report = report.select("*", part)
         else:
             report = report.join(part, "repo", "left")
-    return report.select(
-        F.lit(job_id).alias("job_id"), F.col("repo").alias("repository"),
-        *[c for c in report.columns if c != "repo"],
+    errors = F.array(*[F.lit(e) for e in sections.errors]).cast("array<string>")
+    finished = with_final_status(report.withColumn("errors", errors))
+    return finished.select(
+        F.lit(job_id).alias("job_id"), F.col("repo").alias("repository"), *SECTION_TYPES,
         F.lit(ANALYSIS_METHOD).alias("analysis_method"),
         F.lit(exclude_third_party).alias("excluded_third_party"),
         F.lit(exclude_tests).alias("excluded_tests"),
-        F.array(*[F.lit(e) for e in sections.errors]).cast("array<string>").alias("analysis_errors"),
+        F.col("errors").alias("analysis_errors"), "status", "error",
     )
 
 

@@ -7,6 +7,7 @@ level by level as Spark jobs, and files are read where their paths land.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,38 +15,50 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.functions import paths, text
+from treeline.functions import paths
 from treeline.session import materialize
 
 
+def _children(system: fs.FileSystem, base: str, directory: str) -> list[tuple[str, bool, str | None]]:
+    """Path, whether it is a directory, and the error of a directory that cannot be listed.
+
+    Links to directories are not followed.
+    """
+    at = f"{base}/{directory}" if directory else base
+    try:
+        found = system.get_file_info(fs.FileSelector(at))
+    except OSError as failure:
+        return [(directory, False, str(failure))]
+    linked = isinstance(system, fs.LocalFileSystem)
+    return [
+        (f.path[len(base) + 1 :], f.type == fs.FileType.Directory, None) for f in found
+        if not (linked and f.type == fs.FileType.Directory and os.path.islink(f.path))
+    ]
+
+
 def list_files(spark: SparkSession, root: str, exclude_third_party: bool = False) -> DataFrame:
-    """Paths of all files below ``root``, relative to it.
+    """``path, error`` of all files below ``root``, relative to it, and of directories that cannot be listed.
 
     With ``exclude_third_party`` vendored directories are not entered.
     """
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(root)
-        base = base.rstrip("/")
         for batch in batches:
             for directory in batch.column("path").to_pylist():
-                at = f"{base}/{directory}" if directory else base
-                found = system.get_file_info(fs.FileSelector(at))
+                found = _children(system, base.rstrip("/"), directory)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f.path[len(base) + 1 :] for f in found], pa.string()),
-                        pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
-                    ],
-                    ["path", "is_directory"],
+                    [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.string()))],
+                    ["path", "is_directory", "error"],
                 )
 
     directories = spark.createDataFrame([("",)], "path string")
     levels = []
     while True:
-        listed = directories.mapInArrow(children, "path string, is_directory boolean")
+        listed = directories.mapInArrow(children, "path string, is_directory boolean, error string")
         if exclude_third_party:
             listed = listed.where(~paths.is_third_party(F.col("path")))
         listed = materialize(listed, "listing")
-        levels.append(listed.where(~F.col("is_directory")).select("path"))
+        levels.append(listed.where(~F.col("is_directory")).select("path", "error"))
         directories = listed.where("is_directory").select("path")
         if directories.isEmpty():
             return reduce(DataFrame.unionByName, levels)
@@ -60,28 +73,28 @@ def read_files(listed: DataFrame, root: str, repo: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(root)
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                content = error = None
+            for path, error in zip(batch.column("path").to_pylist(), batch.column("error").to_pylist()):
+                content = None
                 try:
-                    with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                        content = stream.read()
+                    if error is None:
+                        with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                            content = stream.read().decode("utf-8", "ignore")
                 except OSError as failure:
                     error = str(failure)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([path], pa.string()), pa.array([content], pa.binary()),
+                        pa.array([path], pa.string()), pa.array([content], pa.string()),
                         pa.array([error], pa.string()),
                     ],
-                    ["path", "bytes", "error"],
+                    ["path", "content", "error"],
                 )
 
+    if "error" not in listed.columns:
+        listed = listed.withColumn("error", F.lit(None).cast("string"))
     return (
-        listed.repartition("path")
-        .mapInArrow(read, "path string, bytes binary, error string")
-        .select(
-            F.lit(repo).alias("repo"), "path",
-            text.decode_lossy(F.col("bytes")).alias("content"), "error",
-        )
+        listed.select("path", "error").repartition("path")
+        .mapInArrow(read, "path string, content string, error string")
+        .select(F.lit(repo).alias("repo"), "path", "content", "error")
     )
 
 
@@ -91,7 +104,7 @@ def scan_tree(
 ) -> DataFrame:
     """``repo, path, content, error`` of the files below ``root`` with a given extension."""
     listed = list_files(spark, root, exclude_third_party).where(
-        paths.extension(F.col("path")).isin(*extensions)
+        paths.extension(F.col("path")).isin(*extensions) | F.col("error").isNotNull()
     )
     return read_files(listed, root, repo)
 

@@ -40,7 +40,8 @@ def _python() -> str:
       'def f', doc_id, '(x, y):\\n    s = "# no"\\n    if x and y:\\n        return s\\n',
       repeat('    elif x > 1:\\n        y = 1\\n', cast(doc_id % 20 as int)),
       '    else:\\n        return y\\n\\nclass C', doc_id, ':\\n    pass\\n',
-      '# ', replace(text, '\\n', '\\n# '))"""
+      'def g', doc_id, '(a=k((1, (2,))),\\n        b=None):\\n    def inner(): return a or b\\n',
+      '    return 1 if a else 2\\n', '# ', replace(text, '\\n', '\\n# '))"""
 
 
 def _script(prefix: str) -> str:
@@ -51,6 +52,9 @@ def _script(prefix: str) -> str:
       'function f', doc_id, '(x, y) {{\\n  if (x && y) {{ return "// no"; }}\\n',
       repeat('  while (x > 1) {{ x--; }}\\n', cast(doc_id % 20 as int)),
       '  return y;\\n}}\\nclass C', doc_id, ' {{\\n}}\\n',
+      'function g', doc_id, '(\\n  a,\\n  b\\n) {{\\n',
+      '  for (let i = size(b) - 1; i >= 0; i--) {{ do {{ a--; }}            while (a > 0); }}\\n',
+      '  const h = (p, q = k(k(1))) => p && q;\\n  return a;\\n}}\\n',
       '// ', replace(text, '\\n', '\\n// '))"""
 
 
@@ -62,7 +66,11 @@ def _java() -> str:
       'class C', doc_id, ' {{\\n  int f', doc_id, '(int x, int y) {{\\n',
       '    if (x > 0 && y > 0) {{ return x; }}\\n',
       repeat('    for (int i = 0; i < x; i++) {{ y++; }}\\n', cast(doc_id % 20 as int)),
-      '    return y;\\n  }}\\n}}\\n',
+      '    return y;\\n  }}\\n',
+      '  public List<Map<String, List<String>>> g', doc_id, '(\\n      int a,\\n      List<? extends Object> b\\n',
+      '  ) throws Exception {{\\n',
+      '    for (int i = b.size() - 1; i >= 0; i--) {{ do {{ a--; }}            while (a > 0); }}\\n',
+      '    return a > b.size() ? null : c(a);\\n  }}\\n}}\\n',
       '// ', replace(text, '\\n', '\\n// '))"""
 
 

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+READ_PARTITIONS = "spark.treeline.readPartitions"
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all cores when the table has fewer files than there are cores.
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as they lie, or hashed over as many partitions as the session asks for.
 
-    A table of a few files may be one unsplittable row group each; a table of
-    many files is read as it lies, without a shuffle.
+    The setting is for tables of one unsplittable file, as in the small test data.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
-
-
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents"), "doc_id")
+    documents = read_table(spark, folder, "documents")
+    wanted = spark.conf.get(READ_PARTITIONS, None)
+    return documents.repartition(int(wanted), "doc_id") if wanted else documents
