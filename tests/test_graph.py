@@ -128,3 +128,13 @@ def test_degree_sums_equal_edges(spark):
     rows = graph.degrees(graph.Graph(files, None, edges)).collect()
     assert len(rows) == 31
     assert sum(r.out_degree for r in rows) == sum(r.in_degree for r in rows) == len(pairs)
+
+
+def test_layered_graph_without_cycles_makes_no_path(spark, monkeypatch):
+    made = []
+    real = cycles.materialize
+    monkeypatch.setattr(cycles, "materialize", lambda df, name: made.append(name) or real(df, name))
+    edges = [("r", f"n{a}_{x}", f"n{a + 1}_{y}") for a in range(4) for x in range(3) for y in range(3)]
+    df = spark.createDataFrame(edges, "repo string, src string, dst string")
+    assert cycles.elementary_cycles(df).count() == 0
+    assert len([n for n in made if n.startswith("cycle-paths")]) == 1  # the empty first one

@@ -144,3 +144,43 @@ def test_sinks(spark, golden, vectors, tmp_path):
     table, values = vectors
     sinks.write_vectors(table.withColumn("job_id", F.lit("j")), str(tmp_path / "v"))
     assert sinks.read_vectors(spark, str(tmp_path / "v"), "j").count() == len(values)
+
+
+def test_equal_queries_and_null_vectors(spark, vectors):
+    table, values = vectors
+    more = table.unionByName(spark.createDataFrame([("none", None)], table.schema))
+    vector = values["d003"]
+    asked = spark.createDataFrame([(1, vector), (2, vector), (2, vector), (3, None)], "query_id long, embedding array<float>")
+    rows = search.search(more, asked, 1, chunk_rows=1).collect()
+    assert sorted((r.query_id, r.id, r.rank) for r in rows) == [(1, "d003", 1), (2, "d003", 1)]
+
+
+def test_failed_section_leaves_nulls_and_a_failed_job(spark, tree, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("no pairs today")
+
+    monkeypatch.setattr(report.minhash, "duplicates", broken)
+    made = report.full_report(tree(GOLDEN), "job-9")
+    row = made.first()
+    assert (row.status, row.analysis_errors) == ("FAILED", ["Duplication analysis failed: no pairs today"])
+    assert row.duplication_metrics.error == "no pairs today" and row.code_metrics.error is None
+    summary = report.job_summary(made).first()
+    assert (summary.loc, summary.duplicate_pairs) == (18, None)
+
+
+def test_vendored_files_stay_out_of_the_graph(tree):
+    files = tree([("node_modules/m/a.js", "function f() { return 1; }\n"), ("src/b.js", "function g() { return 1; }\n")])
+    row = report.full_report(files, "job-8", exclude_third_party=False).first()
+    assert (row.code_metrics.files_analyzed, row.dependency_metrics.total_files) == (2, 1)
+
+
+def test_changes_are_appended(spark, tmp_path):
+    kind = "job_id string, seq long, ts timestamp, repo_url string, status string, error string, report_path string, summary string"
+    for seq, status, summary in ((1, "RUNNING", None), (2, "COMPLETED", "loc=3")):
+        jobs.append_changes(spark.sql("select 'j' job_id").selectExpr(
+            "job_id", f"{seq}L as seq", f"timestamp_seconds({seq}) as ts", "'u' as repo_url", f"'{status}' as status",
+            "cast(null as string) error", "cast(null as string) report_path",
+            f"cast({'null' if summary is None else repr(summary)} as string) summary",
+        ), f"{tmp_path}/changes")
+    seen = jobs.status_view(jobs.current_jobs(spark.read.schema(kind).parquet(f"{tmp_path}/changes"))).first()
+    assert (seen.status, seen.summary) == ("COMPLETED", "loc=3")

@@ -265,3 +265,26 @@ def test_huge_lines(tree, path, content):
     sizes = [F.size(c).alias(c) for c in ("spans", "imported", "defined")]
     assert read.select("loc", "loc_span", *sizes).collect()[0].loc > 0
     assert spans.functions(read).count() == 0
+
+
+def test_scan_does_not_follow_links(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.py").write_text("x� = 1\n")
+    (tmp_path / "a/up").symlink_to(tmp_path)
+    rows = files.scan_tree(spark, str(tmp_path), "r").collect()
+    assert [(r.path, r.content, r.error) for r in rows] == [("a/x.py", "x� = 1\n", None)]
+
+
+def test_unlistable_directory_is_reported(spark, tmp_path):
+    rows = files.scan_tree(spark, f"{tmp_path}/nowhere", "r")
+    assert files.read_errors(rows).count() == 1
+
+
+def test_unicode_space_and_replacement_characters(spark):
+    df = spark.createDataFrame([("  　", "a   b"), ("�", "x")], "a string, b string")
+    rows = df.select(
+        text.is_blank(F.col("a")).alias("blank"), text.collapse_space(F.col("b")).alias("b"),
+        text.decode_lossy(F.col("a").cast("binary")).alias("kept"), "a",
+    ).collect()
+    assert [(r.blank, r.b) for r in rows] == [(True, "a b"), (False, "x")]
+    assert all(r.kept == r.a for r in rows)
