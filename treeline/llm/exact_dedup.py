@@ -100,8 +100,3 @@ def exact_duplicates(
         (F.col("rank") == F.col("best")).alias("kept"),
     )
 
-
-def without_duplicates(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay; ids must be unique and not null here."""
-    kept = exact_duplicates(documents).where("kept").select("doc_id")
-    return documents.join(kept, "doc_id", "left_semi")

@@ -230,4 +230,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             arrays = [*batch.columns, pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, StructType(encoded.schema.fields).add("decoded", "string"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("decoded", "string"))
