@@ -177,7 +177,7 @@ def candidate_keys(classes: DataFrame, threshold: float = 0.85, num_perm: int =
 
 def candidates(classes: DataFrame, threshold: float = 0.85, num_perm: int = 128) -> DataFrame:
     """Distinct pairs ``no_a, no_b`` of classes that share a key."""
-    keyed = candidate_keys(classes, threshold, num_perm)
+    keyed = materialize(candidate_keys(classes, threshold, num_perm), "candidate-keys")  # read twice below
     met = bucket_pairs(keyed, ["key"], "no").where(
         F.col("a_spare").isNull() | (F.col("a_spare") != F.col("b_spare"))
     )
