@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treeline.llm.skew import for_every_salt, salted
 from treeline.llm.store import stored
 
 
-def _with_least(edges: DataFrame, shares: int) -> DataFrame:
-    """``u, v, least``: the least neighbour of ``u`` beside each; a node with many edges is salted."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")), "least")
-    share = F.lit(max(1.0, (least.agg(F.sum("n")).first()[0] or 0) / shares))
-    hot = least.where(F.col("n") > share).select("u", F.ceil(F.col("n") / share).cast("long").alias("salts"))
-    hot = F.broadcast(hot)  # at most `shares` rows
-    return salted(edges, "u", hot, "v").join(for_every_salt(least.drop("n"), "u", hot), ["u", "salt"])
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``u, v, least``: the least neighbour of ``u`` beside each.
+
+    Both sides of the join are tables, so AQE may split a node of many edges.
+    """
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
+    return edges.join(least, "u")
 
 
 def _downwards(u: Column, v: Column) -> list[Column]:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
-def components(links: DataFrame, shares: int = 4096) -> DataFrame:
+def _all_stars(edges: DataFrame) -> bool:
+    """Does every node point at one node, which points at none?"""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("is_aim")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("is_aim")),
+    )).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("is_aim").alias("is_aim"))
+    return seen.where("points > 1 or (points = 1 and is_aim = 1)").isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its least node) for the nodes of ``links (a, b)``.
 
     Every round points each node's larger neighbours, then all its neighbours, at
@@ -29,19 +38,13 @@ def components(links: DataFrame, shares: int = 4096) -> DataFrame:
     """
     u, v, least = F.col("u"), F.col("v"), F.col("least")
     edges = stored(links.where("a <> b").select(*_downwards(F.col("a"), F.col("b"))).distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
-        large = _with_least(both, shares).where(v > u).select(v.alias("u"), F.least(u, least).alias("v"))
-        large = stored(large.distinct(), "large-star")
-        small = _with_least(large, shares)
+        large = stored(_with_least(both).where(v > u).select(v.alias("u"), F.least(u, least).alias("v")), "large-star")
+        small = _with_least(large)
         pointed = small.where(v != least).select(v.alias("u"), least.alias("v")).unionByName(
             small.select(u.alias("u"), least.alias("v"))
         )
         edges = stored(pointed.distinct(), "small-star")
-    stars = edges.groupBy("v").agg(F.lit(1).alias("one")).select(v.alias("node"), v.alias("component"))
+    stars = edges.select(v.alias("node"), v.alias("component")).distinct()
     return edges.select(u.alias("node"), v.alias("component")).unionByName(stars)

@@ -5,15 +5,17 @@ signature has 128 minima; the forest reads it in 32 orders, rotations that start
 at every fourth value. A region is a prefix of an order. Regions begin 4 values
 deep, where a pair of similarity 0.8 meets in 13 of the 32 orders on average and
 in none once in 10^7. A region of up to ``crowd`` nodes makes all its pairs
-candidates. A larger one pairs each node with the region's least node, and its
-nodes descend to regions of the next depth, so neighbours with longer common
-prefixes meet there. The depth grows where the data are dense and nowhere else.
+candidates; in a larger one each node meets the least node as leader.
 
 Candidates whose signatures agree in fewer values than chance allows a linked
 pair (five standard errors) are dropped; the others are confirmed on full sets.
-First every node checks its best candidate below it, then only pairs whose nodes
-are still in different components are checked, so a group of n copies costs
-about n comparisons and not n².
+First every node checks one candidate below it, then pairs that two steps along
+these links do not join are checked. Last, the crowded regions that still
+hold several components are sorted along their orders, and each node meets the
+``wide`` nodes before and behind it, those with the longest common prefixes: the
+depth at which nodes meet grows with the crowd. So n copies cost some n
+comparisons and not n²; what can be missed is a link of a node in a crowd above
+``wide`` that is no closer than its many others and the only one to its component.
 
 Null texts and texts without words have no shingles and are linked with nothing;
 fewer words than a shingle form one shingle. A component's id is its smallest
@@ -28,16 +30,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.llm.components import components
-from treeline.llm.skew import for_every_salt, hot_keys, salted
 from treeline.llm.store import row_key, stored
 from treeline.llm.words import mixed, text_buffers, words
 
 WORDS, SIMILARITY = 5, 80  # words of a shingle; percent
-VALUES, ORDERS, CROWD = 128, 32, 8
-DEPTHS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+VALUES, ORDERS, CROWD, WIDE = 128, 32, 8, 64
+DEPTH, PLACE = 4, 48  # values that make a region, and that sort an order
 
 _random = np.random.default_rng(80_128)
 _FACTORS = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,62 +110,111 @@ def _first_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part = batch.slice(start, 4096)
             values = _matrix(part.column("signature"), np.uint32, VALUES)
             order = np.tile(np.arange(ORDERS), part.num_rows)
-            region = _prefix(np.repeat(values, ORDERS, 0), order, DEPTHS[0])
+            region = _prefix(np.repeat(values, ORDERS, 0), order, DEPTH)
             node = part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), ORDERS)))
             yield pa.RecordBatch.from_arrays(
                 [node, pa.array(order.astype(np.int32)), pa.array(region)], names=["node", "tree", "region"]
             )
 
 
-def _deeper(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = _matrix(batch.column("signature"), np.uint32, VALUES)
-            order = batch.column("tree").to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("tree"), pa.array(_prefix(values, order, depth))],
-                names=["node", "tree", "region"],
-            )
+_MEMBER = "node binary, tree int, region long"
 
-    return run
 
+def _regions(nodes: DataFrame) -> DataFrame:
+    """``region, node, tree, size, leader`` of the shared regions, of ``nodes (node, signature)``.
 
-_MEMBER = "node binary, tree int, region long"
+    A region's leader is its least node: a few nodes lead most regions of a crowd, so
+    a node meets few distinct ones.
+    """
+    members = stored(nodes.mapInArrow(_first_regions, _MEMBER), "members")
+    regions = stored(members.groupBy("region").agg(
+        F.count("*").alias("size"), F.min_by("node", F.xxhash64("tree", "node")).alias("leader")
+    ).where("size > 1"), "regions")
+    return stored(members.join(regions, "region"), "met")  # AQE splits a crowded region
 
 
-def _candidates(nodes: DataFrame, crowd: int) -> DataFrame:
-    """Distinct ``a, b`` with a < b, of ``nodes (node, signature)``."""
-    members = nodes.mapInArrow(_first_regions, _MEMBER)
-    pairs = None
-    for depth, following in zip(DEPTHS, (*DEPTHS[1:], None)):
-        members = stored(members, f"regions-{depth}")
-        regions = stored(members.groupBy("region").agg(
-            F.count("*").alias("size"), F.min("node").alias("least")
-        ).where("size > 1"), f"shared-{depth}")
-        share = F.lit(max(1.0, members.count() / 4096))
-        hot = F.broadcast(regions.where(F.col("size") > share).select(
-            "region", F.ceil(F.col("size") / share).cast("long").alias("salts")
-        ))  # at most 4096 rows
-        shared = salted(members, "region", hot, "node").join(
-            for_every_salt(regions, "region", hot), ["region", "salt"]
-        ).select("region", "node", "tree", "size", "least")
-        shared = stored(shared, f"met-{depth}")
-        listed = shared.where(F.col("size") <= crowd).groupBy("region").agg(F.sort_array(F.collect_list("node")).alias("n"))
-        each = F.flatten(F.transform("n", lambda x, i: F.transform(
-            F.slice("n", i + 2, crowd), lambda y: F.struct(x.alias("a"), y.alias("b"))
-        )))
-        star = shared.where((F.col("size") > crowd) & (F.col("node") != F.col("least")))
-        own = listed.select(F.explode_outer(each).alias("p")).select("p.a", "p.b").unionByName(
-            star.select(F.col("least").alias("a"), F.col("node").alias("b"))
+def _ordered(x: Column, y: Column) -> Column:
+    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _near_pairs(met: DataFrame, crowd: int) -> DataFrame:
+    """All pairs of small regions, and each node of a crowded one with its leader: distinct ``a, b``, a < b."""
+    listed = met.where(F.col("size") <= crowd).groupBy("region").agg(F.collect_list("node").alias("n"))
+    each = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, crowd), lambda y: _ordered(x, y))))
+    star = met.where((F.col("size") > crowd) & (F.col("node") != F.col("leader")))
+    return listed.select(F.explode_outer(each).alias("p")).select("p.a", "p.b").unionByName(
+        star.select(_ordered(F.col("leader"), F.col("node")).alias("p")).select("p.a", "p.b")
+    ).distinct()
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's place in its order: the order's number and its first values, as sortable bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = _matrix(batch.column("signature"), np.uint32, VALUES)
+        tree = batch.column("at").field("tree").to_numpy().astype(np.int64)
+        along = (tree[:, None] * (VALUES // ORDERS) + np.arange(PLACE)) % VALUES
+        chosen = np.take_along_axis(values, along, 1).astype(">u4")
+        places = [bytes([t]) + row.tobytes() for t, row in zip(tree.tolist(), chosen)]
+        sketch = [row.tobytes() for row in values.astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(places, pa.binary()), batch.column("node"), batch.column("at").field("home"), pa.array(sketch, pa.binary())],
+            names=["place", "node", "home", "sketch"],
         )
-        pairs = own if pairs is None else pairs.unionByName(own)
-        crowded = shared.where(F.col("size") > crowd).select("node", "tree")
-        if following is None or crowded.isEmpty():
-            break
-        members = crowded.join(nodes, "node").select("node", "tree", "signature").mapInArrow(_deeper(following), _MEMBER)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("meetings")).select("a", "b")
+
+
+def _neighbours(wide: int, least: float):
+    """Pairs within ``wide`` places that share the region, differ in component, and agree often enough."""
+    head = 1 + 4 * DEPTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            old = 0 if last is None else last.num_rows
+            place = _matrix(rows["place"].combine_chunks(), np.uint8, 1 + 4 * PLACE)[:, :head]
+            sketch = _matrix(rows["sketch"].combine_chunks(), np.uint8, VALUES)
+            home = np.array(rows["home"].to_pylist(), object)
+            found = []
+            for k in range(1, min(wide, rows.num_rows - 1) + 1):
+                right = np.arange(max(old, k), rows.num_rows)
+                same = (place[right] == place[right - k]).all(1) & (home[right] != home[right - k])
+                right = right[same]
+                agree = (sketch[right] == sketch[right - k]).sum(1)
+                keep = agree >= least
+                found.append(np.stack([right[keep] - k, right[keep], agree[keep]], 1))
+            if found and len(pairs := np.concatenate(found)):
+                node = rows["node"].to_pylist()
+                ends = [sorted((node[i], node[j])) for i, j in pairs[:, :2].tolist()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary()),
+                    pa.array(pairs[:, 2], pa.int32()),
+                ], names=["a", "b", "same"])
+            last = rows.slice(max(0, rows.num_rows - wide)).to_batches()[0] if rows.num_rows else None
+
+    return run
+
+
+def _crowd_pairs(met: DataFrame, nodes: DataFrame, homes: DataFrame, crowd: int, wide: int, least: float) -> DataFrame:
+    """``a, b, same``: near places in the sorted orders, in crowded regions that hold several components."""
+    crowded = met.where(F.col("size") > crowd).select("region", "tree", "node").join(homes, "node", "left").select(
+        "region", "tree", "node", F.coalesce("component", "node").alias("home")
+    )
+    crowded = stored(crowded, "crowded")
+    mixed = stored(crowded.groupBy("region").agg(F.min("home").alias("x"), F.max("home").alias("y")).where(
+        "x <> y"
+    ).select("region"), "mixed-regions")
+    rows = crowded.join(mixed, "region").select("node", F.struct("tree", "home").alias("at")).join(nodes, "node")
+    placed = stored(
+        rows.select("node", "at", "signature").mapInArrow(_placed, "place binary, node binary, home binary, sketch binary"),
+        "places",
+    )
+    if placed.isEmpty():
+        return placed.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("same"))
+    ordered = placed.repartitionByRange("place").sortWithinPartitions("place", "node")
+    pairs = ordered.mapInArrow(_neighbours(wide, least), "a binary, b binary, same int")
+    return pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +235,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(pairs: DataFrame, side: str, values: DataFrame, name: str) -> DataFrame:
-    """``pairs`` with the value of one side's node; a node of many pairs is salted."""
-    other = "b" if side == "a" else "a"
+    """``pairs`` with the value of one side's node; AQE splits a node of many pairs."""
     own = values.select(F.col("node").alias(side), F.col(name).alias(f"{name}_{side}"))
-    hot = hot_keys(pairs.select(side), side)
-    return salted(pairs, side, hot, other).join(for_every_salt(own, side, hot), [side, "salt"]).drop("salt")
+    return pairs.join(own, side)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -213,12 +261,11 @@ def _listed(size: int):
 
 
 def near_duplicates(
-    documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, crowd: int = CROWD
+    documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, crowd: int = CROWD, wide: int = WIDE
 ) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id, n_links, kept`` of every row of ``documents (doc_id, text)``.
+    """``doc_id, key, n_shingles, component_id, kept`` of every row of ``documents (doc_id, text)``.
 
-    ``key`` names the row (``row_key``). ``n_links`` counts the confirmed links of the row's node: enough to hold its
-    component together, not all there may be.
+    ``key`` names the row (``row_key``).
     """
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text"
@@ -231,54 +278,68 @@ def near_duplicates(
         F.min(first).alias("first"), F.any_value("signature").alias("signature")
     ), "nodes")
     signatures = nodes.select("node", "signature")
-    candidates = stored(_candidates(signatures, crowd), "candidates")
     sketches = signatures.mapInArrow(_sketches, "node binary, sketch binary")
     p = similarity / 100
     least = VALUES * p - 5 * (VALUES * p * (1 - p)) ** 0.5
-    likely = stored(
-        _beside(_beside(candidates, "b", sketches, "sketch"), "a", sketches, "sketch")
-        .mapInArrow(_agreement, "a binary, b binary, same int").where(F.col("same") >= least), "likely",
-    )
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    sources = nodes.join(wanted, "node", "left_semi").select("first.key", "node")
-    sets = stored(
-        texts.select("key", "text").join(sources, "key").select("node", "text")
-        .mapInArrow(_listed(size), "node binary, shingles array<long>")
-        .groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets",
-    )
-    best = likely.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select("best.a", "b")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = _beside(_beside(pairs, "b", sketches, "sketch"), "a", sketches, "sketch")
+        return stored(both.mapInArrow(_agreement, "a binary, b binary, same int").where(F.col("same") >= least), "likely")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sources = nodes.join(wanted, "node", "left_semi").select("first.key", "node")
+        listed = texts.select("key", "text").join(sources, "key").select("node", "text").mapInArrow(
+            _listed(size), "node binary, shingles array<long>"
+        )
+        return stored(listed.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+
+    def apart(pairs: DataFrame, homes: DataFrame) -> DataFrame:
+        own = [homes.select(F.col("node").alias(k), F.col("component").alias(f"home_{k}")) for k in "ab"]
+        joined = pairs.join(own[0], "a", "left").join(own[1], "b", "left")
+        return joined.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
+
+    met = _regions(signatures)
+    close = likely(stored(_near_pairs(met, crowd), "near-pairs"))
+    sets = sets_of(close)
+    # of a node's probable links the one with the least node, which makes shallow trees; else the best
+    sure = F.col("same") >= VALUES * p
+    choice = F.struct(~sure, F.when(sure, 0).otherwise(-F.col("same")), "a")
+    best = close.groupBy("b").agg(F.min(choice).alias("best")).select("best.a", "b")
     links = stored(_confirmed(best, sets, similarity), "links")
-    joined = stored(components(links), "first-components")
-    home = joined.select(F.col("node").alias("a"), F.col("component").alias("home_a"))
-    host = joined.select(F.col("node").alias("b"), F.col("component").alias("home_b"))
-    open_pairs = stored(
-        likely.join(best, ["a", "b"], "left_anti").join(home, "a", "left").join(host, "b", "left")
-        .where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b"), "open-pairs",
-    )
-    links = stored(links.unionByName(_confirmed(open_pairs, sets, similarity)), "all-links")
-    joined = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = nodes.select("node", "first").join(joined, "node").join(degree, "node")
-    component = ids.groupBy("component").agg(F.min("first").alias("least"))
-    named = stored(ids.join(component, "component").select("node", "least", "n_links"), "component-ids")
-    lone = nodes.select("node", F.col("first").alias("least"), F.lit(0).cast("long").alias("n_links")).join(
-        named, "node", "left_anti"
+    # pairs that two steps along these links already join need no check
+    step = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    further = step.select(F.col("node").alias("component"), F.col("component").alias("end"))
+    near = stored(step.join(further, "component", "left").select(
+        "node", F.coalesce("end", "component").alias("component")
+    ), "near-homes")
+    links = stored(links.unionByName(_confirmed(apart(close, near), sets, similarity)), "links")
+    homes = stored(components(links), "components")
+    others = _crowd_pairs(met, signatures, homes, crowd, wide, least).join(close, ["a", "b"], "left_anti")
+    others = stored(others, "crowd-pairs")
+    if not others.isEmpty():
+        more = stored(_confirmed(others, sets_of(others), similarity), "crowd-links")
+        homes = homes if more.isEmpty() else stored(components(links.unionByName(more)), "components")
+    own = nodes.select("node", "first")
+    component = stored(homes.join(own, "node").groupBy("component").agg(F.min("first").alias("least")), "component-ids")
+    named = stored(homes.join(component, "component").select("node", "least"), "homes")
+    found = stored(
+        own.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("least")), "node-components"
     )
-    found = stored(named.unionByName(lone), "node-components")
     slim = facts.drop("signature")
-    hot = hot_keys(slim.where("node is not null"), "node")
-    with_words = salted(slim.where("node is not null"), "node", hot, "key").join(
-        for_every_salt(found, "node", hot), ["node", "salt"]
-    ).withColumns({"component_id": F.col("least.doc_id"), "kept": F.col("key") == F.col("least.key")})
-    without = slim.where("node is null").withColumns(
-        {"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "kept": F.lit(True)}
+    with_words = slim.where("node is not null").join(found, "node").withColumns(
+        {"component_id": F.col("least.doc_id"), "kept": F.col("key") == F.col("least.key")}
     )
-    columns = ["doc_id", "key", "n_shingles", "component_id", "n_links", "kept"]
+    without = slim.where("node is null").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True)})
+    columns = ["doc_id", "key", "n_shingles", "component_id", "kept"]
     return with_words.select(columns).unionByName(without.select(columns))
 
 
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with one row of every component; rows equal in id and text count as one."""
-    dropped = near_duplicates(documents, **options).where("not kept").select(F.col("key").alias("_dropped"))
-    own = row_key(F.col("doc_id"), F.col("text"))
-    return documents.join(dropped.distinct(), own == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(documents, **options).where("not kept").select("key").distinct()
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        row_key(F.col("doc_id"), F.col("text")).alias("key"),
+    )
+    return rows.join(dropped, "key", "left_anti").select("row.*")

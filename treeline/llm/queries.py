@@ -29,7 +29,7 @@ def op1_suffix_dedup(spark, sf_dir):
 
 @query
 def op2_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("key", "n_links")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("key")
 
 
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
