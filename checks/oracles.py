@@ -511,6 +511,12 @@ ORACLES: dict[str, str] = {
       ELSE regexp_extract(coalesce(file, id), '^(.*)/[^/]*$', 1) END AS folder FROM nodes"""),
     "file_neighbours": _with(GRAPH, """SELECT src AS file, 'dependency' AS direction, dst AS neighbour, dst_type AS type, relationship FROM edges
       UNION ALL SELECT dst, 'dependent', src, 'file', relationship FROM edges WHERE dst_type = 'file'"""),
+    "file_records": _with(IMPORTS, """SELECT k.path AS file,
+        (SELECT count(*) FROM imports i WHERE i.path = k.path) AS imports,
+        coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM definitions d
+          WHERE d.path = k.path AND kind = 'function'), '') AS functions,
+        coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM definitions d
+          WHERE d.path = k.path AND kind = 'class'), '') AS classes FROM kept k"""),
     "node_link_rows": _with(GRAPH, """SELECT 'nodes' AS section, '{"id":"' || id || '","type":"' || type || '"'
         || coalesce(',"language":"' || language || '"', '') || coalesce(',"name":"' || name || '"', '')
         || coalesce(',"file":"' || file || '"', '') || coalesce(',"module":"' || module || '"', '') || '}' AS json FROM nodes

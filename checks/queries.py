@@ -344,6 +344,14 @@ def file_neighbours(spark, sf_dir):
     return graph.neighbours(_graph(spark, sf_dir).edges).drop("repo")
 
 
+@query
+def file_records(spark, sf_dir):
+    return graph.file_records(_facts(spark, sf_dir)).select(
+        "file", F.size("imports").alias("imports"), F.array_join(F.sort_array("functions"), ",").alias("functions"),
+        F.array_join(F.sort_array("classes"), ",").alias("classes"),
+    )
+
+
 @query
 def node_link_rows(spark, sf_dir):
     return graph.node_link_rows(_graph(spark, sf_dir)).drop("repo")

@@ -138,3 +138,12 @@ def test_layered_graph_without_cycles_makes_no_path(spark, monkeypatch):
     df = spark.createDataFrame(edges, "repo string, src string, dst string")
     assert cycles.elementary_cycles(df).count() == 0
     assert len([n for n in made if n.startswith("cycle-paths")]) == 1  # the empty first one
+
+
+def test_file_record_and_absence(tree):
+    read = facts(tree([("a.py", "x = 1\n"), ("b.py", "import os\ndef f(): pass\nclass C: pass\n")]))
+    lone = graph.file_records(read, "a.py").first()
+    assert (lone.imports, lone.functions, lone.classes) == ([], [], [])
+    other = graph.file_records(read, "b.py").first()
+    assert (len(other.imports), other.functions, other.classes) == (1, ["f"], ["C"])
+    assert graph.file_records(read, "c.py").count() == 0

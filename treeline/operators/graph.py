@@ -158,6 +158,22 @@ def neighbours(edges: DataFrame, file: str | None = None) -> DataFrame:
     return both if file is None else both.where(F.col("file") == file)
 
 
+def file_records(facts: DataFrame, file: str | None = None) -> DataFrame:
+    """``repo, file, imports, functions, classes`` of a file, or of every file.
+
+    A file without edges has a row, a path that is no file has none; its
+    neighbours are the rows of ``neighbours``.
+    """
+    def names(kind: str) -> Column:
+        return F.transform(F.filter("defined", lambda d: d["kind"] == kind), lambda d: d["name"])
+
+    records = facts.select(
+        "repo", F.col("path").alias("file"), F.col("imported").alias("imports"),
+        names("function").alias("functions"), names("class").alias("classes"),
+    )
+    return records if file is None else records.where(F.col("file") == file)
+
+
 def folder_keys(nodes: DataFrame) -> DataFrame:
     """Folder each node is shown under."""
     return nodes.select(
