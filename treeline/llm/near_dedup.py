@@ -128,7 +128,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
     """
     members = stored(nodes.mapInArrow(_first_regions, _MEMBER), "members")
     regions = stored(members.groupBy("region").agg(
-        F.count("*").alias("size"), F.min_by("node", F.xxhash64("tree", "node")).alias("leader")
+        F.count("*").alias("size"), F.min("node").alias("leader")
     ).where("size > 1"), "regions")
     return stored(members.join(regions, "region"), "met")  # AQE splits a crowded region
 
