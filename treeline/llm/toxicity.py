@@ -107,12 +107,16 @@ def _sample(documents: DataFrame, labels: DataFrame, train_rows: int) -> DataFra
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        rows, features = _present(batch["text"].tolist())
-        toxic = batch["toxic"].to_numpy()[rows]
-        counts = np.stack([np.bincount(features[toxic == k], minlength=1 << BITS) for k in (1, 0)], 1)
-        used = np.flatnonzero(counts.sum(1))
-        yield pd.DataFrame({"feature": used, "toxic": counts[used, 0], "clean": counts[used, 1]})
+        for start in range(0, len(batch), 128):
+            part = batch[start : start + 128]
+            rows, features = _present(part["text"].tolist())
+            toxic = part["toxic"].to_numpy()[rows]
+            for k in (0, 1):
+                counts[k] += np.bincount(features[toxic == k], minlength=1 << BITS)
+    used = np.flatnonzero(counts.sum(0))
+    yield pd.DataFrame({"feature": used, "toxic": counts[1, used], "clean": counts[0, used]})
 
 
 def _listed(wanted: np.ndarray):
