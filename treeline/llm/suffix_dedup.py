@@ -3,10 +3,10 @@
 A byte goes when it lies in a string of ``LENGTH`` bytes that also starts
 somewhere else, in the same document or another.
 
-Suffixes are sampled: of the 369 starts of ``HEAD`` bytes inside a string of 400,
+Suffixes are sampled: of the 337 starts of ``HEAD`` bytes inside a string of 400,
 the one with the least hash (the leftmost of equal ones) is the string's anchor.
 Equal strings have equal anchors, so it is enough to index the suffixes that
-start at anchors, about one in 190 bytes. Consecutive strings with one anchor
+start at anchors, about one in 170 bytes. Consecutive strings with one anchor
 form a stretch; equal stretches are one entry of the index.
 
 Documents arrive in batches. A batch's suffix table is sorted by the fingerprint
@@ -17,8 +17,10 @@ of twice the size, so an entry is rewritten a logarithmic number of times.
 Stretches with a head that occurs twice are then compared:
 
 - a stretch that occurs twice is repeated as a whole, wherever it occurs,
-- where different stretches share a head, one occurrence of each lists the
-  128-bit fingerprints of its strings, and strings in two of them are repeated.
+- where different stretches share a head, one occurrence of each is cut out. First
+  it lists a 128-bit fingerprint per band of 48 neighbouring strings, of the bytes
+  that all of them hold; then the strings of bands that two stretches share list
+  theirs, and strings in two stretches are repeated.
 
 Fingerprints of bytes decide equality (64 bits for heads, 128 for stretches and
 strings). Nothing is paired: all comparisons are aggregations, and keys with many
@@ -42,11 +44,13 @@ from treeline.llm.skew import for_every_salt, hot_keys, salted
 from treeline.llm.store import discard, row_key, stored
 from treeline.llm.words import SECOND, prefix_hashes, span_hashes, text_buffers
 
-LENGTH, HEAD, BATCHES = 400, 32, 4
+LENGTH, HEAD, BATCHES = 400, 64, 4
+BAND = 48  # neighbouring strings that are first compared by what they have in common
 _PIECE = 1 << 19  # windows hashed at once
 _PLACE_BITS = np.uint64(21)  # places inside a piece
 
-_STRETCH = "key binary, start int, windows int, head long, whole long"
+_STRETCH = "key binary, start int, windows int, shift int, head long, whole long"
+_NAME = "struct<head:bigint,whole:bigint>"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +67,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text number, start in it, windows, head and whole fingerprint of every stretch."""
+    """Text number, start in it, windows, place of the anchor, head and whole fingerprint of every stretch."""
     found = []
     for begin in range(0, max(1, len(data) - LENGTH + 1), _PIECE):
         part = data[begin : begin + _PIECE + LENGTH - 1]
@@ -87,22 +91,22 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         count = np.add.reduceat(valid.astype(np.int64), start)
         whole = span_hashes(prefix_hashes(part, SECOND), start, start + count + LENGTH - 1)
         found.append((
-            text[start], begin + start - offsets[text[start]], count,
+            text[start], begin + start - offsets[text[start]], count, anchor[start] - start,
             heads[anchor[start]].view(np.int64), whole.view(np.int64),
         ))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in text_buffers(batch.column("text"), 1 << 19):
-            text, start, windows, head, whole = stretches(data, offsets)
+            text, start, windows, shift, head, whole = stretches(data, offsets)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key").take(pa.array(text + row)), pa.array(start.astype(np.int32)),
-                pa.array(windows.astype(np.int32)), pa.array(head), pa.array(whole),
-            ], names=["key", "start", "windows", "head", "whole"])
+                pa.array(windows.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(head), pa.array(whole),
+            ], names=["key", "start", "windows", "shift", "head", "whole"])
 
 
 @dataclass
@@ -143,29 +147,73 @@ class SuffixLevels:
         return stored(everything.distinct(), "repeated-heads")
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of all strings of the listed stretches."""
-    names = ["first", "second", "head", "whole", "at"]
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed stretches."""
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in names]
-        size = 0
+        out: list[dict] = []
         for packed, n, listed in zip(*(batch.column(c).to_pylist() for c in ("packed", "n_bytes", "listed"))):
-            data = np.frombuffer(pa.decompress(packed, n, "zstd"), np.uint8)
+            data = pa.decompress(packed, n, "zstd", asbytes=True)
             for one in listed:
-                part = data[one["start"] : one["start"] + one["windows"] + LENGTH - 1]
-                at = np.arange(one["windows"])
-                for column, values in zip(columns, (
-                    span_hashes(prefix_hashes(part), at, at + LENGTH).view(np.int64),
-                    span_hashes(prefix_hashes(part, SECOND), at, at + LENGTH).view(np.int64),
-                    np.full(len(at), one["head"]), np.full(len(at), one["whole"]), at.astype(np.int32),
-                )):
-                    column.append(values)
-                size += len(at)
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
-                columns, size = [[] for _ in names], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+                cut = data[one["start"] : one["start"] + one["windows"] + LENGTH - 1]
+                out.append({"name": one["name"], "windows": one["windows"], "shift": one["shift"], "bytes": cut})
+        yield pa.RecordBatch.from_pylist(out, schema=_SEGMENT_SCHEMA)
+
+
+_NAME_TYPE = pa.struct([("head", pa.int64()), ("whole", pa.int64())])
+_SEGMENT_SCHEMA = pa.schema([
+    ("name", _NAME_TYPE), ("windows", pa.int32()), ("shift", pa.int32()), ("bytes", pa.binary()),
+])
+
+
+def _bands(shift: int, windows: int) -> range:
+    """Numbers of the bands of a stretch: band b holds the strings that start b*BAND to b*BAND+BAND-1 before the anchor."""
+    return range(max(0, shift - windows + 1) // BAND, shift // BAND + 1)
+
+
+def _prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both 64-bit fingerprints of spans."""
+    return (
+        span_hashes(prefix_hashes(data), starts, ends).view(np.int64),
+        span_hashes(prefix_hashes(data, SECOND), starts, ends).view(np.int64),
+    )
+
+
+def _fingerprints(all_bands: bool):
+    """Per row ``string`` (128 bits), ``name`` and ``at``: what the strings of a band share, or each string of listed bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                firsts, seconds, rows, places = [], [], [], []
+                listed = [None] * batch.num_rows if all_bands else batch.column("bands").to_pylist()
+                columns = (batch.column(c).to_pylist() for c in ("bytes", "windows", "shift"))
+                for row, (raw, windows, shift, bands) in enumerate(zip(*columns, listed)):
+                    data = np.frombuffer(raw, np.uint8)
+                    if all_bands:
+                        at = np.array(_bands(shift, windows))
+                        # the strings of band b all hold the bytes from b*BAND before the anchor on
+                        starts = shift - at * BAND
+                        ends = starts + LENGTH - BAND + 1
+                    else:
+                        spans = [(max(0, shift - b * BAND - BAND + 1), min(windows, shift - b * BAND + 1)) for b in bands]
+                        at = starts = np.concatenate([np.arange(x, y) for x, y in spans])
+                        ends = starts + LENGTH
+                    one, two = _prints(data, starts, ends)
+                    firsts.append(one)
+                    seconds.append(two)
+                    rows.append(np.full(len(at), row))
+                    places.append(at.astype(np.int32))
+                if not rows:
+                    continue
+                string = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate(firsts)), pa.array(np.concatenate(seconds))], ["first", "second"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [string, batch.column("name").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))],
+                    names=["string", "name", "at"],
+                )
+
+    return run
 
 
 def _as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +225,7 @@ def _as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(values) > 1)
             firsts, lasts = values[np.r_[0, cuts + 1]], values[np.r_[cuts, len(values) - 1]]
             runs.append([{"first": a, "last": b} for a, b in zip(firsts.tolist(), lasts.tolist())])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("head"), batch.column("whole"), pa.array(runs, _RUNS)], names=["head", "whole", "runs"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(runs, _RUNS)], names=["name", "runs"])
 
 
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -234,31 +280,38 @@ def _verdicts(suspects: DataFrame, packed: DataFrame) -> DataFrame:
     own = salted(named, "name", hot_names, "key", "start").join(
         for_every_salt(rivals.select(name.alias("name")), "name", hot_names), ["name", "salt"]
     )
-    place = F.struct("key", "start", "windows")
+    place = F.struct("key", "start", "windows", "shift")
     shown = own.groupBy("name", "salt").agg(F.min(place).alias("place")).groupBy("name").agg(F.min("place").alias("place"))
     listed = shown.groupBy(F.col("place.key").alias("key")).agg(F.collect_list(
-        F.struct("place.start", "place.windows", "name.head", "name.whole")
+        F.struct("name", "place.start", "place.windows", "place.shift")
     ).alias("listed"))
-    once = packed.dropDuplicates(["key"])
-    strings = stored(once.join(listed, "key").select("packed", "n_bytes", "listed").mapInArrow(
-        _windows, "first long, second long, head long, whole long, at int"
-    ), "strings")
-    found = strings.withColumn("string", F.struct("first", "second"))
-    twice = found.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.struct("first", "second").alias("string")
-    )
-    hot_strings = hot_keys(found.select("string"), "string")
-    shared = salted(found, "string", hot_strings, "head", "whole").join(
-        for_every_salt(twice, "string", hot_strings), ["string", "salt"]
-    )
-    partial = shared.groupBy("head", "whole").agg(F.collect_set("at").alias("at")).mapInArrow(
-        _as_runs, "head long, whole long, runs array<struct<first:int,last:int>>"
+    once = packed.select("key", "n_bytes", "packed").join(listed, "key")
+    segments = stored(once.select("packed", "n_bytes", "listed").mapInArrow(
+        _segments, f"name {_NAME}, windows int, shift int, bytes binary"
+    ).dropDuplicates(["name"]), "segments")
+    likely = _twice(segments.mapInArrow(_fingerprints(True), _PRINT)).groupBy("name").agg(F.collect_list("at").alias("bands"))
+    strings = segments.join(likely, "name").mapInArrow(_fingerprints(False), _PRINT)
+    partial = _twice(strings).groupBy("name").agg(F.collect_list("at").alias("at")).mapInArrow(
+        _as_runs, f"name {_NAME}, runs array<struct<first:int,last:int>>"
     )
-    whole = classes.where("copies > 1").select("head", "whole", F.array(F.struct(
+    whole = classes.where("copies > 1").select(name.alias("name"), F.array(F.struct(
         F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")
     )).alias("runs"))
-    rest = partial.join(whole, ["head", "whole"], "left_anti")
-    return stored(whole.unionByName(rest).select(name.alias("name"), "runs"), "verdicts")
+    rest = partial.join(whole, "name", "left_anti")
+    return stored(whole.unionByName(rest), "verdicts")
+
+
+_PRINT = f"string struct<first:bigint,second:bigint>, name {_NAME}, at int"
+
+
+def _twice(prints: DataFrame) -> DataFrame:
+    """``name, at`` of the fingerprints that occur more than once."""
+    prints = stored(prints, "fingerprints")
+    hot = hot_keys(prints.select("string"), "string")
+    twice = prints.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    return salted(prints, "string", hot, "name").join(
+        for_every_salt(twice, "string", hot), ["string", "salt"]
+    ).select("name", "at")
 
 
 def repeated_strings(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
