@@ -289,8 +289,11 @@ def _verdicts(suspects: DataFrame, packed: DataFrame) -> DataFrame:
     segments = stored(once.select("packed", "n_bytes", "listed").mapInArrow(
         _segments, f"name {_NAME}, windows int, shift int, bytes binary"
     ).dropDuplicates(["name"]), "segments")
-    likely = _twice(segments.mapInArrow(_fingerprints(True), _PRINT)).groupBy("name").agg(F.collect_list("at").alias("bands"))
-    strings = segments.join(likely, "name").mapInArrow(_fingerprints(False), _PRINT)
+    bands = stored(segments.mapInArrow(_fingerprints(True), _PRINT), "bands")
+    likely = _twice(bands).groupBy("name").agg(F.collect_list("at").alias("bands"))
+    strings = stored(segments.join(likely, "name").mapInArrow(_fingerprints(False), _PRINT), "strings")
+    discard(bands)
+    discard(segments)
     partial = _twice(strings).groupBy("name").agg(F.collect_list("at").alias("at")).mapInArrow(
         _as_runs, f"name {_NAME}, runs array<struct<first:int,last:int>>"
     )
@@ -298,7 +301,9 @@ def _verdicts(suspects: DataFrame, packed: DataFrame) -> DataFrame:
         F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")
     )).alias("runs"))
     rest = partial.join(whole, "name", "left_anti")
-    return stored(whole.unionByName(rest), "verdicts")
+    verdicts = stored(whole.unionByName(rest), "verdicts")
+    discard(strings)
+    return verdicts
 
 
 _PRINT = f"string struct<first:bigint,second:bigint>, name {_NAME}, at int"
@@ -306,7 +311,6 @@ _PRINT = f"string struct<first:bigint,second:bigint>, name {_NAME}, at int"
 
 def _twice(prints: DataFrame) -> DataFrame:
     """``name, at`` of the fingerprints that occur more than once."""
-    prints = stored(prints, "fingerprints")
     hot = hot_keys(prints.select("string"), "string")
     twice = prints.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     return salted(prints, "string", hot, "name").join(
@@ -335,6 +339,8 @@ def repeated_strings(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     suspects = stored(salted(found.drop("batch"), "head", hot, "key", "start").join(
         for_every_salt(index.repeated_heads(), "head", hot), ["head", "salt"]
     ).drop("salt"), "suspects")
+    for table in (found, *index.levels.values()):
+        discard(table)
     packed = texts.mapInArrow(_packed, "doc_id long, key binary, n_bytes long, packed binary")
     verdicts = _verdicts(suspects, packed)
     named = suspects.select("key", "start", F.struct("head", "whole").alias("name"))
