@@ -52,3 +52,14 @@ def test_without_classes_or_rows(spark, documents, odd):
     assert {r.score < 1e-6 for r in toxicity.score(odd, model).collect()} == {True}
     assert toxicity.score(documents([]), model).collect() == []
     assert toxicity.clean(odd, model).count() == odd.count()
+
+
+def test_texts_too_short_for_any_gram(spark, documents):
+    model = toxicity.Model(np.full(1 << toxicity.BITS, 0.25), -1.0)
+    alone = [r.score for r in toxicity.score(documents([(1, "x", "s")]), model).collect()]
+    assert alone == [pytest.approx(1 / (1 + np.exp(1)))]
+    assert len(toxicity._present(["ab" * (toxicity._PIECE // 2) + "a"])[1]) == 6  # the last piece has one code point
+    docs = documents([(k, ("x", "ok")[k % 2], "s") for k in range(20)])
+    labels = spark.createDataFrame([(k, 0, k % 2, "x") for k in range(20)], LABELS)
+    found = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(found) == 20 and len({r.score for r in found}) == 1

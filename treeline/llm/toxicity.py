@@ -82,7 +82,7 @@ def _present(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple
     """Distinct rows and features, of the wanted ones only where given."""
     found = [np.zeros(0, np.int64)]
     for group in _groups(texts):
-        own = []
+        own = [np.zeros(0, np.int64)]  # a group may be too short for any n-gram
         for rows, features in _grams(group):
             if wanted is not None:
                 keep = wanted[features]
