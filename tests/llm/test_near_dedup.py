@@ -78,3 +78,14 @@ def test_components_of_a_chain_and_a_star(spark):
     found = components(spark.createDataFrame(edges, "a long, b long"))
     parts = {r.component: r.n for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()}
     assert parts == {0: 101, 1000: 201}
+
+
+def test_hub_whose_copies_are_unlike_each_other(documents, prose):
+    pick, hub = random.Random(3), prose(200, 4242).split()
+    made = [(0, " ".join(hub), "s")]
+    for k in range(1, 5_300):  # 0.83 like the hub, some 0.7 like each other
+        copy = list(hub)
+        for at in pick.sample(range(1, 199, 2), 9):
+            copy[at] = f"new{k}x{at}"
+        made.append((k, " ".join(copy), "s"))
+    assert {r.component_id for r in near_duplicates(documents(made), size=2).collect()} == {0}

@@ -14,8 +14,13 @@ these links do not join are checked. Last, the crowded regions that still
 hold several components are sorted along their orders, and each node meets the
 ``wide`` nodes before and behind it, those with the longest common prefixes: the
 depth at which nodes meet grows with the crowd. So n copies cost some n
-comparisons and not n²; what can be missed is a link of a node in a crowd above
-``wide`` that is no closer than its many others and the only one to its component.
+comparisons and not n².
+
+What is left are regions of more than ``wide`` nodes that still hold several
+components, where a link may be no closer than many pairs without one. There all
+pairs of different components are compared, in cells of two parts of a region: on
+signatures first; the nodes that may have a link are grouped by the regions they
+share, and all pairs of a group are compared on full sets.
 
 Null texts and texts without words have no shingles and are linked with nothing;
 fewer words than a shingle form one shingle. A component's id is its smallest
@@ -38,6 +43,7 @@ from treeline.llm.words import mixed, text_buffers, words
 
 WORDS, SIMILARITY = 5, 80  # words of a shingle; percent
 VALUES, ORDERS, CROWD, WIDE = 128, 32, 8, 64
+CELL_ROWS, CELL_SHINGLES = 1024, 1 << 20  # about what one part of a region holds
 DEPTH, PLACE = 4, 48  # values that make a region, and that sort an order
 
 _random = np.random.default_rng(80_128)
@@ -159,8 +165,9 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = [bytes([t]) + row.tobytes() for t, row in zip(tree.tolist(), chosen)]
         sketch = [row.tobytes() for row in values.astype(np.uint8)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(places, pa.binary()), batch.column("node"), batch.column("at").field("home"), pa.array(sketch, pa.binary())],
-            names=["place", "node", "home", "sketch"],
+            [pa.array(places, pa.binary()), batch.column("node"), batch.column("at").field("home"),
+             batch.column("at").field("size"), pa.array(sketch, pa.binary())],
+            names=["place", "node", "home", "size", "sketch"],
         )
 
 
@@ -196,25 +203,161 @@ def _neighbours(wide: int, least: float):
     return run
 
 
-def _crowd_pairs(met: DataFrame, nodes: DataFrame, homes: DataFrame, crowd: int, wide: int, least: float) -> DataFrame:
-    """``a, b, same``: near places in the sorted orders, in crowded regions that hold several components."""
-    crowded = met.where(F.col("size") > crowd).select("region", "tree", "node").join(homes, "node", "left").select(
-        "region", "tree", "node", F.coalesce("component", "node").alias("home")
+def _mixed(met: DataFrame, homes: DataFrame, crowd: int) -> DataFrame:
+    """``region, tree, size, node, home`` of the regions of over ``crowd`` nodes that hold several components."""
+    crowded = met.where(F.col("size") > crowd).select("region", "tree", "size", "node").join(homes, "node", "left").select(
+        "region", "tree", "size", "node", F.coalesce("component", "node").alias("home")
     )
     crowded = stored(crowded, "crowded")
     mixed = stored(crowded.groupBy("region").agg(F.min("home").alias("x"), F.max("home").alias("y")).where(
         "x <> y"
     ).select("region"), "mixed-regions")
-    rows = crowded.join(mixed, "region").select("node", F.struct("tree", "home").alias("at")).join(nodes, "node")
-    placed = stored(
-        rows.select("node", "at", "signature").mapInArrow(_placed, "place binary, node binary, home binary, sketch binary"),
-        "places",
-    )
+    return crowded.join(mixed, "region")
+
+
+def _crowd_pairs(met: DataFrame, nodes: DataFrame, homes: DataFrame, crowd: int, wide: int, least: float) -> DataFrame:
+    """``a, b, same``: near places in the sorted orders, in crowded regions that hold several components."""
+    rows = _mixed(met, homes, crowd).select("node", F.struct("tree", "home", "size").alias("at")).join(nodes, "node")
+    placed = stored(rows.select("node", "at", "signature").mapInArrow(
+        _placed, "place binary, node binary, home binary, size long, sketch binary"
+    ), "places")
     if placed.isEmpty():
         return placed.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("same"))
-    ordered = placed.repartitionByRange("place").sortWithinPartitions("place", "node")
-    pairs = ordered.mapInArrow(_neighbours(wide, least), "a binary, b binary, same int")
-    return pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
+    # all pairs of a region of up to wide + 1 nodes are near places, if no boundary of partitions cuts it
+    whole = placed.where(F.col("size") <= wide + 1).repartition(F.substring("place", 1, 1 + 4 * DEPTH))
+    cut = placed.where(F.col("size") > wide + 1).repartitionByRange("place")
+    pairs = [
+        part.sortWithinPartitions("place", "node").select("place", "node", "home", "sketch").mapInArrow(
+            _neighbours(wide, least), "a binary, b binary, same int"
+        ) for part in (whole, cut)
+    ]
+    return pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.max("same").alias("same"))
+
+
+def _cells(rows: DataFrame, key: str) -> DataFrame:
+    """``rows (key, node, home, weight, ...)`` with ``x, y, side``, once for every cell they take part in.
+
+    A group is cut into parts of about weight 1, those of its largest component apart.
+    Cell (x, y) holds part x as side 0 and part y as side 1, or part x alone if they
+    are the same. Any two nodes of a group and of different components share a cell.
+    """
+    counts = stored(rows.groupBy(key, "home").agg(F.sum("weight").alias("weight")), "home-weights")
+    groups = counts.groupBy(key).agg(
+        F.max(F.struct("weight", "home")).alias("main"), F.sum("weight").alias("weight"), F.count("*").alias("homes")
+    ).where("homes > 1")
+    parts = stored(groups.select(
+        key, F.col("main.home").alias("main"), F.ceil("main.weight").cast("int").alias("mains"),
+        F.greatest(F.ceil(F.col("weight") - F.col("main.weight")), F.lit(1)).cast("int").alias("others"),
+    ), "parts")
+    is_main = F.col("home") == F.col("main")
+    dealt = rows.join(parts, key).withColumn("part", F.when(
+        is_main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))
+    ).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    none = F.array().cast("array<int>")
+    before = F.least("part", "others")
+    right = F.transform(F.when(before > 0, F.sequence(F.lit(0), before - 1)).otherwise(none), lambda x: F.struct(
+        x.alias("x"), F.col("part").alias("y"), F.lit(1).alias("side")
+    ))
+    left = F.transform(F.when(is_main, none).otherwise(
+        F.sequence("part", F.col("others") + F.col("mains") - 1)
+    ), lambda y: F.struct(F.col("part").alias("x"), y.alias("y"), F.lit(0).alias("side")))
+    return dealt.select(*rows.columns, F.explode_outer(F.concat(left, right)).alias("cell")).select(*rows.columns, "cell.*")
+
+
+def _possible(cell: pa.Table, least: float) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides of a cell, numbers of their homes, and which pairs of different homes agree often enough."""
+    side = cell["side"].to_numpy()
+    home = cell["home"].combine_chunks().dictionary_encode().indices.to_numpy()
+    alone = cell["x"][0] == cell["y"][0]
+    at = [np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))]
+    sketch = np.ascontiguousarray(_matrix(cell["sketch"], np.uint8, VALUES).T)
+    same = np.zeros((len(at[0]), len(at[1])), np.uint8)
+    for value in sketch:
+        same += value[at[0]][:, None] == value[at[1]]
+    may = (same >= least) & (home[at[0]][:, None] != home[at[1]])
+    if alone:
+        may = np.triu(may, 1)
+    return cell.take(at[0]), cell.take(at[1]), home[at[0]], home[at[1]], may
+
+
+def _promising(least: float):
+    """The nodes of a cell that may have a link to another component."""
+    def run(cell: pa.Table) -> pa.Table:
+        left, right, _, _, may = _possible(cell, least)
+        found = pa.concat_tables([left.filter(pa.array(may.any(1))), right.filter(pa.array(may.any(0)))])
+        return found.select(["region", "node"])
+
+    return run
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets with all others, or with each other."""
+    sides = [s for s in (left, right) if s is not None]
+    values = [np.concatenate(s) for s in sides]
+    if right is None:
+        common, copies = np.unique(values[0], return_counts=True)
+        common = common[copies > 1]
+    else:
+        common = np.intersect1d(*values)
+    shared = np.zeros((len(left), len(sides[-1])), np.float32)
+    places = []
+    for own, sets in zip(values, sides):
+        column = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+        hit = np.flatnonzero(common[column] == own) if len(common) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(column[hit], kind="stable")]
+        places.append((column[hit], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], len(sets)))
+    for start in range(0, len(common), _BLOCK):
+        width, tables = min(_BLOCK, len(common) - start), []
+        for column, row, n in places:
+            part = slice(*np.searchsorted(column, [start, start + width]))
+            tables.append(np.zeros((n, width), np.float32))
+            tables[-1][row[part], column[part] - start] = 1
+        shared += tables[0] @ tables[-1].T
+    return shared
+
+
+def _joining(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Numbers of the pairs of homes that join what those before them did not."""
+    top: dict[int, int] = {}
+
+    def find(h: int) -> int:
+        while (up := top.get(h, h)) != h:
+            top[h] = top.get(up, up)
+            h = up
+        return h
+
+    chosen = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            top[a] = b
+            chosen.append(k)
+    return chosen
+
+
+def _linked(least: float, similarity: int):
+    """Links of a cell, as many as join its components."""
+    def run(cell: pa.Table) -> pa.Table:
+        left, right, home_x, home_y, may = _possible(cell, least)
+        alone = cell["x"][0] == cell["y"][0]
+        rows, columns = (np.flatnonzero(may.any(1) | may.any(0)),) * 2 if alone else (
+            np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        )
+        i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(rows):
+            sets = [[np.asarray(s.values) for s in t["shingles"].take(pa.array(k))] for t, k in ((left, rows), (right, columns))]
+            shared = _shared(sets[0], None if alone else sets[1])
+            sizes = [np.array([len(s) for s in own], np.float64) for own in sets]
+            union = sizes[0][:, None] + sizes[1] - shared
+            i, j = np.nonzero((shared * 100.0 >= union * similarity) & may[np.ix_(rows, columns)])
+            i, j = rows[i], columns[j]
+            chosen = _joining(home_x[i], home_y[j])
+            i, j = i[chosen], j[chosen]
+        return pa.table({
+            "a": left["node"].take(pa.array(i)).combine_chunks(), "b": right["node"].take(pa.array(j)).combine_chunks(),
+        })
+
+    return run
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +442,29 @@ def near_duplicates(
         joined = pairs.join(own[0], "a", "left").join(own[1], "b", "left")
         return joined.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
 
+    def exact(met: DataFrame, homes: DataFrame) -> DataFrame | None:
+        """Links between components that share a region too large for its near places."""
+        rows = stored(_mixed(met, homes, wide + 1).select(
+            "region", "node", "home", F.lit(1 / CELL_ROWS).alias("weight")
+        ).join(sketches, "node"), "mixed-crowds")
+        if rows.isEmpty():
+            return None
+        flagged = stored(_cells(rows, "region").groupBy("region", "x", "y").applyInArrow(
+            _promising(least), "region long, node binary"
+        ).distinct(), "promising")
+        if flagged.isEmpty():
+            return None
+        leaders = flagged.groupBy("region").agg(F.min("node").alias("b"))
+        groups = stored(components(flagged.join(leaders, "region").select(F.col("node").alias("a"), "b")), "groups")
+        sets = sets_of(groups.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        weight = F.greatest(F.lit(1 / CELL_ROWS), F.size("shingles") / CELL_SHINGLES)
+        rows = groups.withColumnRenamed("component", "group").join(homes, "node", "left").select(
+            "node", "group", F.coalesce("component", "node").alias("home")
+        ).join(sketches, "node").join(sets, "node").withColumn("weight", weight)
+        return stored(_cells(stored(rows, "promising-sets"), "group").groupBy("group", "x", "y").applyInArrow(
+            _linked(least, similarity), "a binary, b binary"
+        ), "exact-links")
+
     met = _regions(signatures)
     close = likely(stored(_near_pairs(met, crowd), "near-pairs"))
     sets = sets_of(close)
@@ -319,7 +485,11 @@ def near_duplicates(
     others = stored(others, "crowd-pairs")
     if not others.isEmpty():
         more = stored(_confirmed(others, sets_of(others), similarity), "crowd-links")
-        homes = homes if more.isEmpty() else stored(components(links.unionByName(more)), "components")
+        links = links.unionByName(more)
+        homes = homes if more.isEmpty() else stored(components(links), "components")
+    more = exact(met, homes)
+    if more is not None:
+        homes = stored(components(links.unionByName(more)), "components")
     own = nodes.select("node", "first")
     component = stored(homes.join(own, "node").groupBy("component").agg(F.min("first").alias("least")), "component-ids")
     named = stored(homes.join(component, "component").select("node", "least"), "homes")
