@@ -70,3 +70,17 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     out = {r.page_id: r.verdict for r in judge_urls(pages(spark, rows), RULES).collect()}
     assert (out[1], out[2], out[3], out[10]) == ("block", "block", "allow", "allow")
     assert judge_urls(pages(spark, []), RULES).collect() == []
+
+
+def test_verdicts_do_not_depend_on_unrelated_hosts(spark):
+    chain = ["http://x.com/de/1", *(f"http://h{k}.net/" for k in range(1, 6))]
+    rows = [(k, url, f'<a href="{chain[k - 1]}">' if k else None) for k, url in enumerate(chain)]
+    alone = pages(spark, rows)
+    others = spark.range(100, 20_100).selectExpr(
+        "id as page_id", "concat('http://u', id, '.com/de/') as url", "cast(null as string) as html",
+        "'h' as host", "'r' as rule", "1L as salt",
+    )
+    for table in (alone, alone.unionByName(others)):
+        found = {r.page_id: r for r in judge_urls(table, RULES).where("page_id < 100").collect()}
+        assert [found[k].distrust for k in range(6)] == pytest.approx([0.85 ** k for k in range(6)])
+        assert {r.verdict for r in found.values()} == {"block"}

@@ -4,12 +4,14 @@ Hosts link to hosts where a page of one names an absolute address of the other.
 Trust is a personalised PageRank from the hosts that allow rules cover; distrust
 is the same on reversed edges from the hosts that block rules cover, since who
 links to bad hosts is suspect. A seed's weight is the share of its pages under
-such rules. A host is blocked when its distrust reaches ``least`` and exceeds
-``ratio`` times its trust.
+such rules. Values are in units of a whole seed: each seed gives its weight once
+and no mass returns to the seeds, so hosts without a path to a host do not bear on
+it. A host is blocked when its distrust reaches ``least`` and exceeds ``ratio``
+times its trust.
 
 Both walks run as one table of (kind, host, value), joined with the edges and
-summed in every round, until the change is below ``tolerance`` or after
-``rounds``. Mass without outgoing edges returns to the seeds.
+summed in every round, until no host's value changes by ``tolerance`` of itself or
+after ``rounds``, so mass goes at most ``rounds`` links far.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: what follows up to ``?``, ``#`` or the end. A null url and one
@@ -69,32 +71,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+    returning: bool = True,
 ) -> DataFrame:
     """``kind, host, value`` of the walks from ``seeds (kind, host, seed)`` over ``edges (kind, src, dst, share)``.
 
-    ``share`` sums to 1 over the edges of a host. Values of a kind sum to the sum of its seeds.
+    ``share`` sums to 1 over the edges of a host. ``returning``: mass that no edge takes on goes
+    back to the seeds of its kind, and values of a kind sum to the sum of its seeds.
     """
-    totals = {r["kind"]: r["total"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("total")).collect()}
+    sums = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
+    totals = {r["kind"]: r["total"] for r in sums.collect()} if returning else {}
     ranks = seeds.select("kind", "host", F.col("seed").alias("value"))
     for _ in range(rounds if not edges.isEmpty() else 0):
         moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", "dst").agg(
             (F.sum(F.col("value") * F.col("share")) * damping).alias("flow")
         ).select("kind", F.col("dst").alias("host"), "flow")
         moved = stored(moved, "flow")
-        flow = {r["kind"]: r["flow"] for r in moved.groupBy("kind").agg(F.sum("flow").alias("flow")).collect()}
-        back = F.lit(0.0)
+        back = F.lit(0.0 if returning else 1.0)
+        flows = moved.groupBy("kind").agg(F.sum("flow").alias("flow"))
+        flow = {r["kind"]: r["flow"] for r in flows.collect()} if returning else {}
         for kind, total in totals.items():  # trust and distrust
             rest = 1 - flow.get(kind, 0.0) / total if total else 0.0
             back = F.when(F.col("kind") == kind, F.lit(rest)).otherwise(back)
         value = F.coalesce("flow", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * back
         new = stored(moved.join(seeds, ["kind", "host"], "full").select("kind", "host", value.alias("value")), "ranks")
         was = ranks.withColumnRenamed("value", "was")
-        change = new.join(was, ["kind", "host"], "full").agg(
-            F.sum(F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
+        now, then = F.coalesce("value", F.lit(0.0)), F.coalesce("was", F.lit(0.0))
+        change = new.join(was, ["kind", "host"], "full").where((now > 0) | (then > 0)).agg(
+            F.max(F.abs(now - then) / F.greatest(now, then))
         ).first()[0]
         ranks = new
-        if change is None or change < tolerance * max(1.0, sum(totals.values())):
+        if change is None or change < tolerance:
             break
     return ranks
 
@@ -122,7 +129,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], ratio: float = RATIO, le
     shares = stored(both.join(out, ["kind", "src"]).select(
         "kind", "src", "dst", (F.col("links") / F.col("out")).alias("share")
     ), "edge-shares")
-    values = propagate(seeds, shares, **walk).groupBy("host").agg(
+    values = propagate(seeds, shares, returning=False, **walk).groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("value"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("value"))).alias("distrust"),
     )
