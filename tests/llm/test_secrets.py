@@ -55,3 +55,18 @@ def test_without_labels_or_rows(documents, odd):
     assert {r.score for r in secrets.score(found, None, dictionary, pairs).collect()} <= {1.0}
     assert secrets.findings(documents([])).collect() == []
     assert secrets.language(documents([]))[0] == []
+
+
+def test_short_and_split_values(documents):
+    rows = [
+        (1, "password=S3cr$t!Pass.w0rd, pwd: 'a b' x", "a"), (2, "see https://bob:p.w%1@db.net/x and joe:pa$s@host", "a"),
+        (3, '{"token":"ab.c","api_key":"x"} token:abc,key:def', "a"), (4, "--password hunter2 Bearer a.b.c nokey here: x", "a"),
+    ]
+    found = secrets.findings(documents(rows))
+    values = {}
+    for r in found.collect():
+        values.setdefault(r.doc_id, []).append((r.nth, r.candidate))
+    assert {k: [c for _, c in sorted(v)] for k, v in values.items()} == {
+        1: ["S3cr$t!Pass.w0rd", "a"], 2: ["p.w%1", "pa$s"], 3: ["ab.c", "x", "abc", "def"], 4: ["hunter2", "a.b.c"],
+    }
+    assert secrets.features(found, ["the"], [1 / 37] * 37 * 37).where("f_likely is null or f_changes is null").isEmpty()

@@ -1,14 +1,19 @@
 """Secret scan: candidate strings, and a random forest that drops the false ones.
 
 In DataFrame expressions and Spark's own forest only. A candidate is a run of at
-least ``SHORTEST`` characters of base64, hex or identifier alphabets. Its features:
+least ``SHORTEST`` characters of base64, hex or identifier alphabets, or a value of
+any length and of any non-blank characters that is assigned to a credential word,
+follows ``Bearer``, ``Basic`` or a credential option, or is the password of
+``user:password@host``. An unquoted value goes without closing punctuation and ends
+where ``&``, ``,`` or ``;`` begins another assignment. Its features:
 
-- length, distinct characters, shares of digits, capitals and hex digits,
+- length, distinct characters, shares of digits, capitals, hex digits and symbols,
 - transitions: how often neighbouring characters change their class, and the mean
   log probability of letter pairs, counted over all words of the corpus,
 - dictionary coverage: the share that frequent words of the corpus cover,
 - path: its depth and whether it names tests, examples or documentation,
-- neighbouring words: credential words just before or near, an assignment, quotes,
+- neighbouring words: credential words just before (or a user's name, with a host
+  behind) or near, an assignment, quotes,
   and whether the words beside it are dictionary words.
 
 The dictionary (``words`` entries) and the letter pairs (37 x 37) have fixed
@@ -34,8 +39,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from treeline.llm.store import stored
 
 SHORTEST, CONTEXT, WORDS, TRAIN_ROWS, TREES, DEPTH = 16, 48, 200, 5_000, 20, 8
-_CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_\-]{%d,}+={0,2}" % (SHORTEST - 1)
 _CREDENTIAL = r"(?:key|token|secret|passw|pwd|passphrase|auth|credential|bearer|api)"
+_LONG = r"[A-Za-z0-9][A-Za-z0-9+/_\-]{%d,}+={0,2}" % (SHORTEST - 1)
+_OPTION = rf"--?[A-Za-z\-]{{0,16}}(?i:{_CREDENTIAL})[A-Za-z\-]{{0,16}}"
+_NAMED = (  # the short tests come first, since the long one is tried at every place
+    r"(?<=[=:>\"'`\s])(?=[^\s\"'`=>])(?:"
+    rf"(?<=[=:>]\s{{0,2}}[\"'`]?)(?<=(?i:{_CREDENTIAL})[\w\-]{{0,16}}[\"'\]]{{0,2}}\s{{0,2}}[=:]{{1,3}}>?\s{{0,2}}[\"'`]?)"
+    rf"|(?<=\b(?i:bearer|basic)\s[\"'`]?)|(?<=(?:^|\s){_OPTION}\s[\"'`]?))"
+)
+_NEXT = r"(?!\s{0,2}[\"']?[A-Za-z_][\w\-]{0,40}[\"']?\s{0,2}[=:])"
+_VALUE = (
+    r"(?:(?<=\")[^\s\"]+|(?<=')[^\s']+|(?<=`)[^\s`]+"
+    rf"|(?<![\"'`])[^\s&,;]*(?:[&,;]{_NEXT}[^\s&,;]*){{0,64}}(?<![,;.)\]}}>\"'`\s=:]))"
+)
+_PASSWORD = r"[^\s\"'<>]{1,1024}(?=@[A-Za-z0-9\[])"
+_CANDIDATE = "|".join([
+    rf"{_LONG}(?=[^\sA-Za-z0-9]*(?:\s|$))", rf"(?<=://[^\s/:@]{{1,64}}:){_PASSWORD}", _NAMED + _VALUE,
+    rf"(?<=[A-Za-z0-9._%+\-]:)(?!//){_PASSWORD}", _LONG,
+])
 _ASIDE = r"(?i)(?:test|example|sample|mock|fixture|dummy|doc)"
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"  # any other character is the 37th
 _CLASSES = "a" * 26 + "A" * 26 + "0" * 10
@@ -102,11 +123,12 @@ def features(found: DataFrame, dictionary: list[str], pairs: list[float]) -> Dat
     before, after, path = F.col("before"), F.col("after"), F.coalesce("source", F.lit(""))
     kinds = F.regexp_replace(F.translate(candidate, _ALL, _CLASSES), r"(.)\1+", "$1")
     table = F.array(*[F.lit(p) for p in pairs])
+    steps = F.greatest(F.length(candidate) - 1, F.lit(1))
     width = len(_SYMBOLS) + 1
     likely = F.aggregate(
-        F.sequence(F.lit(1), F.length(candidate) - 1), F.lit(0.0),
+        F.sequence(F.lit(1), steps), F.lit(0.0),
         lambda total, i: total + F.log(F.get(table, _symbol(low, i) * width + _symbol(low, i + 1))),
-    ) / (F.length(candidate) - 1)
+    ) / steps
     longest_first = "|".join(re.escape(w) for w in sorted(dictionary, key=lambda w: (-len(w), w))) or r"(?!)"
     word_before, word_after = F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1), F.regexp_extract(after, r"^[^A-Za-z]*([A-Za-z]+)", 1)
     whole_word = f"^(?:{longest_first})$"
@@ -114,13 +136,15 @@ def features(found: DataFrame, dictionary: list[str], pairs: list[float]) -> Dat
         "f_length": F.length(candidate).cast("double"),
         "f_distinct": F.size(F.array_distinct(F.split(candidate, ""))).cast("double"),
         "f_digits": _share(candidate, "[^0-9]+"), "f_capitals": _share(candidate, "[^A-Z]+"),
-        "f_hex": _share(candidate, "[^0-9a-f]+"),
-        "f_changes": (F.length(kinds) - 1) / (F.length(candidate) - 1),
+        "f_hex": _share(candidate, "[^0-9a-f]+"), "f_symbols": _share(candidate, "[A-Za-z0-9]+"),
+        "f_changes": (F.length(kinds) - 1) / steps,
         "f_likely": likely,
         "f_dictionary": 1 - F.length(F.regexp_replace(low, longest_first, "")) / F.length(candidate),
         "f_depth": (F.length(path) - F.length(F.regexp_replace(path, "/", ""))).cast("double"),
         "f_aside": _flag(path.rlike(_ASIDE)),
-        "f_credential": _flag(before.rlike(rf"(?i){_CREDENTIAL}\w*[^A-Za-z0-9]{{0,5}}$")),
+        "f_credential": _flag(before.rlike(rf"(?i){_CREDENTIAL}\w*[^A-Za-z0-9]{{0,5}}$") | (
+            before.rlike(r"[A-Za-z0-9._%+\-]:$") & after.rlike(r"^@[A-Za-z0-9\[]")
+        )),
         "f_near": _flag(before.rlike(f"(?i){_CREDENTIAL}") | after.rlike(f"(?i){_CREDENTIAL}")),
         "f_assigned": _flag(before.rlike(r"[=:]\s*[\"']?$")),
         "f_quoted": _flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")),
