@@ -71,13 +71,43 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+_ISSUED = (
+    r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|npm_[A-Za-z0-9]{36}"
+    r"|xox[abeprs]-[A-Za-z0-9\-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w\-]{35}|hf_[A-Za-z0-9]{34}"
+    r"|eyJ[\w\-]{13,}(?:\.[\w\-]+){0,2})$"
+)
+_ASSIGNED = r"(?i)(?:key|token|secret|passw|pwd|passphrase|auth|credential|bearer)\w*[\"']?\s*[=:]+\s*[\"']?$"
+_RANDOM = (
+    r"^(?:(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_\-]{20,}={0,2})$"
+)
+_PLACEHOLDER = (
+    r"(?i)^(?:(.)\1*|(?:your|my|some|insert|replace|enter|example|sample|dummy|change)[_\-]?\w*|<.*>?|\$?\{.*\}?|%\w+%?"
+    r"|null|none|nil|true|false|undefined|todo|redacted|placeholder|\w*(?:changeme|placeholder|xxxx)\w*)$"
+)
+_UUID = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
+_PATH = r"^(?:[a-z]{2,}[_\-]?)+(?:/(?:[a-z]{2,}[_\-]?)+)+$"
+_WORD = r"^(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_\-](?:[A-Z]?[a-z]+|[A-Z]+))*$"
+_DIGEST = r"(?i)\b(?:sha-?[0-9]*|md5|checksum|digest|hash|integrity|commit|etag|revision)\W{1,4}$"
+
+
 def labelled_findings(found: DataFrame) -> DataFrame:
-    """Findings of four folds of the ids with a label that the issuer's own format proves or rules out."""
-    issued = F.col("candidate").rlike("^AKIA[A-Z0-9]{16}$") | (
-        F.col("candidate").rlike("^[0-9a-f]{40}$") & F.col("before").rlike("token = \"$")
-    ) | (F.col("candidate").rlike("^[0-9a-f]{18}$") & F.col("before").rlike("password=$"))
+    """Findings of four folds of the ids with a label that their form proves (1) or rules out (0), else null.
+
+    True: issuers' formats, and random hex or base64 digits assigned to a credential word.
+    False: UUIDs, placeholders, paths of words, digests named as such; and, without a
+    credential word before or behind, words of letters and plain numbers.
+    """
+    candidate, before = F.col("candidate"), F.col("before")
+    near = rf"(?i){secrets._CREDENTIAL}"
+    apart = ~before.rlike(near) & ~F.col("after").rlike(near) & ~F.col("after").rlike("^@")
+    harmless = (
+        candidate.rlike(_UUID) | candidate.rlike(_PLACEHOLDER) | candidate.rlike(_PATH)
+        | (candidate.rlike("(?i)^[0-9a-f]{32,}$") & before.rlike(_DIGEST))
+        | (apart & (candidate.rlike(_WORD) | candidate.rlike("^[0-9]+$")))
+    )
+    issued = candidate.rlike(_ISSUED) | (before.rlike(_ASSIGNED) & candidate.rlike(_RANDOM))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    return found.where(fold != 0).withColumn("label", issued.cast("int"))
+    return found.where(fold != 0).withColumn("label", F.when(harmless, 0).when(issued, 1))
 
 
 @query
