@@ -54,7 +54,7 @@ _VALUE = (
 )
 _PASSWORD = r"[^\s\"'<>]{1,1024}(?=@[A-Za-z0-9\[])"
 _CANDIDATE = "|".join([
-    rf"{_LONG}(?=[^\sA-Za-z0-9]*(?:\s|$))", rf"(?<=://[^\s/:@]{{1,64}}:){_PASSWORD}", _NAMED + _VALUE,
+    rf"{_LONG}(?=[^\sA-Za-z0-9]*(?:\s|$))", rf"(?<=:)(?<=://[^\s/:@]{{1,64}}:){_PASSWORD}", _NAMED + _VALUE,
     rf"(?<=[A-Za-z0-9._%+\-]:)(?!//){_PASSWORD}", _LONG,
 ])
 _ASIDE = r"(?i)(?:test|example|sample|mock|fixture|dummy|doc)"
