@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, pieces, secrets, suffix_dedup, toxicity, url_filter
+from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, phrases, pieces, secrets, suffix_dedup, toxicity, url_filter
 from treeline.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,3 +271,43 @@ def op10_toxicity(spark, sf_dir):
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), {_ALPHABET}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), starts AS (
+  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+  FROM worded, (VALUES (1), (2), (3)) AS sizes(size) WHERE len(w) >= size
+), counts AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, any_value(w[i : i + size - 1]) AS words, count(*) AS f
+  FROM starts GROUP BY lang, size, phrase HAVING count(*) >= 10
+), cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.words, c.f AS a, k, l.f AS l, r.f AS r,
+    CAST((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+  JOIN counts l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(c.words[1 : k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(c.words[k + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, array_to_string(words[1 : 2], ' ') AS phrase, f FROM counts WHERE size = 3
+  UNION ALL SELECT lang, array_to_string(words[2 : 3], ' '), f FROM counts WHERE size = 3
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM parts GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * longer.f < 50 * a, true)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
