@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings the operators rely on; none of them is a size.
+# Runtime SQL settings the operators rely on.
 _SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,6 +17,8 @@ _SQL_CONF = {
     # split a skewed join side even when that costs a later exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # what a Python worker gets at once, whatever the rows hold
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 _local_dir: str | None = None
