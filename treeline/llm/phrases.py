@@ -24,13 +24,14 @@ from treeline.llm.ranks import numbered
 from treeline.llm.store import stored
 from treeline.llm.words import LOWER, text_buffers
 
-CHUNK = 1 << 21  # words
+CHUNK = 1 << 20  # words
 SIDE_BITS = 10
 SIDE = 1 << SIDE_BITS
 _STRIP_BITS = 4  # sixteen sparse tiles make a strip
 _DENSE = 64  # tile (i, j) is counted by direct address if (i + 1) * (j + 1) is at most this
 _FAN = 128  # partial counts of a tile that one merge reads
-_COMPACT = 1 << 20
+_HELD = 1 << 21  # coordinates that a merge holds before it adds them up
+_GROUP = 1 << 20  # bytes of text split at once
 _STRIP = np.int64(1 << 62)
 
 _WORD, _SPACE, _BREAK = 0, 1, 2
@@ -64,15 +65,16 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
 
 
 def _chunk_rows(
-    lang: str, words: list[pa.Array], begins: list[np.ndarray], reach: int, places: int
+    lang: str, words: list[pa.DictionaryArray], begins: list[np.ndarray], reach: int, places: int
 ) -> Iterator[tuple]:
     """Own length, ids, words and counts of chunks; ids are local, -1 stands between pieces.
 
     What has more than ``places`` is cut anywhere; each part also holds the next
     ``reach`` places, which belong to the following one.
     """
-    coded = pa.concat_arrays(words).dictionary_encode()
-    ids = coded.indices.to_numpy(zero_copy_only=False)
+    coded = pa.chunked_array(words).unify_dictionaries()
+    names = coded.chunk(0).dictionary
+    ids = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
     gaps = np.concatenate(begins)
     seq = np.full(len(ids) + int(gaps.sum()), -1, np.int32)
     seq[np.arange(len(ids)) + np.cumsum(gaps)] = ids
@@ -82,13 +84,13 @@ def _chunk_rows(
         used, local = np.unique(part, return_inverse=True)
         counts = np.bincount(local[:own], minlength=len(used))
         apart = int(used[0] == -1)
-        names = coded.dictionary.take(pa.array(used[apart:])).cast(pa.string())
-        yield lang, own, (local - apart).astype(np.int32).tobytes(), names, counts[apart:]
+        here = names.take(pa.array(used[apart:])).cast(pa.string())
+        yield lang, own, (local - apart).astype(np.int32).tobytes(), here, counts[apart:]
 
 
 def _chunks(docs: DataFrame, reach: int, chunk_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_words: dict[str, list[pa.Array]] = {}
+        open_words: dict[str, list[pa.DictionaryArray]] = {}
         open_begins: dict[str, list[np.ndarray]] = {}
         sizes: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 33
@@ -109,11 +111,11 @@ def _chunks(docs: DataFrame, reach: int, chunk_words: int) -> DataFrame:
             langs = batch.column("lang").to_numpy(zero_copy_only=False)
             for lang in dict.fromkeys(langs):
                 texts = batch.column("text").filter(pa.array(langs == lang))
-                for _, data, offsets in text_buffers(texts):
+                for _, data, offsets in text_buffers(texts, _GROUP):
                     words, begins = _words(data, offsets)
                     if not len(words):
                         continue
-                    open_words.setdefault(lang, []).append(words)
+                    open_words.setdefault(lang, []).append(words.dictionary_encode())
                     open_begins.setdefault(lang, []).append(begins)
                     sizes[lang] = sizes.get(lang, 0) + len(words)
                     if sizes[lang] >= chunk_words:
@@ -126,8 +128,17 @@ def _chunks(docs: DataFrame, reach: int, chunk_words: int) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, _CHUNKS)
 
 
-def _longs(values: list | bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(values, kind)
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, their low halves first: the high ones are mostly zeros and compress to nothing."""
+    return numbers.astype(np.int64).view(np.uint32).reshape(-1, 2).T.tobytes()
+
+
+def _longs(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint32).reshape(2, -1).T).view(np.int64).ravel()
+
+
+def _ints(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.int32)
 
 
 def _address(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +184,7 @@ def _partial_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Rec
     return pa.RecordBatch.from_arrays([
         pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
         pa.array([r[2].astype(np.int32).tobytes() for r in rows], pa.binary()),
-        pa.array([r[3].astype(np.int64).tobytes() for r in rows], pa.binary()),
+        pa.array([_packed(r[3]) for r in rows], pa.binary()),
     ], ["tile", "chunk", "cells", "counts"])
 
 
@@ -195,10 +206,10 @@ def _tile_counts(sequences: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk, own, seq in zip(*(batch.column(c) for c in ("chunk", "own", "seq"))):
                 ready, size = [], 0
-                for row in rows(chunk.as_py(), own.as_py(), _longs(seq.as_buffer())):
+                for row in rows(chunk.as_py(), own.as_py(), _longs(seq.as_py())):
                     ready.append(row)
                     size += len(row[2])
-                    if size >= _COMPACT:
+                    if size >= _HELD // 4:
                         yield _partial_rows(ready)
                         ready, size = [], 0
                 if ready:
@@ -230,10 +241,10 @@ def _merged(partials: DataFrame, salts: int) -> DataFrame:
                     yield _partial_rows([merge(*current, cells, counts)])
                     cells, counts, held = [], [], 0
                 current = key
-                cells.append(_longs(at.as_py(), np.int32))
+                cells.append(_ints(at.as_py()))
                 counts.append(_longs(n.as_py()))
                 held += len(cells[-1])
-                if held >= 8 * _COMPACT:
+                if held >= _HELD:
                     _, _, at, n = merge(*current, cells, counts)
                     cells, counts, held = [at], [n], 0
         if cells:
@@ -252,7 +263,7 @@ def _frequent(partials: DataFrame, chunks: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, at, n in zip(*(batch.column(c) for c in ("tile", "cells", "counts"))):
-                cells, counts = _longs(at.as_py(), np.int32), _longs(n.as_py())
+                cells, counts = _ints(at.as_py()), _longs(n.as_py())
                 kept = counts >= least
                 cells, counts = cells[kept], counts[kept]
                 left, right = _ids(tile.as_py(), cells)
@@ -320,13 +331,13 @@ def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
                         batch.column("id").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64),
                     ))
                     continue
-                cells = _longs(batch.column("cells")[int(a)].as_py(), np.int32)
+                cells = _ints(batch.column("cells")[int(a)].as_py())
                 ids = lookup(int(tiles[a]), cells)
                 found = ids >= 0
                 if found.any():
                     left, right = _ids(int(tiles[a]), cells[found])
                     chunks_out.append(batch.column("chunk")[int(a)].as_py())
-                    labels.append(np.concatenate([left, right, ids[found]]).tobytes())
+                    labels.append(_packed(np.concatenate([left, right, ids[found]])))
             if labels:
                 yield pa.RecordBatch.from_arrays([pa.array(chunks_out, pa.int64()), pa.array(labels, pa.binary())], ["chunk", "label"])
 
@@ -338,7 +349,7 @@ _SEQUENCES = "chunk long, own int, seq binary"
 
 def _sequence_rows(chunk: int, own: int, seq: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([seq.astype(np.int64).tobytes()], pa.binary())],
+        [pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([_packed(seq)], pa.binary())],
         ["chunk", "own", "seq"],
     )
 
@@ -354,7 +365,7 @@ def _word_ids(chunks: DataFrame, entries: DataFrame, vocabulary: DataFrame) -> D
             for chunk, own, seq, size, pairs in zip(*(batch.column(c) for c in ("chunk", "own", "seq", "size", "known"))):
                 ids = np.full(size.as_py() + 1, -1, np.int64)
                 ids[pairs.values.field("local").to_numpy()] = pairs.values.field("id").to_numpy()
-                yield _sequence_rows(chunk.as_py(), own.as_py(), ids[_longs(seq.as_py(), np.int32)])
+                yield _sequence_rows(chunk.as_py(), own.as_py(), ids[_ints(seq.as_py())])
 
     joined = chunks.select("chunk", "own", "seq", F.size("words").alias("size")).join(known, "chunk")
     return joined.mapInArrow(run, _SEQUENCES)
