@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, phrases, pieces, secrets, suffix_dedup, toxicity, url_filter
+from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, phrases, pieces, secrets, suffix_dedup, toxicity, url_filter
 from treeline.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,3 +311,10 @@ WITH pieces AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op12_best_fit_packing(spark, sf_dir):
+    cut = packing.pieces(table(spark, sf_dir, "documents"))
+    # the digest stands for the ids, so that these are not shuffled
+    return packing.placed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
