@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treeline.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, phrases, pieces, secrets, suffix_dedup, toxicity, url_filter
+from treeline.llm import chat, decontaminate, exact_dedup, hard_negatives, line_dedup, near_dedup, packing, phrases, pieces, secrets, suffix_dedup, toxicity, url_filter
 from treeline.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +318,33 @@ def op12_best_fit_packing(spark, sf_dir):
     cut = packing.pieces(table(spark, sf_dir, "documents"))
     # the digest stands for the ids, so that these are not shuffled
     return packing.placed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(embeddings.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN scores n USING (anchor_id)
+WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
