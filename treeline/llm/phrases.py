@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treeline.llm.ranks import numbered
-from treeline.llm.store import stored
+from treeline.llm.store import discard, stored
 from treeline.llm.words import LOWER, text_buffers
 
-CHUNK = 1 << 20  # words
+CHUNK = 1 << 19  # words
 SIDE_BITS = 10
 SIDE = 1 << SIDE_BITS
 _STRIP_BITS = 4  # sixteen sparse tiles make a strip
@@ -276,8 +276,11 @@ def _frequent(partials: DataFrame, chunks: int, least: int) -> DataFrame:
     return merged.select("tile", "cells", "counts").mapInArrow(run, "left long, right long, tile long, cell int, n long")
 
 
+_LABEL_TYPES = pa.int64(), pa.int64(), pa.binary(), pa.binary()
+
+
 def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
-    """``chunk, label``: the ids of a chunk's frequent cells, as coordinates with ids, a row per tile.
+    """``chunk, tile, cells, ids``: the frequent ones of a chunk's cells with their ids.
 
     The ids of a tile meet its chunks in one task, or in several that each hold
     the table of the tile: a chunk in ``_FAN`` goes to the same one.
@@ -321,7 +324,7 @@ def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
             asks = ~np.asarray(batch.column("chunk").is_null())
             changes = (np.diff(tiles) != 0) | (np.diff(salted) != 0) | asks[1:] | (np.diff(asks.view(np.int8)) != 0)
             bounds = np.concatenate([[0], np.flatnonzero(changes) + 1, [len(tiles)]])
-            chunks_out, labels = [], []
+            found = []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 if (tiles[a], salted[a]) != current:
                     current, known, ready = (tiles[a], salted[a]), [], None
@@ -333,15 +336,14 @@ def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
                     continue
                 cells = _ints(batch.column("cells")[int(a)].as_py())
                 ids = lookup(int(tiles[a]), cells)
-                found = ids >= 0
-                if found.any():
-                    left, right = _ids(int(tiles[a]), cells[found])
-                    chunks_out.append(batch.column("chunk")[int(a)].as_py())
-                    labels.append(_packed(np.concatenate([left, right, ids[found]])))
-            if labels:
-                yield pa.RecordBatch.from_arrays([pa.array(chunks_out, pa.int64()), pa.array(labels, pa.binary())], ["chunk", "label"])
+                known_here = ids >= 0
+                if known_here.any():
+                    chunk = batch.column("chunk")[int(a)].as_py()
+                    found.append((chunk, int(tiles[a]), cells[known_here].tobytes(), _packed(ids[known_here])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _LABEL_TYPES)], ["chunk", "tile", "cells", "ids"])
 
-    return together.select("tile", "salt", "chunk", "cell", "id", "cells").mapInArrow(run, "chunk long, label binary")
+    return together.select("tile", "salt", "chunk", "cell", "id", "cells").mapInArrow(run, "chunk long, tile long, cells binary, ids binary")
 
 
 _SEQUENCES = "chunk long, own int, seq binary"
@@ -373,15 +375,16 @@ def _word_ids(chunks: DataFrame, entries: DataFrame, vocabulary: DataFrame) -> D
 
 def _phrase_ids(sequences: DataFrame, labels: DataFrame) -> DataFrame:
     """The chunks with the id of the phrase that begins at each place."""
-    known = labels.groupBy("chunk").agg(F.collect_list("label").alias("known"))
+    known = labels.groupBy("chunk").agg(F.collect_list(F.struct("tile", "cells", "ids")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, own, seq, parts in zip(*(batch.column(c) for c in ("chunk", "own", "seq", "known"))):
                 seq = _longs(seq.as_py())
-                left, right, ids = (np.concatenate(x) for x in zip(*(
-                    _longs(p).reshape(3, -1) for p in parts.as_py()
-                )))
+                parts = [parts.values.field(c) for c in ("tile", "cells", "ids")]
+                places = [_ids(tile.as_py(), _ints(cells.as_py())) for tile, cells in zip(*parts[:2])]
+                left, right = (np.concatenate(side) for side in zip(*places))
+                ids = np.concatenate([_longs(i.as_py()) for i in parts[2]])
                 # ids of the chunk as small numbers, so that a pair is one number
                 lefts, rights = np.unique(left), np.unique(right)
                 place = [np.minimum(np.searchsorted(have, x), len(have) - 1) for have, x in ((lefts, seq[:-1]), (rights, seq[1:]))]
@@ -421,6 +424,7 @@ def frequent_phrases(
         F.array("n").alias("prefixes"), F.array("n").alias("suffixes"),
     )]
     sequences = stored(_word_ids(chunks, entries, vocabulary), "word-ids") if max_words > 1 else None
+    discard(chunks)
     for length in range(2, max_words + 1):
         partials = stored(_tile_counts(sequences), f"tiles-{length}")
         frequent = stored(_frequent(partials, n_chunks, least), f"frequent-{length}")
@@ -432,8 +436,11 @@ def frequent_phrases(
             "id", "left", "right", "n", "lang", F.concat("head", F.array("tail")).alias("words"),
             F.concat("before", F.array("n")).alias("prefixes"), F.concat("behind", F.array("n")).alias("suffixes"),
         ), f"phrases-{length}"))
+        done = [partials, sequences, frequent]
         if length < max_words:
             sequences = stored(_phrase_ids(sequences, _cell_ids(partials, ranked, n_chunks)), f"phrase-ids-{length}")
+        for read in done:
+            discard(read)
     return totals, tables
 
 
