@@ -64,6 +64,8 @@ def test_equals_brute_force(spark, max_words, least, top):
 def test_phrases_across_cut_chunks_and_many_merges(spark, monkeypatch):
     """A text of many chunks, a hot language, and merges of two partial counts at a time."""
     monkeypatch.setattr(phrases, "_FAN", 2)
+    monkeypatch.setattr(phrases, "_SHARED", 7)
+    monkeypatch.setattr(phrases, "_BLOCK", 9)
     rows = ROWS + [(prose(1, 3000), "en")] + [(prose(2, 200), "en")] * 20 + [(prose(3, 100), "de")]
     assert mined(spark, rows, chunk_words=40) == brute_force(rows, 3, 10, 2000)
 
@@ -81,10 +83,11 @@ def test_addresses_are_reversible():
     left, right = pick.integers(0, 1 << 24, 5000), pick.integers(0, 1 << 24, 5000)
     left[:2000] >>= 12
     right[1000:3000] >>= 14
-    tiles, cells = phrases._address(left, right)
+    tiles, cells = phrases._address(left, right, 3)
     back = [phrases._ids(int(t), cells[i : i + 1]) for i, t in enumerate(tiles)]
     assert [(int(a[0]), int(b[0])) for a, b in back] == list(zip(left.tolist(), right.tolist()))
-    assert (tiles < phrases._STRIP).any() and (tiles > phrases._STRIP).any()
+    sparse = tiles[tiles > phrases._SPARSE]
+    assert len(sparse) < 5000 and len(set(sparse >> 31)) < 64 + 16 * 8
 
 
 def test_products_beyond_64_bits(spark):

@@ -3,9 +3,10 @@
 Words get ids by falling frequency, so a pair of ids is a place in a square that
 is dense near its origin. The square is cut into tiles of ``SIDE`` ids a side. Tiles
 near the origin are counted by direct address (``np.bincount`` over the cells);
-the others, sixteen side by side, as sorted coordinates with counts. Frequent pairs
-are ranked by frequency again and take the place of words: two neighbouring
-pairs are a phrase of three words, and so on.
+the others as sorted coordinates with counts, in bands of rows that widen as ids
+grow rare. Frequent pairs are ranked by frequency again and take the place of words:
+two neighbouring pairs are a phrase of three words, and so on. There may be up to
+2^31 phrases of a length.
 
 Texts move as chunks of some ``CHUNK`` words of one language. A chunk knows its
 distinct words, and later its distinct cells, and gets ids for those only.
@@ -27,12 +28,13 @@ from treeline.llm.words import LOWER, text_buffers
 CHUNK = 1 << 19  # words
 SIDE_BITS = 10
 SIDE = 1 << SIDE_BITS
-_STRIP_BITS = 4  # sixteen sparse tiles make a strip
 _DENSE = 64  # tile (i, j) is counted by direct address if (i + 1) * (j + 1) is at most this
 _FAN = 128  # partial counts of a tile that one merge reads
 _HELD = 1 << 21  # coordinates that a merge holds before it adds them up
 _GROUP = 1 << 20  # bytes of text split at once
-_STRIP = np.int64(1 << 62)
+_SPARSE = np.int64(1 << 62)
+_BANDED = 64  # rows of tiles with a band each; from there on an octave of rows has 16 bands
+_SHARED = 4096  # chunks for which a band stays whole; with more it is dealt out by the right id
 
 _WORD, _SPACE, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -141,30 +143,30 @@ def _ints(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.int32)
 
 
-def _address(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tile (or strip of sparse tiles) and cell of each pair of ids."""
+def _address(left: np.ndarray, right: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tile, or part of a band of sparse tiles, and cell of each pair of ids."""
     i, j = left >> SIDE_BITS, right >> SIDE_BITS
     dense = (i + 1) * (j + 1) <= _DENSE
-    tile = np.where(dense, i << 31 | j, _STRIP | i << 31 | j >> _STRIP_BITS)
-    width = np.where(dense, SIDE_BITS, SIDE_BITS + _STRIP_BITS)
-    row = left & (SIDE - 1)
-    return tile, (row << width | right & ((1 << width) - 1)).astype(np.int32)
+    octave = np.frexp(np.maximum(i, _BANDED))[1].astype(np.int64) - 1
+    band = np.where(i < _BANDED, i, _BANDED + 16 * (octave - 6) + ((i >> (octave - 4)) & 15))
+    tile = np.where(dense, i << 31 | j, _SPARSE | band << 31 | right % parts)
+    cell = np.where(dense, (left & (SIDE - 1)) << SIDE_BITS | right & (SIDE - 1), left << 32 | right)
+    return tile, cell
 
 
 def _ids(tile: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of ids that ``_address`` has put there."""
-    strip, tile = bool(tile & int(_STRIP)), tile & ~int(_STRIP)
-    bits = SIDE_BITS + _STRIP_BITS * strip
-    cells = cells.astype(np.int64)
-    return (tile >> 31 << SIDE_BITS) + (cells >> bits), ((tile & (1 << 31) - 1) << bits) + (cells & (1 << bits) - 1)
+    if tile & int(_SPARSE):
+        return cells >> 32, cells & ((1 << 32) - 1)
+    return (tile >> 31 << SIDE_BITS) + (cells >> SIDE_BITS), ((tile & (1 << 31) - 1) << SIDE_BITS) + (cells & (SIDE - 1))
 
 
 def _counted(tile: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells in order and their counts; a well-filled tile by direct address."""
-    if not tile & int(_STRIP) and len(cells) >= SIDE * SIDE // 16:
+    if not tile & int(_SPARSE) and len(cells) >= SIDE * SIDE // 16:
         counts = np.bincount(cells, minlength=SIDE * SIDE)
         used = np.flatnonzero(counts)
-        return used.astype(np.int32), counts[used]
+        return used, counts[used]
     return np.unique(cells, return_counts=True)
 
 
@@ -183,18 +185,18 @@ _PARTIAL = "tile long, chunk long, cells binary, counts binary"
 def _partial_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-        pa.array([r[2].astype(np.int32).tobytes() for r in rows], pa.binary()),
+        pa.array([_packed(r[2]) for r in rows], pa.binary()),
         pa.array([_packed(r[3]) for r in rows], pa.binary()),
     ], ["tile", "chunk", "cells", "counts"])
 
 
-def _tile_counts(sequences: DataFrame) -> DataFrame:
+def _tile_counts(sequences: DataFrame, parts: int) -> DataFrame:
     """Counts of neighbouring ids, chunk by chunk and tile by tile."""
     def rows(chunk: int, own: int, seq: np.ndarray) -> Iterator[tuple]:
         for start, end, counts_here in ((0, own, 1), (own, len(seq), 0)):
             left, right = seq[start : min(end, len(seq) - 1)], seq[start + 1 : end + 1]
             both = (left >= 0) & (right >= 0)
-            tiles, cells = _address(left[both], right[both])
+            tiles, cells = _address(left[both], right[both], parts)
             order = np.argsort(tiles, kind="stable")
             tiles, cells = tiles[order], cells[order]
             bounds = np.append(np.flatnonzero(np.diff(tiles, prepend=-1)), len(tiles))
@@ -224,7 +226,7 @@ def _merged(partials: DataFrame, salts: int) -> DataFrame:
     Rows come sorted, so a task holds the counts of one tile at a time.
     """
     def merge(tile: int, salt: int, cells: list, counts: list) -> tuple:
-        if tile & int(_STRIP):
+        if tile & int(_SPARSE):
             return tile, salt, *_summed(cells, counts)
         table = np.zeros(SIDE * SIDE, np.int64)
         for at, n in zip(cells, counts):
@@ -241,7 +243,7 @@ def _merged(partials: DataFrame, salts: int) -> DataFrame:
                     yield _partial_rows([merge(*current, cells, counts)])
                     cells, counts, held = [], [], 0
                 current = key
-                cells.append(_ints(at.as_py()))
+                cells.append(_longs(at.as_py()))
                 counts.append(_longs(n.as_py()))
                 held += len(cells[-1])
                 if held >= _HELD:
@@ -263,17 +265,17 @@ def _frequent(partials: DataFrame, chunks: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, at, n in zip(*(batch.column(c) for c in ("tile", "cells", "counts"))):
-                cells, counts = _ints(at.as_py()), _longs(n.as_py())
+                cells, counts = _longs(at.as_py()), _longs(n.as_py())
                 kept = counts >= least
                 cells, counts = cells[kept], counts[kept]
                 left, right = _ids(tile.as_py(), cells)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(left), pa.array(right), pa.array(np.full(len(cells), tile.as_py())), pa.array(cells, pa.int32()), pa.array(counts)],
+                    [pa.array(left), pa.array(right), pa.array(np.full(len(cells), tile.as_py())), pa.array(cells), pa.array(counts)],
                     ["left", "right", "tile", "cell", "n"],
                 )
 
     merged = _merged(partials, 1)
-    return merged.select("tile", "cells", "counts").mapInArrow(run, "left long, right long, tile long, cell int, n long")
+    return merged.select("tile", "cells", "counts").mapInArrow(run, "left long, right long, tile long, cell long, n long")
 
 
 _LABEL_TYPES = pa.int64(), pa.int64(), pa.binary(), pa.binary()
@@ -286,14 +288,14 @@ def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
     the table of the tile: a chunk in ``_FAN`` goes to the same one.
     """
     def salts(tile: str) -> Column:
-        strips = F.col(tile) >= F.lit(int(_STRIP))
-        return F.when(strips, -(-chunks // (64 * _FAN))).otherwise(-(-chunks // _FAN)).cast("long")
+        sparse = F.col(tile) >= F.lit(int(_SPARSE))
+        return F.when(sparse, -(-chunks // (64 * _FAN))).otherwise(-(-chunks // _FAN)).cast("long")
 
     every = F.explode(F.sequence(F.lit(0).cast("long"), salts("tile") - 1))
     table = ranked.select("tile", every.alias("salt"), F.lit(None).cast("long").alias("chunk"), "cell", "id", F.lit(None).cast("binary").alias("cells"))
     asked = partials.select(
         "tile", F.pmod(F.xxhash64("chunk"), salts("tile")).alias("salt"), "chunk",
-        F.lit(None).cast("int").alias("cell"), F.lit(None).cast("long").alias("id"), "cells",
+        F.lit(None).cast("long").alias("cell"), F.lit(None).cast("long").alias("id"), "cells",
     )
     together = table.unionByName(asked).repartition("tile", "salt").sortWithinPartitions("tile", "salt", F.asc_nulls_first("chunk"))
 
@@ -303,9 +305,9 @@ def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
         def lookup(tile: int, cells: np.ndarray) -> np.ndarray:
             nonlocal ready
             if ready is None:
-                at = np.concatenate([k[0] for k in known]) if known else np.zeros(0, np.int32)
+                at = np.concatenate([k[0] for k in known]) if known else np.zeros(0, np.int64)
                 ids = np.concatenate([k[1] for k in known]) if known else np.zeros(0, np.int64)
-                if tile & int(_STRIP):
+                if tile & int(_SPARSE):
                     order = np.argsort(at)
                     ready = at[order], ids[order]
                 else:
@@ -330,16 +332,16 @@ def _cell_ids(partials: DataFrame, ranked: DataFrame, chunks: int) -> DataFrame:
                     current, known, ready = (tiles[a], salted[a]), [], None
                 if not asks[a]:
                     known.append((
-                        batch.column("cell").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int32),
+                        batch.column("cell").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64),
                         batch.column("id").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64),
                     ))
                     continue
-                cells = _ints(batch.column("cells")[int(a)].as_py())
+                cells = _longs(batch.column("cells")[int(a)].as_py())
                 ids = lookup(int(tiles[a]), cells)
                 known_here = ids >= 0
                 if known_here.any():
                     chunk = batch.column("chunk")[int(a)].as_py()
-                    found.append((chunk, int(tiles[a]), cells[known_here].tobytes(), _packed(ids[known_here])))
+                    found.append((chunk, int(tiles[a]), _packed(cells[known_here]), _packed(ids[known_here])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _LABEL_TYPES)], ["chunk", "tile", "cells", "ids"])
 
@@ -382,7 +384,7 @@ def _phrase_ids(sequences: DataFrame, labels: DataFrame) -> DataFrame:
             for chunk, own, seq, parts in zip(*(batch.column(c) for c in ("chunk", "own", "seq", "known"))):
                 seq = _longs(seq.as_py())
                 parts = [parts.values.field(c) for c in ("tile", "cells", "ids")]
-                places = [_ids(tile.as_py(), _ints(cells.as_py())) for tile, cells in zip(*parts[:2])]
+                places = [_ids(tile.as_py(), _longs(cells.as_py())) for tile, cells in zip(*parts[:2])]
                 left, right = (np.concatenate(side) for side in zip(*places))
                 ids = np.concatenate([_longs(i.as_py()) for i in parts[2]])
                 # ids of the chunk as small numbers, so that a pair is one number
@@ -426,7 +428,7 @@ def frequent_phrases(
     sequences = stored(_word_ids(chunks, entries, vocabulary), "word-ids") if max_words > 1 else None
     discard(chunks)
     for length in range(2, max_words + 1):
-        partials = stored(_tile_counts(sequences), f"tiles-{length}")
+        partials = stored(_tile_counts(sequences, n_chunks // _SHARED + 1), f"tiles-{length}")
         frequent = stored(_frequent(partials, n_chunks, least), f"frequent-{length}")
         ranked = stored(numbered(frequent, f"ranks-{length}", "id", F.desc("n"), F.col("left"), F.col("right")), f"ranked-{length}")
         shorter = tables[-1]
@@ -449,7 +451,7 @@ _CUT = """array_min(transform(sequence(1, size(words) - 1), k -> named_struct(
   'score', cast(cast(1000000 as decimal(7, 0)) * (cast(n as decimal(18, 0)) * cast(n as decimal(18, 0)))
     div (cast(prefixes[k - 1] as decimal(18, 0)) * cast(suffixes[size(words) - k - 1] as decimal(18, 0))) as bigint),
   'k', k, 'l', prefixes[k - 1], 'r', suffixes[size(words) - k - 1])))"""
-_BLOCK = 1 << 16
+_BLOCK = 1 << 14
 
 
 def collocations(
