@@ -78,10 +78,10 @@ def test_domination():
 def test_words_equal_whole_texts():
     odd = [
         "", "  ", "é ß 中文 😀 ▁ \x00 end", "a<|endoftext|>b I'LL don't’s x,'s y.'s z!s", "é ́x a b c\x85d\x1cq", "ΑΣ ΣΑΣ. İI",
-        "x" * 3000, " 　x", ",́ a,b.c!?;:'t 1.2,3 .a", "a" + "́,", "<|startoftext|>,", "naïve.Café:Ünï",
+        "x" * 3000, " 　x", ",́ a,b.c!?;:'t 1.2,3 .a", "a" + "́,", "<|startoftext|>,", "x<|endoftext|>1#a'll-'s_'t 12'd3'm#'re", "a<|endoftext|", "naïve.Café:Ünï",
     ]
     pick = random.Random(3)
-    odd += ["".join(pick.choice("aB1 .,;:!?'s\té́中\n-_") for _ in range(pick.randint(0, 60))) for _ in range(400)]
+    odd += ["".join(pick.choice("aB19 .,;:!?'s\té́中\n-_<|>#\"²½") for _ in range(pick.randint(0, 60))) for _ in range(400)]
     words, got = packing._words(open(packing.TOKENIZER).read()), []
     for _, data, offsets in text_buffers(pa.array(odd), limit=500):
         ids, bounds = words.encode(data, offsets)

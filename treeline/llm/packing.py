@@ -19,10 +19,12 @@ size of the corpus, and the only thing broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -36,14 +38,17 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 END = 0  # id behind every document
 
-_GROUP = 1 << 20  # bytes of text tokenised at once
+_GROUP = 1 << 22  # bytes of text tokenised at once
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _KNOWN = 1 << 19  # words whose ids a worker remembers
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[*b".,;:!?"]] = True
+# ASCII letters, digits, and signs that are in no special token and begin no contraction
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[*range(48, 58)]] = _DIGIT
+_CLASS[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = _SIGN
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -51,28 +56,63 @@ Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 class _Words:
     """Ids of texts, word by word.
 
-    The tokenizer never joins over a blank, nor from a letter to one of ``.,;:!?``;
-    so a text's ids are those of its parts between such places.
+    The tokenizer never joins over a blank, a digit with anything, or a letter with
+    a sign; so a text's ids are those of its parts between such places.
     """
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and how many each has.
+
+        A word of Latin letters is one word to the tokenizer and its last token says
+        so; such words are encoded as one text. Others go one by one.
+        """
+        plain = pc.match_substring_regex(words, _LATIN).to_numpy(zero_copy_only=False)
+        flat, sizes = [], np.zeros(len(words), np.int64)
+        if plain.any():
+            text = " ".join(words.filter(pa.array(plain)).to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) == plain.sum():
+                sizes[plain] = np.diff(ends, prepend=-1)
+                flat.append(ids)
+            else:
+                plain[:] = False
+        others = words.filter(pa.array(~plain)).to_pylist()
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        sizes[~plain] = [len(ids) for ids in encoded]
+        flat.append(np.fromiter(chain.from_iterable(encoded), np.uint32))
+        # back to the order of the words: first the plain ones lie there, then the others
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        begins = np.empty(len(words), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.concatenate(flat)[at], sizes
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, under which its ids are remembered; new ones are learned."""
         if len(self.numbers) + len(words) > _KNOWN:
             self._forget()
-        new = [w for w in words if w not in self.numbers]
-        if not new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-        self.flat = np.concatenate([self.flat, np.array([i for one in ids for i in one], np.uint32)])
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(one) for one in ids]))
+        texts = words.to_pylist()
+        numbers = np.fromiter(map(self.numbers.get, texts, repeat(-1)), np.int64, len(texts))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            ids, sizes = self._ids(words.take(pa.array(new)))
+            numbers[new] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+            self.numbers.update((texts[i], n) for i, n in zip(new.tolist(), numbers[new].tolist()))
+            self.flat = np.concatenate([self.flat, ids])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        return numbers
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``END`` behind each, and where each text begins."""
@@ -80,7 +120,8 @@ class _Words:
         inside[:-1] = ~_BLANK[data]
         first = inside[:-1].copy()
         first[1:] &= ~inside[:-2]
-        first[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
+        kind = _CLASS[data]
+        first[1:] |= (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
         bounds = offsets[:-1][offsets[:-1] < len(data)]
         first[bounds] = inside[bounds]
         starts = np.flatnonzero(first)
@@ -89,9 +130,7 @@ class _Words:
         coded = pa.LargeStringArray.from_buffers(
             len(starts), pa.py_buffer(ends), pa.py_buffer(letters)
         ).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._learn(distinct)
-        numbers = np.array([self.numbers[w] for w in distinct], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.starts[numbers + 1] - self.starts[numbers]
         # every text's END is a word of one id behind its others
         text_ends = np.searchsorted(starts, offsets[1:])
@@ -209,54 +248,84 @@ def _dominates(a: list[int], b: list[int]) -> bool:
     return False
 
 
-def _fillings(counts: np.ndarray, room: int, width: int) -> list[Filling]:
-    """Undominated ways to fill ``room`` from ``counts``, least waste first, at most ``width``.
+def _exact(counts: np.ndarray, room: int, width: int) -> list[list[int]]:
+    """Fillings of two or three pieces without waste, those with the longest pieces first, at most ``width``.
 
-    Two pieces are tried in all combinations of up to 48 lengths each, spread over
+    Threes are looked for with up to 24 first lengths, spread over those there are.
+    """
+    present = np.flatnonzero(counts[:room])[::-1]
+    present = present[present > 0]
+    rest = room - present
+    two = (rest <= present) & (rest > 0) & (counts[rest] > (rest == present))
+    if two.any():
+        return [[int(a), room - int(a)] for a in present[two][:width]]
+    if not len(present):
+        return []
+    first = present[np.unique(np.linspace(0, len(present) - 1, 24).astype(int))][:, None]
+    second = present[None, :]
+    third = room - first - second
+    fits = (second <= first) & (third > 0) & (third <= second)
+    third = np.where(fits, third, 0)
+    fits &= (counts[second] > (first == second)) & (counts[third] > (third == second).astype(int) + (third == first))
+    found = []
+    for i in np.flatnonzero(fits.any(1))[:width]:
+        j = int(np.argmax(fits[i]))
+        found.append([int(first[i, 0]), int(second[0, j]), int(third[i, j])])
+    return found
+
+
+def _greedy(counts: np.ndarray, room: int, width: int) -> list[list[int]]:
+    """Undominated fillings, least waste first, at most ``width``.
+
+    Two pieces are tried in all combinations of up to 16 lengths each, spread over
     the lengths there are; the rest goes to the largest that fit.
     """
     present = np.flatnonzero(counts[: room + 1])
     present = present[present > 0]
-    if not len(present):
-        return [()]
-    if present[-1] == room:
-        return [((room, 1),)]  # every other filling fits into this piece
     below = np.zeros(room + 1, np.int64)
     below[present] = present
     below = np.maximum.accumulate(below)
-    picks = present[np.unique(np.linspace(0, len(present) - 1, 48).astype(int))]
+    picks = present[np.unique(np.linspace(0, len(present) - 1, 16).astype(int))]
     one, two = np.meshgrid(picks[::-1], np.append(picks[::-1], 0), indexing="ij")
     fits = (two <= one) & (one + two <= room) & ((two < one) | (counts[one] > 1))
-    chosen = [one[fits], np.where(two[fits] > 0, two[fits], 0)]
+    chosen = [one[fits], two[fits]]
     rest = room - chosen[0] - chosen[1]
-    # a single piece and then the largest that fit, where no second one was chosen
-    limit = chosen[0].copy()
+    last, run = chosen[0], np.zeros(len(rest), np.int64)  # the length taken last, and how often in a row
     while True:
-        following = below[np.minimum(rest, limit)]
-        used = sum((c == following).astype(np.int64) for c in chosen)
-        short = (following > 0) & (used >= counts[following])
-        while short.any():
-            following[short] = below[following[short] - 1]
-            used = sum((c == following).astype(np.int64) for c in chosen)
+        following = below[np.minimum(rest, last)]
+        while True:
+            used = np.where(following == last, run, 0) + (chosen[0] == following) + (chosen[1] == following)
             short = (following > 0) & (used >= counts[following])
+            if not short.any():
+                break
+            following[short] = below[following[short] - 1]
         if not following.any():
             break
         chosen.append(following)
-        rest -= following
-        if len(chosen) > 64:
-            break
+        rest = rest - following
+        last, run = following, np.where(following == last, run, 0) + 1
     table = np.sort(np.stack(chosen, 1), axis=1)[:, ::-1]
-    order = np.lexsort(((table > 0).sum(1), rest))
     found: list[list[int]] = []
-    for i in order[: 8 * width]:
+    for i in np.lexsort(((table > 0).sum(1), rest))[: 8 * width]:
         lengths = [int(x) for x in table[i] if x]
-        if len(lengths) > 8:
+        if len(lengths) > 8:  # telling whether these are dominated takes too long
             if lengths not in found:
                 found.append(lengths)
         elif not any(len(f) <= 8 and _dominates(f, lengths) for f in found):
             found.append(lengths)
-        if len(found) == width or found and rest[i] == 0 and len(found) > 1:
+        if len(found) == width:
             break
+    return found
+
+
+def _fillings(counts: np.ndarray, room: int, width: int) -> list[Filling]:
+    """Ways to fill ``room`` from ``counts``: what every branch of the search tries, best first."""
+    present = np.flatnonzero(counts[: room + 1])
+    if not present.any():
+        return [()]
+    if present[-1] == room:
+        return [((room, 1),)]  # every other filling fits into this piece
+    found = _exact(counts, room, width) or _greedy(counts, room, width)
     return [tuple((n, f.count(n)) for n in dict.fromkeys(f)) for f in found]
 
 
