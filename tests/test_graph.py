@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from treeline.operators import cycles, graph, imports
+from treeline.operators import components, cycles, graph, imports
 from treeline.operators.facts import facts
 from treeline.plans.report import dependency_graph
 
@@ -140,6 +140,109 @@ def test_layered_graph_without_cycles_makes_no_path(spark, monkeypatch):
     assert len([n for n in made if n.startswith("cycle-paths")]) == 1  # the empty first one
 
 
+def brute_components(edges):
+    """Least node of the strongly connected component of every node that shares one with another."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(start):
+        seen, todo = set(), [start]
+        while todo:
+            for nxt in after.get(todo.pop(), ()):
+                if nxt not in seen:
+                    seen.add(nxt)
+                    todo.append(nxt)
+        return seen
+
+    reach = {n: reached(n) for e in edges for n in e}
+    both = {n: {m for m in reach if m != n and m in reach[n] and n in reach[m]} for n in reach}
+    return {(n, min([n, *others])) for n, others in both.items() if others}
+
+
+def test_strong_components_equal_brute_force(spark):
+    """Two sparse random graphs and a ladder of cycles that lead into one another."""
+    for seed, n, m in ((1, 40, 55), (2, 60, 70)):
+        rng = random.Random(seed)
+        edges = {(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)}
+        rows = [(repo, a, b) for repo in "rs" for a, b in edges]
+        given = spark.createDataFrame(rows, "repo string, src string, dst string")
+        got = cycles.strong_components(given).collect()
+        assert {(r.node, r.component) for r in got} == brute_components(edges)
+        assert len(got) == 2 * len(brute_components(edges))
+    ladder = [(f"{c}{i}", f"{c}{(i + 1) % 4}") for c in "abcd" for i in range(4)]
+    ladder += [("a0", "b2"), ("b1", "c3"), ("d0", "c1"), ("d1", "a2"), ("x", "a0"), ("c0", "y"), ("y", "z"), ("z", "z")]
+    given = spark.createDataFrame([("r", a, b) for a, b in ladder], "repo string, src string, dst string")
+    assert {(r.node, r.component) for r in cycles.strong_components(given).collect()} == brute_components(ladder)
+    assert cycles.strong_components(given.where("src = 'z'")).collect() == []
+
+
+def test_a_graph_behind_a_cycle_makes_no_path(spark, monkeypatch):
+    """Edges without a way back are in no component, though nothing peels them from between two cycles."""
+    sizes = {}
+    real = cycles.materialize
+
+    def watched(df, name):
+        table = real(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(cycles, "materialize", watched)
+    edges = [("a", "b"), ("b", "a"), ("y", "z"), ("z", "y"), ("a", "m0_0"), ("a", "m0_1")]
+    edges += [(f"m{i}_{x}", f"m{i + 1}_{y}") for i in range(3) for x in range(2) for y in range(2)]
+    edges += [("m3_0", "y"), ("m3_1", "y")]
+    given = spark.createDataFrame([("r", a, b) for a, b in edges], "repo string, src string, dst string")
+    found = cycles.elementary_cycles(given).collect()
+    assert {tuple(r.chain) for r in found} == {("a", "b"), ("y", "z")} and not any(r.truncated for r in found)
+    assert sizes["cycle-steps"] == 4 and sizes["cycle-paths-2"] == 2 and sizes["cycle-paths-3"] == 0
+
+
+def test_first_cycles_of_a_dense_component(spark):
+    """40 nodes that all point at each other have some 10^47 cycles; ten of length two end the search."""
+    dense = [("dense", f"n{a:02d}", f"n{b:02d}") for a in range(40) for b in range(40) if a != b]
+    rng = random.Random(3)
+    sparse = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(24)}
+    rows = dense + [("sparse", a, b) for a, b in sparse] + [("one", "a", "a"), ("none", "a", "b")]
+    given = spark.createDataFrame(rows, "repo string, src string, dst string")
+    got = {}
+    for r in cycles.first_cycles(given).orderBy("repo", "rank").collect():
+        got.setdefault(r.repo, []).append((r.length, tuple(r.chain), r.truncated))
+    assert set(got) == {"dense", "sparse", "one"}
+    assert got["dense"] == [(2, ("n00", f"n{i:02d}"), True) for i in range(1, 11)]
+    every = sorted((len(c), c) for c in brute_cycles(sparse))
+    assert [g[:2] for g in got["sparse"]] == every[:10] and got["one"] == [(1, ("a",), False)]
+    assert all(g[2] for g in got["sparse"]) == (len(every) > 10)
+
+
+def test_truncation_is_told(spark):
+    ring = [("r", f"n{i}", f"n{(i + 1) % 5}") for i in range(5)] + [("r", "n1", "n0"), ("s", "a", "b"), ("s", "b", "a")]
+    given = spark.createDataFrame(ring, "repo string, src string, dst string")
+    short = cycles.elementary_cycles(given, max_len=3).collect()
+    assert {(r.repo, tuple(r.chain), r.truncated) for r in short} == {("r", ("n0", "n1"), True), ("s", ("a", "b"), False)}
+
+
+def test_connected_components(spark):
+    """A chain of 10^4 nodes in random order, a star of 5,000, pairs, a self-loop, repeated links."""
+    rng = random.Random(9)
+    names = list(range(10_000))
+    rng.shuffle(names)
+    links = list(zip(names, names[1:])) + [(20_000, 20_001 + i) for i in range(5000)]
+    links += [(30_002, 30_001), (30_001, 30_002), (30_001, 30_002), (40_000, 40_000), (50_000, 50_001), (50_001, 50_002)]
+    given = spark.createDataFrame(links, "a long, b long")
+    made = []
+    real = components.materialize
+    components.materialize = lambda df, name: made.append(name) or real(df, name)
+    try:
+        got = components.connected(given).collect()
+    finally:
+        components.materialize = real
+    expected = {n: 0 for n in range(10_000)} | {20_000 + i: 20_000 for i in range(5001)}
+    expected |= {30_001: 30_001, 30_002: 30_001, 40_000: 40_000, 50_000: 50_000, 50_001: 50_000, 50_002: 50_000}
+    assert len(got) == len(expected) and {r.node: r.component for r in got} == expected
+    assert made.count("component-moves") <= 16
+    assert components.connected(given.limit(0)).collect() == []
+
+
 def test_file_record_and_absence(tree):
     read = facts(tree([("a.py", "x = 1\n"), ("b.py", "import os\ndef f(): pass\nclass C: pass\n")]))
     lone = graph.file_records(read, "a.py").first()
