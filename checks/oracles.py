@@ -279,6 +279,17 @@ def _slot(multiplier: int, offset: int) -> str:
     return f"(({multiplier}::UBIGINT * h + {offset}::UBIGINT) & 4294967295)"
 
 
+def _strong(edges: str) -> str:
+    return f"""
+reach AS (
+  SELECT DISTINCT src, dst FROM {edges} UNION SELECT r.src, s.dst FROM reach r JOIN {edges} s ON s.src = r.dst
+),
+mutual AS (SELECT a.src AS node, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)"""
+
+
+_STRONG = "SELECT node, least(node, min(other)) AS component FROM mutual GROUP BY node"
+
+
 def _signatures(source: str, scope: str = "'x'") -> str:
     shingle = "unicode(c0)"
     for i in range(1, 5):
@@ -426,6 +437,20 @@ _DUPLICATE_STATS = """SELECT (SELECT count(*) FROM {docs}) AS files_analyzed,
 _SOURCE_DUPLICATES = _with(
     KEPT + ",source_texts AS (SELECT path AS doc_id, content AS text FROM kept)," + _signatures("source_texts"),
     _DUPLICATE_STATS.format(docs="kept"))
+_EXACT_PAIRS = f"""
+same AS (SELECT {_COLLAPSED} AS t, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY t HAVING length(t) >= 5),
+places AS (SELECT id, unnest(c) AS c, generate_subscripts(c, 1) AS i
+  FROM (SELECT id, regexp_extract_all(t, '(?s).') AS c FROM same)),
+held AS (SELECT DISTINCT id, s FROM (
+  SELECT id, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w || lead(c, 4) OVER w AS s
+  FROM places WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE s IS NOT NULL),
+named AS (SELECT s, row_number() OVER () AS s_no FROM (SELECT s FROM held GROUP BY s HAVING count(*) > 1)),
+sizes_of AS (SELECT id, count(*) AS n FROM held GROUP BY id),
+sized AS (SELECT id, s_no::INT AS s_no, n FROM held JOIN named USING (s) JOIN sizes_of USING (id)),
+met AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared, any_value(a.n + b.n) AS total
+  FROM sized a JOIN sized b ON a.s_no = b.s_no AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+exact AS (SELECT id_a, id_b, shared / (total - shared)::DOUBLE AS jaccard, x.copies AS copies_a, y.copies AS copies_b
+  FROM met JOIN same x ON x.id = id_a JOIN same y ON y.id = id_b WHERE 100 * shared >= 85 * (total - shared))"""
 _FILE_CYCLES = GRAPH + "," + _cycles("(SELECT src, dst FROM edges WHERE dst_type = 'file')")
 _CODE_METRICS = _with(SPANS, f"""SELECT *, round(marker_comments * 5 + avg_complexity * 2 + loc / 1000.0::DOUBLE, 2) AS debt_score
   FROM (SELECT {_SUMMARY}, (SELECT sum(loc)::BIGINT FROM file_metrics) AS loc,
@@ -526,6 +551,9 @@ ORACLES: dict[str, str] = {
     "file_cycles": _with(_FILE_CYCLES, "SELECT * FROM cycles", recursive=True),
     "first_cycles": _with(_FILE_CYCLES, "SELECT * FROM cycles ORDER BY length, chain LIMIT 10", recursive=True),
     "event_cycles": _with(TRANSITIONS + "," + _cycles("transitions"), "SELECT * FROM cycles", recursive=True),
+    "file_components": _with(GRAPH + ", inner_edges AS (SELECT src, dst FROM edges WHERE dst_type = 'file')," + _strong("inner_edges"),
+                             _STRONG, recursive=True),
+    "event_components": _with(TRANSITIONS + "," + _strong("transitions"), _STRONG, recursive=True),
     "event_graph_stats": _with(TRANSITIONS, _graph_stats("event_nodes", "transitions", "'file'")),
     "event_degrees": _with(TRANSITIONS, """SELECT id AS file, (SELECT count(*) FROM transitions WHERE src = id) AS out_degree,
       (SELECT count(*) FROM transitions WHERE src = id) AS import_out_degree,
@@ -551,6 +579,21 @@ ORACLES: dict[str, str] = {
         JOIN shingles b ON b.doc_id = id_b AND b.s = a.s GROUP BY ALL)""",
         """SELECT c.id_a, c.id_b, round(c.n::DOUBLE / (a.n + b.n - c.n), 6) AS jaccard
         FROM common c JOIN sizes a ON a.doc_id = id_a JOIN sizes b ON b.doc_id = id_b"""),
+    "exact_pairs": _with(_EXACT_PAIRS, "SELECT id_a, id_b, round(jaccard, 6) AS jaccard, copies_a, copies_b FROM exact"),
+    "minhash_recall": _with(_signatures("documents") + "," + _EXACT_PAIRS + """,
+      ends AS (SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM exact
+        JOIN signatures s ON s.doc_id = exact.id_a JOIN classes a ON a.signature = s.signature
+        JOIN signatures t ON t.doc_id = exact.id_b JOIN classes b ON b.signature = t.signature),
+      judged AS (SELECT ends.id_a = ends.id_b OR pairs.id_a IS NOT NULL AS hit
+        FROM ends LEFT JOIN pairs ON pairs.id_a = ends.id_a AND pairs.id_b = ends.id_b)""",
+      """SELECT count(*) AS exact_pairs, count(*) FILTER (hit) AS found_pairs,
+        round(count(*) FILTER (hit) / count(*)::DOUBLE, 4) AS recall FROM judged HAVING count(*) > 0"""),
+    "duplicate_components": _with(_signatures("documents") + """,
+      links AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT c.id, s.doc_id
+        FROM signatures s JOIN classes c ON c.signature = s.signature WHERE s.doc_id <> c.id),
+      sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+      reached AS (SELECT a AS id, a AS other FROM sides UNION SELECT r.id, s.b FROM reached r JOIN sides s ON s.a = r.other)""",
+      "SELECT id, min(other) AS component FROM reached GROUP BY id", recursive=True),
     "simhash_fingerprints": _with(_fingerprints(), "SELECT id, fingerprint FROM fingerprints"),
     "simhash_pairs": _with(_fingerprints(), """SELECT a.id AS id_a, b.id AS id_b,
       bit_count(xor(a.fingerprint, b.fingerprint)) AS distance FROM classes a JOIN classes b

@@ -9,8 +9,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from treeline.functions import paths, scores, text
-from treeline.operators import cycles, enrich, functions as spans, graph, imports, jobs
-from treeline.operators import lexical, metrics, minhash, search, simhash
+from treeline.operators import components, cycles, enrich, functions as spans, graph, imports, jobs
+from treeline.operators import lexical, metrics, minhash, search, simhash, similarity
 from treeline.operators.facts import facts
 from treeline.plans import report
 from treeline.session import configure, materialize, new_path
@@ -378,11 +378,17 @@ def file_cycles(spark, sf_dir):
 @query
 def first_cycles(spark, sf_dir):
     edges = _graph(spark, sf_dir).edges.where(F.col("dst_type") == "file")
-    return cycles.elementary_cycles(edges).orderBy("length", "chain").limit(10).select(
+    return cycles.first_cycles(edges, k=10).orderBy("length", "chain").limit(10).select(
         "length", F.array_join("chain", " > ").alias("chain")
     )
 
 
+@query
+def file_components(spark, sf_dir):
+    edges = _graph(spark, sf_dir).edges.where(F.col("dst_type") == "file")
+    return cycles.strong_components(edges).drop("repo")
+
+
 def _transitions(spark, sf_dir) -> DataFrame:
     """Event types that follow one another for a user within a day."""
     in_day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
@@ -403,6 +409,11 @@ def event_cycles(spark, sf_dir):
     )
 
 
+@query
+def event_components(spark, sf_dir):
+    return cycles.strong_components(_transitions(spark, sf_dir)).drop("repo")
+
+
 @query
 def event_graph_stats(spark, sf_dir):
     edges = _transitions(spark, sf_dir)
@@ -480,6 +491,26 @@ def exact_similarity(spark, sf_dir):
     return minhash.exact_jaccard(pairs, docs).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query
+def exact_pairs(spark, sf_dir):
+    return similarity.exact_pairs(_docs(spark, sf_dir)).pairs.drop("scope").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query
+def minhash_recall(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    exact, estimated = similarity.exact_pairs(docs), minhash.duplicates(docs)
+    return similarity.recall(exact.pairs, estimated.pairs, estimated.copies).drop("scope")
+
+
+@query
+def duplicate_components(spark, sf_dir):
+    found = minhash.duplicates(_docs(spark, sf_dir))
+    pairs = found.pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    copies = found.copies.select(F.col("representative").alias("a"), F.col("id").alias("b"))
+    return components.connected(pairs.unionByName(copies)).withColumnRenamed("node", "id")
+
+
 @query
 def simhash_fingerprints(spark, sf_dir):
     return simhash.fingerprints(_docs(spark, sf_dir)).drop("scope")
