@@ -569,10 +569,8 @@ def text_search(spark, sf_dir):
     )
     vectors = search.embed(search.indexable(docs), "path", "content")
     asked = read_table(spark, sf_dir, "benchmark")
-    short = asked.where(F.length("text") < search.MIN_QUERY_CHARS).count()
-    if short:
-        raise ValueError(f"{short} queries are shorter than {search.MIN_QUERY_CHARS} characters")
-    queries = search.embed(asked, "item_id", "text").withColumnRenamed("id", "query_id")
+    accepted, _ = search.judged_queries(asked, "item_id", "text")
+    queries = search.embed(accepted, "item_id", "text").withColumnRenamed("id", "query_id")
     return search.search(vectors, queries, k=10).withColumnRenamed("id", "path")
 
 

@@ -24,12 +24,12 @@ def vectors(spark):
     return spark.createDataFrame(rows, "id string, embedding array<float>").repartition(7), dict(rows)
 
 
-@pytest.mark.parametrize("chunk_rows", [2048, 5])
-def test_search_equals_full_sort(spark, vectors, chunk_rows):
+@pytest.mark.parametrize("tiles", [(512, 4096), (5, 16)])
+def test_search_equals_full_sort(spark, vectors, tiles):
     table, values = vectors
     asked = [(i, values[f"d{i:03d}"]) for i in range(12)]
     queries = spark.createDataFrame(asked, "query_id long, embedding array<float>")
-    got = {(r.query_id, r.rank): r.id for r in search.search(table, queries, 10, chunk_rows).collect()}
+    got = {(r.query_id, r.rank): r.id for r in search.search(table, queries, 10, *tiles).collect()}
     for q, vector in asked:
         scores = {i: round(float(np.dot(np.float64(v), np.float64(vector))), 6) for i, v in values.items()}
         best = sorted(scores, key=lambda i: (-scores[i], i))[:10]
@@ -46,6 +46,35 @@ def test_search_limits(spark, vectors):
         search.search_text(table, "ab")
 
 
+def test_many_queries_stay_off_the_driver(spark, vectors, monkeypatch):
+    """50,000 queries: nothing is collected or broadcast by hand while the search is built."""
+    table, values = vectors
+    names = sorted(values)[:250]
+    every = spark.range(50_000).withColumn("at", F.col("id") % 250)
+    known = spark.createDataFrame([(i, values[n]) for i, n in enumerate(names)], "at long, embedding array<float>")
+    queries = every.join(known, "at").select(F.col("id").alias("query_id"), "embedding")
+
+    def refuse(*_):
+        raise AssertionError("rows went to the driver")
+
+    kind = type(queries)
+    with monkeypatch.context() as patched:
+        for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+            patched.setattr(kind, name, refuse)
+        patched.setattr(type(spark.sparkContext), "broadcast", refuse)
+        found = search.search(table, queries, 3)
+        assert found.count() == 150_000
+    own = found.where("rank = 1").withColumn("wanted", F.format_string("d%03d", F.col("query_id") % 250))
+    assert own.where("score < 0.999999").isEmpty() and own.where("id <> wanted and score < 1.0").isEmpty()
+
+
+def test_short_queries_get_a_reason(spark):
+    asked = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc"), (4, "")], "item long, t string")
+    accepted, refused = search.judged_queries(asked, "item", "t")
+    assert [r.item for r in accepted.collect()] == [3]
+    assert {(r.query_id, r.reason) for r in refused.collect()} == {(i, "a query needs at least 3 characters") for i in (1, 2, 4)}
+
+
 def test_text_finds_itself(spark):
     rng = random.Random(2)
     texts = [(f"n{i}.md", " ".join(rng.choices(["red", "blue", "green", "sum", "map", "fold"], k=20)) + f" u{i}") for i in range(40)]
@@ -151,7 +180,7 @@ def test_equal_queries_and_null_vectors(spark, vectors):
     more = table.unionByName(spark.createDataFrame([("none", None)], table.schema))
     vector = values["d003"]
     asked = spark.createDataFrame([(1, vector), (2, vector), (2, vector), (3, None)], "query_id long, embedding array<float>")
-    rows = search.search(more, asked, 1, chunk_rows=1).collect()
+    rows = search.search(more, asked, 1, query_tile=1).collect()
     assert sorted((r.query_id, r.id, r.rank) for r in rows) == [(1, "d003", 1), (2, "d003", 1)]
 
 

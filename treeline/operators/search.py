@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from treeline.functions import paths, text
@@ -17,6 +17,7 @@ MIN_QUERY_CHARS = 3
 MAX_K = 50
 _SPACE = " \t\n\r\f\v"
 _KNOWN_TERMS = 1 << 18
+_STRIPE = 8  # tiles of vectors that a tile of queries meets at once
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -87,91 +88,120 @@ def embed(
     return source.mapInArrow(run, schema)
 
 
-def _partition_top(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Best ``k`` of every partition for every query, one matrix product per batch."""
-    spark = vectors.sparkSession
-    shipped = spark.sparkContext.broadcast((query_ids, queries))
-    id_type = vectors.schema["id"].dataType
-    width = queries.shape[1]
+def _packed(rows: DataFrame, id_col: str, size: int, name: str) -> DataFrame:
+    """``rows (id, embedding)`` as tiles of up to ``size``: ``tile, ids, matrix, width``; rows stay where they lie."""
+    source = rows.select(F.col(id_col).alias("id"), "embedding")
+    kind = source.schema["id"].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, held, count = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def tile() -> pa.RecordBatch:
+            names, matrix = pa.concat_arrays(ids), np.concatenate(held)
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                pa.array([matrix.tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32()),
+            ], ["tile", "ids", "matrix", "width"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shipped.value
-        best_score = best_id = None
         for batch in batches:
-            ids = np.array(batch.column("id").to_pylist())
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            # rows in id order and a stable sort: ties go to the smaller id
-            order = np.argsort(ids, kind="stable")
-            rows = flat.reshape(-1, width)[order].astype(np.float64)
-            scores = (matrix @ rows.T).round(6)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            score, name = np.take_along_axis(scores, top, axis=1), ids[order][top]
-            if best_score is not None:
-                score, name = np.hstack([best_score, score]), np.hstack([best_id, name])
-                top = np.lexsort((name, -score), axis=1)[:, :k]
-                score = np.take_along_axis(score, top, axis=1)
-                name = np.take_along_axis(name, top, axis=1)
-            best_score, best_id = score, name
-        if best_score is not None:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(names, best_score.shape[1])),
-                    pa.array(best_id.ravel().tolist()),
-                    pa.array(best_score.ravel()),
-                ],
-                ["query_id", "id", "score"],
-            )
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                lists = part.column("embedding")
+                matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+                if count + len(matrix) > size:
+                    yield tile()
+                    number, ids, held, count = number + 1, [], [], 0
+                ids.append(part.column("id"))
+                held.append(matrix)
+                count += len(matrix)
+        if count:
+            yield tile()
 
     schema = T.StructType([
-        T.StructField("query_id", T.LongType()), T.StructField("id", id_type),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("tile", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
+        T.StructField("matrix", T.BinaryType()), T.StructField("width", T.IntegerType()),
     ])
-    return vectors.select("id", "embedding").mapInArrow(score, schema)
+    return materialize(source.mapInArrow(pack, schema), name)
+
+
+def _best(names: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest scores of every row with their names, ties to smaller names."""
+    order = np.lexsort((names, -scores), axis=1)[:, :k]
+    return np.take_along_axis(names, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
 
+def _cell_scores(cells: DataFrame, kind: T.DataType, k: int) -> DataFrame:
+    """``query_id, id, score``: the best ``k`` of every query in the cells of a task that follow one another."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = asked = names = scores = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(asked, scores.shape[1]), pa.int64()), pa.array(names.ravel().tolist()), pa.array(scores.ravel()),
+            ], ["query_id", "id", "score"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                query_tile, width = batch.column("query_tile")[i].as_py(), batch.column("width")[i].as_py()
+                if query_tile != current:
+                    if current is not None:
+                        yield out()
+                    current, names = query_tile, None
+                    asked = np.array(batch.column("query_ids")[i].as_py(), np.int64)
+                queries = np.frombuffer(batch.column("query_matrix")[i].as_py()).reshape(-1, width)
+                here = np.frombuffer(batch.column("matrix")[i].as_py()).reshape(-1, width)
+                ids = np.array(batch.column("ids")[i].as_py())
+                order = np.argsort(ids, kind="stable")
+                found = (queries @ here[order].T).round(6)
+                top = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                better = ids[order][top], np.take_along_axis(found, top, axis=1)
+                if names is not None:
+                    better = _best(np.hstack([names, better[0]]), np.hstack([scores, better[1]]), k)
+                names, scores = better
+        if current is not None:
+            yield out()
 
-def _query_chunks(queries: DataFrame, chunk_rows: int) -> list[DataFrame]:
-    """``queries`` hashed into chunks of about ``chunk_rows`` rows."""
-    chunks = max(1, math.ceil(queries.count() / chunk_rows))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
-    return [queries.where(number == chunk) for chunk in range(chunks)]
+    schema = T.StructType([
+        T.StructField("query_id", T.LongType()), T.StructField("id", kind), T.StructField("score", T.DoubleType()),
+    ])
+    return cells.select("query_tile", "query_ids", "query_matrix", "ids", "matrix", "width").mapInArrow(score, schema)
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, chunk_rows: int = 2048, max_k: int = MAX_K
+    vectors: DataFrame, queries: DataFrame, k: int = 10, query_tile: int = 512, vector_tile: int = 4096, max_k: int = MAX_K
 ) -> DataFrame:
     """The ``k`` best vectors of every query: ``query_id, id, score, rank``.
 
     ``queries`` has ``query_id, embedding``; a ``query_id`` names one query, and
-    rows without id or vector are left out on either side. A few queries travel to
-    the vectors; more go in chunks, each with its own pass. Vectors are scored
-    where they lie and only ``k`` rows per partition and query are shuffled. Ties
-    rank by id. ``max_k`` is the largest ``k`` that a caller may ask for.
+    rows without id or vector are left out on either side. Vectors and queries are
+    written as tiles, and every tile of queries meets every tile of vectors in a
+    join on the numbers of stripes of vector tiles: a cell is one matrix product,
+    and tasks keep ``k`` rows per query. Neither side passes through the driver or is
+    held by one task. Ties rank by id. ``max_k`` is the largest ``k`` that a caller
+    may ask for.
     """
     if not 1 <= k <= max_k:
         raise ValueError(f"k must lie in 1..{max_k}")
-    asked = materialize(
-        queries.select("query_id", "embedding").where("query_id is not null and embedding is not null")
-        .dropDuplicates(["query_id"]), "queries",
-    )
-    vectors = vectors.where("id is not null and embedding is not null")
-    found = None
-    for chunk in _query_chunks(asked, chunk_rows):
-        rows = chunk.collect()
-        if not rows:
-            continue
-        part = _partition_top(
-            vectors, np.array([r[0] for r in rows], dtype=np.int64),
-            np.array([r[1] for r in rows], dtype=np.float64), k,
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.limit(0).select(
-            F.lit(0).cast("bigint").alias("query_id"), "id", F.lit(0.0).alias("score")
-        )
+    asked = queries.select("query_id", "embedding").where("query_id is not null and embedding is not null").dropDuplicates(["query_id"])
+    asking = _packed(asked.withColumn("query_id", F.col("query_id").cast("long")), "query_id", query_tile, "query-tiles")
+    tiles = _packed(vectors.where("id is not null and embedding is not null"), "id", vector_tile, "vector-tiles")
+    stripes = tiles.count() // _STRIPE + 1
+    met = asking.select(
+        F.col("tile").alias("query_tile"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"),
+        F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"),
+    ).join(tiles.withColumn("stripe", F.pmod(F.xxhash64("tile"), F.lit(stripes)).cast("int")), "stripe")
+    found = _cell_scores(met, vectors.schema["id"].dataType, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def judged_queries(asked: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Queries that can be asked, and ``query_id, reason`` of those that cannot."""
+    short = F.coalesce(F.length(text_col) < MIN_QUERY_CHARS, F.lit(True))
+    reason = F.concat(F.lit("a query needs at least "), F.lit(MIN_QUERY_CHARS), F.lit(" characters"))
+    return asked.where(~short), asked.where(short).select(F.col(id_col).alias("query_id"), reason.alias("reason"))
+
+
 def search_text(
     vectors: DataFrame, query: str, k: int = 10, encode: Encoder | None = None
 ) -> DataFrame:
