@@ -89,3 +89,12 @@ def test_hub_whose_copies_are_unlike_each_other(documents, prose):
             copy[at] = f"new{k}x{at}"
         made.append((k, " ".join(copy), "s"))
     assert {r.component_id for r in near_duplicates(documents(made), size=2).collect()} == {0}
+
+
+def test_words_built_to_collide(documents):
+    """A Thue-Morse word of 1,024 letters and its complement have equal sums of powers modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(1, one, "s"), (2, other, "s"), (3, f"x {one} y", "s"), (4, f"x {other} y", "s"), (5, one, "s")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows), size=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}

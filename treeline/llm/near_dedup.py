@@ -58,7 +58,7 @@ _BLOCK = 2048  # shingles hashed at once
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
     for _, data, offsets in text_buffers(column):
-        found = words(data, offsets, _IS_WORD)
+        found = words(data, offsets, _IS_WORD, strong=True)
         runs = found.hashes
         for k in range(1, size):
             runs = mixed(runs[:-1] * np.uint64(3) + found.hashes[k:]) if len(runs) > 1 else runs[:0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -68,8 +69,22 @@ def text_buffers(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int,
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
-    """Words of the texts, A-Z lower-cased; ``is_word`` tells by lower-cased byte."""
+def _digests(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BLAKE2 hashes of words that stand one behind the other; each distinct word is hashed once."""
+    bounds = np.append(0, ends)
+    coded = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]
+    ).dictionary_encode()
+    hashes = b"".join([blake2b(w, digest_size=8).digest() for w in coded.dictionary.to_pylist()])
+    return np.frombuffer(hashes, np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, strong: bool = False) -> Words:
+    """Words of the texts, A-Z lower-cased; ``is_word`` tells by lower-cased byte.
+
+    Hashes are sums of powers, which differ in places only and collide for some built
+    words; ``strong`` ones come from the words' bytes as a whole.
+    """
     low = LOWER[data]
     inside = is_word[low]
     before = np.zeros(len(data) + 1, bool)
@@ -80,6 +95,8 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     after[:-1] = inside
     after[offsets] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
+    if strong:
+        return Words(np.searchsorted(starts, offsets), starts, ends, _digests(low[inside], np.cumsum(ends - starts)))
     hashes = np.empty(len(starts), np.uint64)
     done = 0
     while done < len(starts):
