@@ -220,7 +220,8 @@ def encode(documents: DataFrame, path: str = MODEL, check: bool = False) -> Data
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """``encoded (ids, ...)`` with the ``decoded`` texts; null ids have none."""
+    """``encoded (ids, ...)`` with the ``decoded`` texts; null ids have none. A column of that name is replaced."""
+    encoded = encoded.drop("decoded")
     vocabulary = load(path).parts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
