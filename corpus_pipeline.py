@@ -8,7 +8,8 @@ again as the next one's ``docs``.
 - lines: boilerplate lines that many sites carry go, but for their first occurrence,
 - near_duplicates: one document of each group stays (five-word shingles, 0.8),
 - decontamination: documents that hold a benchmark passage go,
-- tokens: SentencePiece ids beside the columns of ``documents``.
+- tokens: SentencePiece ids beside the columns of ``documents``; columns there that are
+  called ``ids`` or ``n_tokens`` give way to those of the stage.
 
 Rows are judged by their own text, with or without an id; in a group of near
 copies a row with the smallest id stays, or one without where no row has an id.
@@ -42,8 +43,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(docs)
+    own = {"n_tokens", "ids"}
     return encoded.select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns],
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own],
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
     )
 
