@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from treeline.llm import queries  # noqa: E402
+from treeline.llm import pieces, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,15 @@ def test_stages_take_effect(spark, folder):
     assert out[202]["ids"] is None and out[203]["ids"] == [] and out[5].n_tokens == len(out[5]["ids"]) > 0
 
 
+def test_columns_named_like_those_of_the_last_stage(spark, folder, tmp_path):
+    clashing = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'mine' AS ids", "7 AS N_Tokens", "1 AS decoded")
+    out = corpus_pipeline.tokenize(spark, clashing, folder)
+    assert out.columns.count("ids") == 1 and "N_Tokens" not in out.columns and dict(out.dtypes)["ids"] == "array<int>"
+    back = pieces.decode(out.where("doc_id = 5"))
+    row = back.first()
+    assert back.columns.count("decoded") == 1 and row.decoded == row.text
+
+
 def test_empty_tables(spark, folder, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
@@ -42,5 +51,5 @@ def test_empty_tables(spark, folder, documents, tmp_path):
 
 def test_queries_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
