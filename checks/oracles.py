@@ -548,6 +548,10 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'links', '{"source":"' || src || '","target":"' || dst || '","relationship":"' || relationship || '"'
         || coalesce(',"module":"' || module || '"', '') || '}' FROM edges"""),
     "gexf_edges": _with(GRAPH, "SELECT src AS source, dst AS target, relationship FROM edges"),
+    "graph_document": _with(GRAPH, """SELECT true AS directed, false AS multigraph, 'nodes' AS section, id AS a, type AS b, '' AS kind FROM nodes
+      UNION ALL SELECT true, false, 'links', src, dst, relationship FROM edges"""),
+    "gexf_document": _with(GRAPH, """SELECT 'node' AS section, id AS a, id AS b, type AS kind FROM nodes
+      UNION ALL SELECT 'edge', src, dst, relationship FROM edges"""),
     "file_cycles": _with(_FILE_CYCLES, "SELECT * FROM cycles", recursive=True),
     "first_cycles": _with(_FILE_CYCLES, "SELECT * FROM cycles ORDER BY length, chain LIMIT 10", recursive=True),
     "event_cycles": _with(TRANSITIONS + "," + _cycles("transitions"), "SELECT * FROM cycles", recursive=True),
