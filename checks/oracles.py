@@ -647,6 +647,17 @@ ORACLES: dict[str, str] = {
       "SELECT job_id, status, error, CASE WHEN error IS NULL THEN report END AS report FROM viewed"),
     "json_values": """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN
         CASE WHEN l_linenumber > 3 THEN 'inf' ELSE '-inf' END ELSE printf('%.1f', l_quantity) END AS value FROM lineitem""",
+    "nested_json_values": r"""WITH lines AS (
+        SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, '{"n":' || l_linenumber || ',"ratio":'
+          || CASE WHEN l_discount = 0 THEN CASE WHEN l_linenumber > 3 THEN '"inf"' ELSE '"-inf"' END ELSE printf('%.1f', round(l_quantity)) END
+          || ',"z":{"real":' || printf('%.1f', round(l_quantity)) || ',"imag":'
+          || CASE WHEN l_discount = 0 THEN '"-inf"' ELSE '0.0' END || '}}' AS line,
+          CASE WHEN l_discount = 0 THEN CASE WHEN l_linenumber > 3 THEN 'inf' ELSE '-inf' END::DOUBLE ELSE round(l_quantity) END AS ratio, round(l_quantity) AS amount FROM lineitem)
+      SELECT l_orderkey, md5('{"l_orderkey":' || l_orderkey || ',"lines":[' || string_agg(line, ',' ORDER BY l_linenumber, ratio, amount) || '],"flags":['
+        || (SELECT string_agg('"' || f || '"', ',' ORDER BY f) FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem i WHERE i.l_orderkey = lines.l_orderkey))
+        || '],"by status":{' || (SELECT string_agg('"' || f || '":"inf"', ',' ORDER BY f) FROM (
+          SELECT DISTINCT l_linestatus AS f FROM lineitem i WHERE i.l_orderkey = lines.l_orderkey)) || '},"none":null}') AS json
+      FROM lines GROUP BY l_orderkey""",
     "humanized_numbers": r"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN 'N/A'
         ELSE regexp_replace(format('{:,.3f}', l_extendedprice), '\.?0+$', '') END AS grouped,
       CASE WHEN floor(l_extendedprice) > 1000 THEN printf('%.1f',

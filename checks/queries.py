@@ -8,7 +8,7 @@ from functools import wraps
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from treeline.functions import paths, scores, text
+from treeline.functions import paths, scores, text, values
 from treeline.operators import components, cycles, enrich, functions as spans, graph, imports, jobs
 from treeline.operators import lexical, metrics, minhash, search, simhash, similarity
 from treeline.operators.facts import facts
@@ -687,6 +687,23 @@ def json_values(spark, sf_dir):
     )
 
 
+@query
+def nested_json_values(spark, sf_dir):
+    """Orders as nested objects with infinities, sets, maps and complex numbers."""
+    ratio = F.when(F.col("l_discount") == 0, F.lit(float("inf")) * (F.col("l_linenumber") - 3.5)).otherwise(
+        F.round(F.col("l_quantity"), 0)
+    )
+    line = F.struct(F.col("l_linenumber").cast("int").alias("n"), ratio.alias("ratio"), F.struct(
+        F.round("l_quantity", 0).alias("real"), F.when(F.col("l_discount") == 0, F.lit(float("-inf"))).otherwise(0.0).alias("imag")
+    ).alias("z"))
+    orders = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(line)).alias("lines"), F.collect_list("l_returnflag").alias("flags"),
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("l_linestatus", F.lit(float("inf")))))).alias("by status"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    return orders.select("l_orderkey", F.md5(values.json_rows(orders, {"flags"})).alias("json"))
+
+
 @query
 def humanized_numbers(spark, sf_dir):
     price = F.col("l_extendedprice")
