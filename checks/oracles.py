@@ -626,6 +626,9 @@ ORACLES: dict[str, str] = {
     "current_jobs": _with(JOBS, """SELECT job_id, repo_url, status, error, report_path, summary,
       strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
       strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM jobs"""),
+    "job_snapshot": _with(JOBS, """SELECT job_id, repo_url, status, error, report_path, summary,
+      strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
+      strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM jobs"""),
     "final_status": f"""WITH failed AS (SELECT event_id, CASE event_type
         WHEN 'error' THEN ['Could not read ' || props, 'Code metrics failed: x']
         WHEN 'click' THEN ['Could not read ' || repeat(props, 200)]

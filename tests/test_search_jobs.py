@@ -175,6 +175,32 @@ def test_sinks(spark, golden, vectors, tmp_path):
     assert sinks.read_vectors(spark, str(tmp_path / "v"), "j").count() == len(values)
 
 
+@pytest.mark.parametrize("sizes", [(40,), (1, 39), (10, 10, 10, 10)])
+def test_snapshot_equals_all_changes(spark, tmp_path, sizes):
+    """Any split into batches, each merged twice and one delivered twice; late changes; a broken attempt."""
+    pick = random.Random(sum(sizes) + len(sizes))
+    rows = [
+        (f"j{pick.randrange(6)}", i, f"2024-01-01 00:00:{pick.randrange(60):02d}", pick.choice([None, f"u{i}"]),
+         pick.choice(["PENDING", "RUNNING", None]), pick.choice([None, f"e{i}"]), None, None) for i in range(40)
+    ]
+    schema = "job_id string, seq long, ts string, repo_url string, status string, error string, report_path string, summary string"
+    changes = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))
+    at, snapshots, start = str(tmp_path / "changes"), str(tmp_path / "snapshots"), 0
+    for number, size in enumerate(sizes):
+        batch = changes.where((F.col("seq") >= start) & (F.col("seq") < start + size))
+        for _ in range(2):
+            jobs.write_batch(batch, at, number)
+            got = jobs.refresh_snapshot(spark, at, snapshots)
+        start += size
+        expected = jobs.current_jobs(changes.where(F.col("seq") < start))
+        assert sorted(map(str, got.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+    unfinished = tmp_path / "snapshots" / "through=000000000099"
+    unfinished.mkdir()
+    (unfinished / "part-0.parquet").write_bytes(b"half")
+    again = jobs.refresh_snapshot(spark, at, snapshots)
+    assert sorted(map(str, again.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
 def test_equal_queries_and_null_vectors(spark, vectors):
     table, values = vectors
     more = table.unionByName(spark.createDataFrame([("none", None)], table.schema))
