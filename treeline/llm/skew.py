@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from treeline.llm.store import stored
+from treeline.llm.store import discard, stored
 
 
-def hot_keys(rows: DataFrame, key: str, shares: int = 4096) -> DataFrame:
-    """``key, salts``: the keys with over 1/``shares`` of all rows, so at most ``shares`` of them, to broadcast."""
+def hot_keys(rows: DataFrame, key: str, shares: int = 4096, brief: bool = False) -> DataFrame:
+    """``key, salts``: the keys with over 1/``shares`` of all rows, so at most ``shares`` of them, to broadcast.
+
+    ``brief`` writes these few and deletes the counts of all keys at once.
+    """
     counts = stored(rows.groupBy(key).agg(F.count("*").alias("copies")), f"{key}-counts")
     share = max(1.0, (counts.agg(F.sum("copies")).first()[0] or 0) / shares)
     hot = counts.where(F.col("copies") > share).select(key, F.ceil(F.col("copies") / share).cast("long").alias("salts"))
+    if brief:
+        hot = stored(hot, f"{key}-hot")
+        discard(counts)
     return F.broadcast(hot)
 
 

@@ -269,14 +269,14 @@ def _verdicts(suspects: DataFrame, packed: DataFrame) -> DataFrame:
         F.count("*").alias("copies"), F.max("windows").alias("windows")
     ), "stretch-classes")
     contested = classes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    hot = hot_keys(classes.select("head"), "head")
+    hot = hot_keys(classes.select("head"), "head", brief=True)
     rivals = stored(salted(classes, "head", hot, "whole").join(
         for_every_salt(contested, "head", hot), ["head", "salt"]
     ).select("head", "whole"), "rivals")
     # one occurrence of each, listed by document
     name = F.struct("head", "whole")
     named = suspects.withColumn("name", name)
-    hot_names = hot_keys(named.select("name"), "name")
+    hot_names = hot_keys(named.select("name"), "name", brief=True)
     own = salted(named, "name", hot_names, "key", "start").join(
         for_every_salt(rivals.select(name.alias("name")), "name", hot_names), ["name", "salt"]
     )
@@ -302,7 +302,8 @@ def _verdicts(suspects: DataFrame, packed: DataFrame) -> DataFrame:
     )).alias("runs"))
     rest = partial.join(whole, "name", "left_anti")
     verdicts = stored(whole.unionByName(rest), "verdicts")
-    discard(strings)
+    for table in (strings, rivals, classes):
+        discard(table)
     return verdicts
 
 
@@ -311,7 +312,7 @@ _PRINT = f"string struct<first:bigint,second:bigint>, name {_NAME}, at int"
 
 def _twice(prints: DataFrame) -> DataFrame:
     """``name, at`` of the fingerprints that occur more than once."""
-    hot = hot_keys(prints.select("string"), "string")
+    hot = hot_keys(prints.select("string"), "string", brief=True)
     twice = prints.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     return salted(prints, "string", hot, "name").join(
         for_every_salt(twice, "string", hot), ["string", "salt"]
@@ -335,7 +336,7 @@ def repeated_strings(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     index = SuffixLevels(spark)
     for number in range(batches):
         index.add(found.where(F.col("batch") == number))
-    hot = hot_keys(found.select("head"), "head")
+    hot = hot_keys(found.select("head"), "head", brief=True)
     suspects = stored(salted(found.drop("batch"), "head", hot, "key", "start").join(
         for_every_salt(index.repeated_heads(), "head", hot), ["head", "salt"]
     ).drop("salt"), "suspects")
@@ -344,7 +345,7 @@ def repeated_strings(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     packed = texts.mapInArrow(_packed, "doc_id long, key binary, n_bytes long, packed binary")
     verdicts = _verdicts(suspects, packed)
     named = suspects.select("key", "start", F.struct("head", "whole").alias("name"))
-    hot_names = hot_keys(named.select("name"), "name")
+    hot_names = hot_keys(named.select("name"), "name", brief=True)
     spans = salted(named, "name", hot_names, "key", "start").join(
         for_every_salt(verdicts, "name", hot_names), ["name", "salt"]
     ).select("key", F.transform("runs", lambda r: F.struct(
