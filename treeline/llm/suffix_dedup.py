@@ -344,7 +344,8 @@ def repeated_strings(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
         discard(table)
     packed = texts.mapInArrow(_packed, "doc_id long, key binary, n_bytes long, packed binary")
     verdicts = _verdicts(suspects, packed)
-    named = suspects.select("key", "start", F.struct("head", "whole").alias("name"))
+    # rows equal in id and text have one key: their spans count once, and each row gets that list
+    named = suspects.select("key", "start", F.struct("head", "whole").alias("name")).distinct()
     hot_names = hot_keys(named.select("name"), "name", brief=True)
     spans = salted(named, "name", hot_names, "key", "start").join(
         for_every_salt(verdicts, "name", hot_names), ["name", "salt"]
