@@ -5,8 +5,8 @@ signature has 128 minima; the forest reads it in 32 orders, rotations that start
 at every fourth value. A region is a prefix of an order. Regions begin 4 values
 deep, where a pair of similarity 0.8 meets in 13 of the 32 orders on average and
 in none once in 10^7. A region of up to ``crowd`` nodes makes all its pairs
-candidates. A larger one is led by its least node, and a node meets two leaders: the
-one of most of its regions, and the least.
+candidates. A larger one is led by its least node, and a node meets the ``LEADERS`` that
+lead the most of its regions.
 
 Candidates whose signatures agree in fewer values than chance allows a linked
 pair (five standard errors) are dropped; the others are confirmed on full sets.
@@ -43,7 +43,7 @@ from treeline.llm.store import row_key, stored
 from treeline.llm.words import mixed, text_buffers, words
 
 WORDS, SIMILARITY = 5, 80  # words of a shingle; percent
-VALUES, ORDERS, CROWD, WIDE = 128, 32, 8, 64
+VALUES, ORDERS, CROWD, LEADERS, WIDE = 128, 32, 8, 8, 64
 CELL_ROWS, CELL_SHINGLES = 1024, 1 << 20  # about what one part of a region holds
 DEPTH, PLACE = 4, 48  # values that make a region, and that sort an order
 
@@ -145,20 +145,18 @@ def _ordered(x: Column, y: Column) -> Column:
 
 
 def _near_pairs(met: DataFrame, crowd: int) -> DataFrame:
-    """All pairs of small regions, and each node of crowded ones with two of their leaders: distinct ``a, b``, a < b.
+    """All pairs of small regions, and each node of crowded ones with some of their leaders: distinct ``a, b``, a < b.
 
-    The leaders are the one that leads most of the node's regions and the least.
-    Regions that still hold several components then are judged by ``_crowd_pairs`` and ``exact``.
+    These are the ``LEADERS`` that lead the most of the node's regions. Regions that still hold several components then are judged by ``_crowd_pairs`` and ``exact``.
     """
     listed = met.where(F.col("size") <= crowd).groupBy("region").agg(F.collect_list("node").alias("n"))
     each = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, crowd), lambda y: _ordered(x, y))))
-    # a node shares the most regions with the leader most like it
+    # a node shares the most regions with the leaders most like it
     shared = met.where((F.col("size") > crowd) & (F.col("node") != F.col("leader"))).groupBy("node", "leader").agg(
         F.count("*").alias("regions")
     )
-    leaders = shared.groupBy("node").agg(
-        F.array_distinct(F.array(F.max(F.struct("regions", "leader"))["leader"], F.min("leader"))).alias("leaders")
-    )
+    best = F.sort_array(F.collect_list(F.struct("regions", "leader")), asc=False)  # one an order at most
+    leaders = shared.groupBy("node").agg(F.slice(best, 1, LEADERS)["leader"].alias("leaders"))
     star = leaders.select("node", F.explode_outer("leaders").alias("leader"))
     return listed.select(F.explode_outer(each).alias("p")).select("p.a", "p.b").unionByName(
         star.select(_ordered(F.col("leader"), F.col("node")).alias("p")).select("p.a", "p.b")
