@@ -68,6 +68,41 @@ def test_many_queries_stay_off_the_driver(spark, vectors, monkeypatch):
     assert own.where("score < 0.999999").isEmpty() and own.where("id <> wanted and score < 1.0").isEmpty()
 
 
+def test_model_is_loaded_once_a_worker(spark, tmp_path):
+    """A stub model gives the vectors of one batch call, whatever the batches, and tells who loaded it."""
+    loads = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(loads, "a") as log:
+            log.write(f"{os.getpid()}\n")
+        factors = np.random.default_rng(11).normal(size=(128, 6)).astype(np.float32)
+
+        def predict(texts):
+            counts = np.zeros((len(texts), 128), np.float32)
+            for row, one in zip(counts, texts):
+                for c in one:
+                    row[ord(c) % 128] += 1
+            return counts @ factors
+
+        return predict
+
+    texts = [(i, " ".join(["red", "blue", "x" * (i % 5)][: 1 + i % 3])) for i in range(200)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(texts, "n long, t string").repartition(8)
+    got = {r.id: r.embedding for r in search.embed_with_model(docs, "n", "t", load, batch_rows=7).collect()}
+    pids = open(loads).read().split()
+    assert len(pids) == len(set(pids))
+    plain = load()([t or "" for _, t in texts])
+    norms = np.linalg.norm(plain.astype(np.float64), axis=1, keepdims=True)
+    unit = np.divide(plain, norms, out=np.zeros_like(plain, dtype=np.float64), where=norms > 0)
+    assert np.allclose([got[i] for i, _ in texts], unit, atol=1e-6) and not any(got[200]) and not any(got[201])
+    found = search.search(
+        search.embed_with_model(docs, "n", "t", load), search.embed_with_model(docs.limit(3), "n", "t", load).withColumnRenamed("id", "query_id"), 1
+    )
+    assert all(r.score >= 0.999999 for r in found.collect())
+
+
 def test_short_queries_get_a_reason(spark):
     asked = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc"), (4, "")], "item long, t string")
     accepted, refused = search.judged_queries(asked, "item", "t")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from treeline.functions import paths, text
@@ -88,6 +89,22 @@ def embed(
     return source.mapInArrow(run, schema)
 
 
+def embed_with_model(
+    docs: DataFrame, id_col: str, text_col: str, load: Callable[[], Encoder], batch_rows: int = 64
+) -> DataFrame:
+    """``id, embedding``: unit vectors from a model that every Python worker loads once.
+
+    ``load`` builds or reads the model where it runs and returns the function that turns
+    an array of texts into a matrix with a row per text; it gets up to ``batch_rows``
+    texts at a time. A null text reads as empty; a zero vector stays one.
+    """
+    predict = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_rows)
+    rows = docs.select(F.col(id_col).alias("id"), predict(F.coalesce(F.col(text_col), F.lit(""))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+    unit = F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0).cast("float"))
+    return rows.withColumn("norm", norm).select("id", unit.alias("embedding"))
+
+
 def _packed(rows: DataFrame, id_col: str, size: int, name: str) -> DataFrame:
     """``rows (id, embedding)`` as tiles of up to ``size``: ``tile, ids, matrix, width``; rows stay where they lie."""
     source = rows.select(F.col(id_col).alias("id"), "embedding")
