@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline.operators import minhash, simhash
-from treeline.operators.buckets import bucket_pairs
+from treeline.operators.buckets import bucket_pairs, shared_buckets
 from treeline.session import materialize
 
 
@@ -43,6 +43,15 @@ def test_bucket_pairs_are_complete_with_a_hot_bucket(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_bucket_pairs_broadcast_no_rows(spark):
+    """Rows exploded from a small file are many; their estimate is that of the file."""
+    few = materialize(spark.range(100).select("id", F.sequence(F.lit(1), F.lit(50)).alias("keys")), "few")
+    rows = few.select("id", F.explode("keys").alias("key"))
+    for built in (shared_buckets(rows, ["key"], "id", 10), bucket_pairs(rows, ["key"], "id", 10)):
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.7])
 def test_pairs_equal_all_pairs(corpus, threshold):
     found = minhash.duplicates(corpus, threshold=threshold)
