@@ -1,11 +1,13 @@
 """MinHash, Simhash, bucket joins and leader groups against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from treeline.functions import text
 from treeline.operators import minhash, simhash
 from treeline.operators.buckets import bucket_pairs, shared_buckets
 from treeline.session import materialize
@@ -84,6 +86,34 @@ def test_signature_ignores_order_and_repeats():
     assert (minima(hashes) == minima(np.concatenate([hashes[::-1], hashes]))).all()
 
 
+ODD = ["", "abcd", "abcde", "ab\tcde \u2003 é中😀x" * 4, "aaaaaaa\u0085\u00a0b", "".join(map(chr, range(0x4E00, 0x4E00 + 7000))) * 2]
+
+
+def test_window_sets_and_counts_equal_brute_force(spark):
+    def windows(text):
+        t = re.sub(r"\s+", " ", text)
+        return {t[i : i + 5] for i in range(len(t) - 4)}
+
+    for a in ODD:
+        for b in ODD:
+            x, y = (s.tolist() for s in text.window_sets([text.collapsed(a), text.collapsed(b)], 5))
+            expected = windows(a), windows(b)
+            assert (len(x), len(y)) == tuple(map(len, expected)) and len({*x} & {*y}) == len(expected[0] & expected[1])
+    given = docs(spark, [*enumerate(ODD), (-1, None)])
+    assert {r.id: r.shingles for r in minhash.shingle_counts(given).collect()} == {-1: None} | {i: len(windows(t)) for i, t in enumerate(ODD)}
+    spaces = given.select("id", text.collapse_space(F.col("text")).alias("t")).collect()
+    assert {r.id: r.t for r in spaces} == {-1: None} | {i: text.collapsed(t) for i, t in enumerate(ODD)}
+    signed = {r.id for r in minhash.signatures(given).collect()}
+    assert signed == {i for i, t in enumerate(ODD) if windows(t)}
+
+
+def test_texts_travel_to_the_comparison_not_their_sets(spark):
+    """A set of shingles is many times its text."""
+    given = docs(spark, variants(5, 40))
+    plan = minhash.exact_jaccard(minhash.duplicates(given).pairs, given)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "array_intersect" not in plan
+
+
 def test_scopes_do_not_mix(spark):
     rows = [("r1", "a", "identical text body"), ("r2", "b", "identical text body")]
     given = minhash.scoped(spark.createDataFrame(rows, "repo string, p string, t string"), "p", "t", "repo")
