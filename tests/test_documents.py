@@ -46,6 +46,31 @@ def test_gexf_file(spark, graph, tmp_path):
     assert {v.get("value") for v in root.findall(".//g:node//g:attvalue", space)} == {"file"}
 
 
+def test_one_file_is_read_in_splits(spark, graph, tmp_path):
+    built, names = graph
+    small = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "4k")
+    try:
+        documents.write_graph_documents(spark, built, str(tmp_path / "json"))
+        read = documents.read_node_link(spark, str(tmp_path / "json"))
+        assert read.rdd.getNumPartitions() > 3
+        rows = read.collect()
+        documents.write_graph_documents(spark, built, str(tmp_path / "gexf"), "gexf")
+        nodes, edges = documents.read_gexf(spark, str(tmp_path / "gexf"))
+        assert nodes.rdd.getNumPartitions() > 3 and edges.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set(small, before)
+    assert {(r.directed, r.multigraph) for r in rows} == {(True, False)}
+    pairs = set(zip(names, names[1:]))
+    assert sorted(r.element.id for r in rows if r.section == "nodes") == sorted([*names, "x.js"])
+    assert {(r.element.source, r.element.target, r.element.relationship) for r in rows if r.section == "links"} == {(*p, "imports") for p in pairs}
+    plain = lambda n: n.replace("\x01", "")
+    assert sorted((r._id, r._label, r.attvalues.attvalue._value) for r in nodes.collect()) == sorted((plain(n), plain(n), "file") for n in [*names, "x.js"])
+    assert {(r._source, r._target, r.attvalues.attvalue._value) for r in edges.collect()} == {(plain(a), plain(b), "imports") for a, b in pairs}
+    assert len(rows) == 2 * len(names)
+
+
 def test_a_retried_task_leaves_no_second_fragment(spark, tmp_path):
     rows = [Row(repo="r", section="links", element='{"n":1}'), Row(repo="r", section="nodes", element='{"n":2}')]
     writer = documents.GraphDocumentWriter(str(tmp_path), "json")

@@ -154,3 +154,37 @@ def write_graph_documents(spark: SparkSession, graph: Graph, path: str, kind: st
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("repo", "section", "element").write.format(
         GraphDocument.name()
     ).option("path", path).option("kind", kind).mode("append").save()
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` of graph documents. Elements have a line each, so a file is read in splits."""
+    read = spark.read.text(path, lineSep="\n")
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
+def read_node_link(spark: SparkSession, path: str) -> DataFrame:
+    """``directed, multigraph, section, element`` of the JSON documents below ``path``."""
+    head = F.lit('{"directed":')
+    lines = _lines(spark, path)
+    flags = lines.where(F.col("line").startswith(head)).select(
+        "file", F.from_json(F.concat("line", F.lit("]}")), "directed boolean, multigraph boolean").alias("flags")
+    ).select("file", "flags.*")
+    element = F.from_json(
+        F.regexp_replace("line", ",$", ""), "id string, type string, source string, target string, relationship string"
+    )
+    elements = lines.where(F.col("line").startswith("{") & ~F.col("line").startswith(head)).select("file", element.alias("element"))
+    is_link = F.coalesce("element.source", "element.target", "element.relationship").isNotNull()
+    return elements.join(F.broadcast(flags), "file").select(
+        "directed", "multigraph", F.when(is_link, "links").otherwise("nodes").alias("section"), "element"
+    )
+
+
+def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``_id, _label, attvalues`` and edges ``_source, _target, attvalues`` of the GEXF documents below ``path``."""
+    value = "attvalues struct<attvalue:struct<_for:string,_value:string>>"
+
+    def elements(tag: str, schema: str) -> DataFrame:
+        own = _lines(spark, path).where(F.col("line").startswith(f"<{tag} "))
+        return own.select(F.from_xml("line", schema).alias("element")).select("element.*")
+
+    return elements("node", f"_id string, _label string, {value}"), elements("edge", f"_source string, _target string, {value}")
