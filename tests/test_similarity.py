@@ -73,6 +73,18 @@ def test_a_crowd_of_alike_texts_and_copies(spark):
     assert {(r.scope, r.id_a, r.id_b, r.copies_a, r.copies_b, round(r.jaccard, 9)) for r in got} == all_pairs(rows, 85)
 
 
+def test_shingles_with_one_number_lose_no_pair(spark, monkeypatch):
+    """The index only proposes: with 16 numbers for all shingles the pairs are the same."""
+    monkeypatch.setattr(similarity, "_scattered", lambda windows: np.array([sum(w) % 16 for w in windows.tolist()], np.uint64))
+    rows = texts(11, 30)
+    docs = spark.createDataFrame(rows, "scope string, id long, text string")
+    got = similarity.exact_pairs(docs).pairs.collect()
+    expected = all_pairs(rows, 85)
+    assert expected and {(r.scope, r.id_a, r.id_b, r.copies_a, r.copies_b, round(r.jaccard, 9)) for r in got} == expected
+    index = similarity.prefixes(similarity.text_classes(docs), np.zeros(0, "S20"), 85, 5)
+    assert dict(index.dtypes)["key"] == "bigint"
+
+
 def test_recall_of_the_estimate(spark):
     rows = texts(7, 60)
     docs = spark.createDataFrame(rows, "scope string, id long, text string")
