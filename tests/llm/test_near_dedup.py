@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from treeline.llm import near_dedup
 from treeline.llm.components import components
 from treeline.llm.near_dedup import near_duplicates, without_near_duplicates
 
@@ -98,3 +100,30 @@ def test_words_built_to_collide(documents):
     rows = [(1, one, "s"), (2, other, "s"), (3, f"x {one} y", "s"), (4, f"x {other} y", "s"), (5, one, "s")]
     got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows), size=2).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("options", [{}, {"parts": 0}])  # all pairs in cells, or near places first
+def test_a_crowd_without_links_is_not_joined_pair_by_pair(documents, prose, monkeypatch, options):
+    pick, base = random.Random(8), prose(200, 808).split()
+    made = []
+    for k in range(240):  # some 0.7 like each other, every tenth a close copy of the one before
+        copy = list(base) if k % 10 != 9 else made[-1][1].split()
+        for at in pick.sample(range(1, 199, 2), 9 if k % 10 != 9 else 2):
+            copy[at] = f"new{k}x{at}"
+        made.append((k, " ".join(copy), "s"))
+    joined, confirmed = [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *more: joined.append(pairs.count()) or confirmed(pairs, *more))
+    out = near_duplicates(documents(made), size=2, **options).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(made, 2)
+    assert len(joined) == 2  # the nodes' best candidates and those of leaders and small regions
+
+
+@pytest.mark.parametrize("others", [0, 200])  # a matrix of all nodes, or the listed pairs alone
+def test_listed_pairs_of_a_cell(others):
+    sets = [list(range(k, k + 100)) for k in (0, 10, 20, 1000, 1010)] + [[-k, -k - 1] for k in range(1, 2 * others + 1, 2)]
+    names = [k.to_bytes(2, "big") for k in range(len(sets))]
+    nodes = pa.table({"node": names, "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    listed = [(0, 1), (1, 2), (0, 2), (3, 4), (2, 3)] + [(k, k + 1) for k in range(5, len(sets) - 1)]
+    pairs = pa.table({"a": [names[a] for a, _ in listed], "b": [names[b] for _, b in listed]})
+    found = near_dedup._listed_links(80)(pairs, nodes).to_pylist()
+    assert [(r["a"], r["b"]) for r in found] == [(names[a], names[b]) for a, b in ((0, 1), (1, 2), (3, 4))]

@@ -11,15 +11,21 @@ lead the most of its regions.
 Candidates whose signatures agree in fewer values than chance allows a linked
 pair (five standard errors) are dropped; the others are confirmed on full sets.
 First every node checks one candidate below it, then pairs that two steps along
-these links do not join are checked. Last, the crowded regions that still
-hold several components are sorted along their orders, and each node meets the
+these links do not join are checked. Crowded regions that then still hold several
+components make crowds, by the nodes they share. In a crowd of up to ``parts`` parts
+(some 1,024 nodes each) all pairs of different components are compared in cells of two
+parts: no more pairs than the near places below would make.
+
+In larger crowds the regions are sorted along their orders, and each node meets the
 ``wide`` nodes before and behind it, those with the longest common prefixes: the
 depth at which nodes meet grows with the crowd. So n copies cost some n
-comparisons and not n².
+comparisons and not n². These pairs are compared on full sets in cells as well, of two
+parts of a crowd, so a set moves once for every part it meets and not once a pair.
 
-What is left are regions of more than ``wide`` nodes that still hold several
+What is left of them are regions of more than ``wide`` nodes that still hold several
 components, where a link may be no closer than many pairs without one. There all
-pairs of different components are compared, in cells of two parts of a region: on
+pairs of different components are compared, in cells of two parts of a region. Cells
+compare on
 signatures first; the nodes that may have a link are grouped by the regions they
 share, and all pairs of a group are compared on full sets.
 
@@ -36,6 +42,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.llm.components import components
@@ -43,7 +50,7 @@ from treeline.llm.store import row_key, stored
 from treeline.llm.words import mixed, text_buffers, words
 
 WORDS, SIMILARITY = 5, 80  # words of a shingle; percent
-VALUES, ORDERS, CROWD, LEADERS, WIDE = 128, 32, 8, 8, 64
+VALUES, ORDERS, CROWD, LEADERS, WIDE, PARTS = 128, 32, 8, 8, 64, 8
 CELL_ROWS, CELL_SHINGLES = 1024, 1 << 20  # about what one part of a region holds
 DEPTH, PLACE = 4, 48  # values that make a region, and that sort an order
 
@@ -174,10 +181,11 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.take_along_axis(values, along, 1).astype(">u4")
         places = [bytes([t]) + row.tobytes() for t, row in zip(tree.tolist(), chosen)]
         sketch = [row.tobytes() for row in values.astype(np.uint8)]
+        own = ["home", "size", "crowd", "part"]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(places, pa.binary()), batch.column("node"), batch.column("at").field("home"),
-             batch.column("at").field("size"), pa.array(sketch, pa.binary())],
-            names=["place", "node", "home", "size", "sketch"],
+            [pa.array(places, pa.binary()), batch.column("node"), *[batch.column("at").field(c) for c in own],
+             pa.array(sketch, pa.binary())],
+            names=["place", "node", *own, "sketch"],
         )
 
 
@@ -200,48 +208,65 @@ def _neighbours(wide: int, least: float):
                 right = right[same]
                 agree = (sketch[right] == sketch[right - k]).sum(1)
                 keep = agree >= least
-                found.append(np.stack([right[keep] - k, right[keep], agree[keep]], 1))
+                found.append(np.stack([right[keep] - k, right[keep]], 1))
             if found and len(pairs := np.concatenate(found)):
-                node = rows["node"].to_pylist()
-                ends = [sorted((node[i], node[j])) for i, j in pairs[:, :2].tolist()]
+                node, part = rows["node"].to_pylist(), rows["part"].to_numpy()
+                ends = [sorted((node[i], node[j])) for i, j in pairs.tolist()]
+                parts = np.sort(part[pairs], axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
+                    rows["crowd"].combine_chunks().take(pa.array(pairs[:, 0])), pa.array(parts[:, 0]), pa.array(parts[:, 1]),
                     pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary()),
-                    pa.array(pairs[:, 2], pa.int32()),
-                ], names=["a", "b", "same"])
+                ], names=["crowd", "x", "y", "a", "b"])
             last = rows.slice(max(0, rows.num_rows - wide)).to_batches()[0] if rows.num_rows else None
 
     return run
 
 
 def _mixed(met: DataFrame, homes: DataFrame, crowd: int) -> DataFrame:
-    """``region, tree, size, node, home`` of the regions of over ``crowd`` nodes that hold several components."""
+    """``region, tree, size, node, home, leader`` of the regions of over ``crowd`` nodes that hold several components."""
     crowded = met.where(F.col("size") > crowd).select("region", "tree", "size", "node").join(homes, "node", "left").select(
         "region", "tree", "size", "node", F.coalesce("component", "node").alias("home")
     )
     crowded = stored(crowded, "crowded")
-    mixed = stored(crowded.groupBy("region").agg(F.min("home").alias("x"), F.max("home").alias("y")).where(
-        "x <> y"
-    ).select("region"), "mixed-regions")
+    mixed = stored(crowded.groupBy("region").agg(
+        F.min("home").alias("x"), F.max("home").alias("y"), F.min("node").alias("leader")
+    ).where("x <> y").select("region", "leader"), "mixed-regions")
     return crowded.join(mixed, "region")
 
 
-def _crowd_pairs(met: DataFrame, nodes: DataFrame, homes: DataFrame, crowd: int, wide: int, least: float) -> DataFrame:
-    """``a, b, same``: near places in the sorted orders, in crowded regions that hold several components."""
-    rows = _mixed(met, homes, crowd).select("node", F.struct("tree", "home", "size").alias("at")).join(nodes, "node")
-    placed = stored(rows.select("node", "at", "signature").mapInArrow(
-        _placed, "place binary, node binary, home binary, size long, sketch binary"
+def _weight(shingles: Column) -> Column:
+    """The share of a part that a node's set takes."""
+    return F.greatest(F.lit(1 / CELL_ROWS), shingles / CELL_SHINGLES)
+
+
+def _crowds(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, crowd, part, parts, weight, signature``: regions that share nodes are one crowd, cut into parts."""
+    crowds = stored(components(mixed.select(F.col("node").alias("a"), F.col("leader").alias("b"))).join(
+        nodes.select("node", _weight(F.col("n_shingles")).alias("weight")), "node"
+    ), "crowds")
+    parts = crowds.groupBy("component").agg(F.ceil(F.sum("weight")).alias("parts"))
+    return stored(crowds.join(parts, "component").select(
+        "node", F.xxhash64("component").alias("crowd"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
+        "parts", "weight",
+    ).join(nodes.select("node", "signature"), "node"), "crowd-parts")
+
+
+def _crowd_pairs(mixed: DataFrame, crowds: DataFrame, wide: int, least: float) -> DataFrame:
+    """Distinct ``crowd, x, y, a, b`` (x and y: parts of the nodes): near places in the sorted orders of ``mixed`` regions."""
+    placed = stored(mixed.join(crowds, "node").select(
+        "node", F.struct("tree", "home", "size", "crowd", "part").alias("at"), "signature"
+    ).mapInArrow(
+        _placed, "place binary, node binary, home binary, size long, crowd long, part int, sketch binary"
     ), "places")
-    if placed.isEmpty():
-        return placed.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("same"))
     # all pairs of a region of up to wide + 1 nodes are near places, if no boundary of partitions cuts it
     whole = placed.where(F.col("size") <= wide + 1).repartition(F.substring("place", 1, 1 + 4 * DEPTH))
     cut = placed.where(F.col("size") > wide + 1).repartitionByRange("place")
     pairs = [
-        part.sortWithinPartitions("place", "node").select("place", "node", "home", "sketch").mapInArrow(
-            _neighbours(wide, least), "a binary, b binary, same int"
+        part.sortWithinPartitions("place", "node").select("place", "node", "home", "crowd", "part", "sketch").mapInArrow(
+            _neighbours(wide, least), "crowd long, x int, y int, a binary, b binary"
         ) for part in (whole, cut)
     ]
-    return pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.max("same").alias("same"))
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def _cells(rows: DataFrame, key: str) -> DataFrame:
@@ -345,6 +370,26 @@ def _joining(x: np.ndarray, y: np.ndarray) -> list[int]:
     return chosen
 
 
+def _listed_links(similarity: int):
+    """Links among the listed pairs of a cell, as many as join its nodes."""
+    def run(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
+        names = nodes["node"].combine_chunks()
+        i, j = (pc.index_in(pairs[c], names).to_numpy().astype(np.int64) for c in "ab")
+        sets = [np.asarray(s.values) for s in nodes["shingles"]]
+        sizes = np.array([len(s) for s in sets], np.float64)
+        (left, row), (right, column) = (np.unique(end, return_inverse=True) for end in (i, j))
+        if len(i) * 32 >= len(left) * len(right):
+            shared = _shared([sets[k] for k in left], [sets[k] for k in right])[row, column]
+        else:
+            shared = np.array([len(np.intersect1d(sets[a], sets[b], True)) for a, b in zip(i.tolist(), j.tolist())])
+        is_link = shared * 100.0 >= (sizes[i] + sizes[j] - shared) * similarity
+        i, j = i[is_link], j[is_link]
+        chosen = _joining(i, j)
+        return pa.table({"a": names.take(pa.array(i[chosen])), "b": names.take(pa.array(j[chosen]))})
+
+    return run
+
+
 def _linked(least: float, similarity: int):
     """Links of a cell, as many as join its components."""
     def run(cell: pa.Table) -> pa.Table:
@@ -414,7 +459,8 @@ def _listed(size: int):
 
 
 def near_duplicates(
-    documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, crowd: int = CROWD, wide: int = WIDE
+    documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, crowd: int = CROWD, wide: int = WIDE,
+    parts: int = PARTS,
 ) -> DataFrame:
     """``doc_id, key, n_shingles, component_id, kept`` of every row of ``documents (doc_id, text)``.
 
@@ -428,7 +474,7 @@ def near_duplicates(
     ), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")  # a row without id comes last
     nodes = stored(facts.where("node is not null").groupBy("node").agg(
-        F.min(first).alias("first"), F.any_value("signature").alias("signature")
+        F.min(first).alias("first"), F.any_value("signature").alias("signature"), F.any_value("n_shingles").alias("n_shingles")
     ), "nodes")
     signatures = nodes.select("node", "signature")
     sketches = signatures.mapInArrow(_sketches, "node binary, sketch binary")
@@ -452,11 +498,22 @@ def near_duplicates(
         joined = pairs.join(own[0], "a", "left").join(own[1], "b", "left")
         return joined.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
 
-    def exact(met: DataFrame, homes: DataFrame) -> DataFrame | None:
-        """Links between components that share a region too large for its near places."""
-        rows = stored(_mixed(met, homes, wide + 1).select(
-            "region", "node", "home", F.lit(1 / CELL_ROWS).alias("weight")
-        ).join(sketches, "node"), "mixed-crowds")
+    def by_cell(pairs: DataFrame) -> DataFrame:
+        """Links among ``pairs (crowd, x, y, a, b)``; a set goes to the cells where its node has a pair."""
+        cell = ["crowd", "x", "y"]
+        ends = [pairs.select(*cell, F.col(c).alias("node")).distinct() for c in "ab"]
+        taking = stored(ends[0].unionByName(ends[1]).distinct(), "cell-nodes")
+        sets = sets_of(taking.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        return stored(pairs.groupBy(*cell).cogroup(taking.join(sets, "node").groupBy(*cell)).applyInArrow(
+            _listed_links(similarity), "a binary, b binary"
+        ), "crowd-links")
+
+    def at_home(rows: DataFrame, homes: DataFrame) -> DataFrame:
+        return rows.join(homes, "node", "left").withColumn("home", F.coalesce("component", "node")).drop("component")
+
+    def exact(rows: DataFrame, homes: DataFrame) -> DataFrame | None:
+        """Links between components among the nodes of each region of ``rows (region, node, home, weight)``."""
+        rows = stored(rows.select("region", "node", "home", "weight").join(sketches, "node"), "mixed-crowds")
         if rows.isEmpty():
             return None
         flagged = stored(_cells(rows, "region").groupBy("region", "x", "y").applyInArrow(
@@ -467,10 +524,10 @@ def near_duplicates(
         leaders = flagged.groupBy("region").agg(F.min("node").alias("b"))
         groups = stored(components(flagged.join(leaders, "region").select(F.col("node").alias("a"), "b")), "groups")
         sets = sets_of(groups.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        weight = F.greatest(F.lit(1 / CELL_ROWS), F.size("shingles") / CELL_SHINGLES)
-        rows = groups.withColumnRenamed("component", "group").join(homes, "node", "left").select(
-            "node", "group", F.coalesce("component", "node").alias("home")
-        ).join(sketches, "node").join(sets, "node").withColumn("weight", weight)
+        weight = _weight(F.size("shingles"))
+        rows = at_home(groups.withColumnRenamed("component", "group"), homes).join(sketches, "node").join(
+            sets, "node"
+        ).withColumn("weight", weight)
         return stored(_cells(stored(rows, "promising-sets"), "group").groupBy("group", "x", "y").applyInArrow(
             _linked(least, similarity), "a binary, b binary"
         ), "exact-links")
@@ -491,15 +548,23 @@ def near_duplicates(
     ), "near-homes")
     links = stored(links.unionByName(_confirmed(apart(close, near), sets, similarity)), "links")
     homes = stored(components(links), "components")
-    others = _crowd_pairs(met, signatures, homes, crowd, wide, least).join(close, ["a", "b"], "left_anti")
-    others = stored(others, "crowd-pairs")
-    if not others.isEmpty():
-        more = stored(_confirmed(others, sets_of(others), similarity), "crowd-links")
-        links = links.unionByName(more)
-        homes = homes if more.isEmpty() else stored(components(links), "components")
-    more = exact(met, homes)
-    if more is not None:
-        homes = stored(components(links.unionByName(more)), "components")
+    mixed = stored(_mixed(met, homes, crowd), "mixed")
+    if not mixed.isEmpty():
+        crowds = _crowds(mixed, nodes)
+        few, many = crowds.where(F.col("parts") <= parts), crowds.where(F.col("parts") > parts).select("node")
+        more = exact(at_home(few.withColumnRenamed("crowd", "region"), homes), homes)
+        if more is not None:
+            links = links.unionByName(more)
+        if not many.isEmpty():
+            links = links.unionByName(by_cell(stored(
+                _crowd_pairs(mixed, crowds.where(F.col("parts") > parts), wide, least), "crowd-pairs"
+            )))
+            homes = stored(components(links), "components")
+            left = _mixed(met.join(many, "node", "left_semi"), homes, wide + 1)
+            more = exact(left.withColumn("weight", F.lit(1 / CELL_ROWS)), homes)
+            if more is not None:
+                links = links.unionByName(more)
+        homes = stored(components(links), "components")
     own = nodes.select("node", "first")
     component = stored(homes.join(own, "node").groupBy("component").agg(F.min("first").alias("least")), "component-ids")
     named = stored(homes.join(component, "component").select("node", "least"), "homes")
