@@ -1,8 +1,11 @@
+import random
 from hashlib import sha256
 
+import pyarrow as pa
 import pytest
 
-from treeline.llm.suffix_dedup import LENGTH, repeated_strings
+from treeline.llm import suffix_dedup
+from treeline.llm.suffix_dedup import BAND, LENGTH, SuffixLevels, repeated_strings
 
 
 def brute(rows):
@@ -78,3 +81,48 @@ def test_rows_equal_in_id_and_text(documents, prose):
 def test_empty_table_and_odd_rows(documents, odd):
     assert repeated_strings(documents([])).collect() == []
     assert repeated_strings(odd).count() == odd.count()
+
+
+def test_levels_merge_only_for_a_batch_to_come(spark, monkeypatch):
+    made, table = [], SuffixLevels._table
+    monkeypatch.setattr(SuffixLevels, "_table", staticmethod(lambda entries, size: made.append(size) or table(entries, size)))
+    index = SuffixLevels(spark)
+    for heads in ([1, 2, 2], [3, 4], [5, 3, 6], [6, 7, 8, 8, 8]):
+        index.add(spark.createDataFrame([(h, k) for k, h in enumerate(heads)], "head long, whole long"))
+    assert made == [0, 0, 1, 0, 0]
+    assert {(r.head, r.copies) for r in index.repeated_heads().collect()} == {(2, 2), (3, 0), (6, 0), (8, 3)}
+
+
+@pytest.mark.parametrize("all_bands", [True, False])
+def test_fingerprints_of_a_batch(all_bands, monkeypatch):
+    """One pass over the bytes of many stretches, with the spans that each names by itself."""
+    pick, rows, calls, hashes = random.Random(5), [], [], suffix_dedup.prefix_hashes
+    for k in range(60):
+        windows = pick.randint(1, 330)
+        shift = pick.randint(0, 336)
+        numbers = range(max(0, shift - windows + 1) // BAND, shift // BAND + 1)
+        rows.append((k, 2 * k, windows, shift, pick.randbytes(windows + LENGTH - 1), pick.sample(numbers, pick.randint(1, len(numbers)))))
+    names = ["head", "whole", "windows", "shift", "bytes", "bands"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    monkeypatch.setattr(suffix_dedup, "prefix_hashes", lambda *a: calls.append(1) or hashes(*a))
+    got = [tuple(r.values()) for out in suffix_dedup._fingerprints(all_bands)(iter([batch.slice(3)])) for r in out.to_pylist()]
+    assert len(calls) == 2
+    expected = []
+    for head, whole, windows, shift, raw, bands in rows[3:]:
+        for b in range(max(0, shift - windows + 1) // BAND, shift // BAND + 1) if all_bands else bands:
+            starts = [shift - b * BAND] if all_bands else range(max(0, shift - b * BAND - BAND + 1), min(windows, shift - b * BAND + 1))
+            for at in starts:
+                cut = suffix_dedup.np.frombuffer(raw[at : at + (LENGTH - BAND + 1 if all_bands else LENGTH)], "u1")
+                sums = [hashes(cut), hashes(cut, suffix_dedup.SECOND)]
+                ends = [suffix_dedup.np.array([0]), suffix_dedup.np.array([len(cut)])]
+                prints = [int(suffix_dedup.span_hashes(x, *ends).view("i8")[0]) for x in sums]
+                expected.append((*prints, head, whole, b if all_bands else at))
+    assert got == expected
+
+
+def test_window_numbers_as_runs():
+    at = [[5, 3, 4, 9], [10], [1, 0, 7, 6, 3]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), pa.array(at, pa.list_(pa.int32()))], names=["head", "whole", "at"])
+    got = [[(r["first"], r["last"]) for r in row["runs"]] for out in suffix_dedup._as_runs(iter([batch.slice(1), batch])) for row in out.to_pylist()]
+    assert got == [[(10, 10)], [(0, 1), (3, 3), (6, 7)], [(3, 5), (9, 9)], [(10, 10)], [(0, 1), (3, 3), (6, 7)]]
