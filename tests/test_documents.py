@@ -89,6 +89,42 @@ def test_a_retried_task_leaves_no_second_fragment(spark, tmp_path):
     writer.abort([])
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    element = lambda repo: Row(repo=repo, section="nodes", element="{}")
+    late = documents.GraphDocumentWriter(str(tmp_path), "json")
+    late.abort([])
+    with pytest.raises(FileNotFoundError):
+        late.write(iter([element("r")]))
+    assert os.listdir(tmp_path) == []
+    between = documents.GraphDocumentWriter(str(tmp_path), "json")
+
+    def rows():
+        yield element("r")
+        between.abort([])
+        yield element("s")
+
+    with pytest.raises(FileNotFoundError):
+        between.write(rows())
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_folder_that_fills_again_is_deleted_again(tmp_path, monkeypatch):
+    writer, deleted = documents.GraphDocumentWriter(str(tmp_path), "json"), []
+    system, root, parts = writer._open()
+
+    class Filled(type(system)):
+        def delete_dir(self, path):
+            deleted.append(path)
+            if len(deleted) < 3:
+                raise OSError("Directory not empty")
+            system.delete_dir(path)
+
+    monkeypatch.setattr(writer, "_open", lambda: (Filled(), root, parts))
+    writer.abort([])
+    assert len(deleted) == 3 and os.listdir(tmp_path) == []
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     from pyspark.sql import functions as F
 

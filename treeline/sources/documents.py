@@ -3,12 +3,14 @@
 Every task writes the elements of its rows as fragments of their own, under names
 that no other attempt uses. When all tasks have ended, header, fragments in order
 and footer are copied into one file per repository, block by block, and the folder
-of fragments goes with whatever failed attempts left there. Elements are never
+of fragments goes with whatever failed attempts left there. Tasks never make that
+folder, so those that outlive a failed job find none and end. Elements are never
 gathered; only the names of fragments reach the driver.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +38,7 @@ _FRAMES = {
 }
 _SECTIONS = ("nodes", "links")
 _COPIED = 1 << 22  # bytes copied at once
+_TRIES = 20  # to delete a folder that tasks of a failed job still write to
 
 
 @dataclass
@@ -51,15 +54,20 @@ class GraphDocumentWriter(DataSourceWriter):
             raise ValueError(f"kind must be one of {sorted(_FRAMES)}")
         self.path, self.kind = path.rstrip("/"), kind
         self.parts = f"{self.path}/_fragments-{uuid.uuid4().hex}"
+        system, _, parts = self._open()
+        system.create_dir(parts, recursive=True)
 
     def _open(self) -> tuple[fs.FileSystem, str, str]:
         system, root = fs.FileSystem.from_uri(self.path)
         return system, root, f"{root}/{self.parts.rsplit('/', 1)[1]}"
 
+    @staticmethod
+    def _is_dir(system: fs.FileSystem, path: str) -> bool:
+        return system.get_file_info(path).type == fs.FileType.Directory
+
     def write(self, iterator: Iterator[Row]) -> Fragments:
         """Rows come sorted by repository and section; each run of them is a fragment."""
         system, _, parts = self._open()
-        system.create_dir(parts, recursive=True)
         between = _FRAMES[self.kind][3].encode()
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         written, current, stream = [], None, None
@@ -71,6 +79,8 @@ class GraphDocumentWriter(DataSourceWriter):
                     current = row.repo, row.section
                     name = f"{task}-{len(written)}-{attempt}"
                     written.append((*current, task, len(written), name))
+                    if not self._is_dir(system, parts):  # some file systems would make it with the file
+                        raise FileNotFoundError(f"{parts}: the job is over")
                     stream = system.open_output_stream(f"{parts}/{name}")
                 else:
                     stream.write(between)
@@ -104,8 +114,15 @@ class GraphDocumentWriter(DataSourceWriter):
 
     def abort(self, messages: list[Fragments | None]) -> None:
         system, _, parts = self._open()
-        if system.get_file_info(parts).type == fs.FileType.Directory:
-            system.delete_dir(parts)
+        for left in reversed(range(_TRIES)):
+            try:
+                if self._is_dir(system, parts):
+                    system.delete_dir(parts)
+                return
+            except OSError:  # a fragment came while the folder was emptied
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class GraphDocument(DataSource):
