@@ -85,6 +85,52 @@ def test_shingles_with_one_number_lose_no_pair(spark, monkeypatch):
     assert dict(index.dtypes)["key"] == "bigint"
 
 
+@pytest.mark.parametrize("percent, k", [(85, 5), (40, 3), (100, 5), (1, 5)])
+def test_both_proposals_lose_no_pair(spark, monkeypatch, percent, k):
+    """Small tiles, so that bands meet in many cells; texts of many letters beside plain ones."""
+    monkeypatch.setattr(similarity, "TILE_ROWS", 3)
+    pick = random.Random(percent)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))
+    rows = texts(percent + 3, 25) + [("s", 900, wide), ("s", 901, wide[:8900]), ("s", 902, "".join(pick.choices("ab ", k=30000)))]
+    docs = spark.createDataFrame(rows, "scope string, id long, text string")
+    expected = all_pairs(rows, percent, k)
+    for propose in (similarity.sketch_candidates, similarity.prefix_candidates):
+        got = similarity.exact_pairs(docs, percent, k, propose).pairs.collect()
+        assert len(got) == len(expected) and (expected or percent == 100)
+        assert {(r.scope, r.id_a, r.id_b, r.copies_a, r.copies_b, round(r.jaccard, 9)) for r in got} == expected
+
+
+def test_common_shingles_make_no_rows(spark, monkeypatch):
+    """300 texts of 40 words share all their shingles; no row is made for a meeting, and few pairs are compared whole."""
+    pick = random.Random(8)
+    words = ["".join(pick.choices("abcdefgh", k=5)) for _ in range(40)]
+    rows = [("", i, " ".join(pick.choices(words, k=60))) for i in range(300)]
+    rows += [("", 1000 + i, rows[i][2] + " tail") for i in range(20)]
+    docs = spark.createDataFrame(rows, "scope string, id long, text string")
+    monkeypatch.setattr(similarity, "bucket_pairs", None)
+    got = similarity.exact_pairs(docs).pairs.collect()
+    expected = all_pairs(rows, 85)
+    assert {(r.scope, r.id_a, r.id_b, r.copies_a, r.copies_b, round(r.jaccard, 9)) for r in got} == expected
+    proposed = similarity.sketch_candidates(similarity.text_classes(docs), 85, 5).collect()
+    assert 20 <= len(expected) <= len(proposed) == len(set(proposed)) < 200  # of 51040 pairs
+
+
+def test_windows_and_blanks_as_before():
+    """Windows of any alphabet equal those cut one by one; runs of blanks equal the plain expression."""
+    import re
+
+    from treeline.functions import text as functions
+
+    pick = random.Random(2)
+    letters = " \t\n\x1c\x85\xa0\u2003\u3000abé中😀"
+    plain = re.compile(f"[{functions.SPACE}]+", re.ASCII)
+    for alphabet in (letters, "ab", "".join(map(chr, range(0x3400, 0x5400)))):
+        t = "".join(pick.choices(alphabet, k=9000 if len(alphabet) > 99 else 200))
+        assert functions.collapsed(t) == plain.sub(" ", t)
+        cut = sorted({t[i : i + 5].encode("utf-32-be") for i in range(len(t) - 4)})
+        assert [w.ljust(20, b"\0") for w in similarity._windows(t, 5).tolist()] == cut
+
+
 def test_recall_of_the_estimate(spark):
     rows = texts(7, 60)
     docs = spark.createDataFrame(rows, "scope string, id long, text string")
