@@ -131,6 +131,44 @@ def test_windows_and_blanks_as_before():
         assert [w.ljust(20, b"\0") for w in similarity._windows(t, 5).tolist()] == cut
 
 
+def test_links_leave_out_no_pair(spark, tmp_path):
+    """Copies, texts of one signature, pairs that the estimate misses and pairs that only it proposes."""
+    from checks.queries import QUERIES
+
+    pick = random.Random(6)
+    rows = []
+    for i in range(30):
+        base = [f"{pick.randrange(10**6):06d}" for _ in range(pick.choice([25, 300]))]
+        changed = list(base)
+        for _ in range(1 if len(base) == 25 else pick.choice([14, 18, 21, 22])):
+            changed[pick.randrange(len(base))] = f"{pick.randrange(10**6):06d}"
+        rows += [("", 100 + 10 * i, " ".join(base)), ("", 101 + 10 * i, " ".join(changed)), ("", 102 + 10 * i, " ".join(base) + "x")]
+    rows += [("", 9, "  " + rows[0][2]), ("", 8, rows[0][2].replace(" ", "\n")), ("", 3000, rows[3][2]), ("", 3000, rows[3][2])]
+    rows += [("", 5000, None), ("", 5001, "abc"), ("", 5002, "abc")]
+    ids = {}
+    for _, i, t in rows:
+        if t is not None and windows(t):
+            t = " ".join(t.split(" ")) if "\n" not in t else t.replace("\n", " ")
+            t = " " + t.strip() if t.startswith(" ") else t
+            ids.setdefault(t, set()).add(i)
+    first = {t: min(held) for t, held in ids.items()}
+    signed = {t: minhash.SlotMinima(128)(minhash.shingle_hashes(t, 5)) for t in first}
+    expected, kinds = set(), {"missed": 0, "only": 0, "same": 0}
+    for t, u in combinations(first, 2):
+        a, b = windows(t), windows(u)
+        exact, equal = 100 * len(a & b) >= 85 * len(a | b), int((signed[t] == signed[u]).sum())
+        kinds["missed"] += exact and equal < 109
+        kinds["only"] += not exact and equal >= 109
+        kinds["same"] += equal == 128
+        if exact or equal >= 109:
+            expected.add((min(first[t], first[u]), max(first[t], first[u]), round(len(a & b) / len(a | b), 6)))
+    expected |= {(first[t], i, 1.0) for t, held in ids.items() for i in held if i != first[t]}
+    assert min(kinds.values()) > 0, kinds
+    spark.createDataFrame([r[1:] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["exact_similarity"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_recall_of_the_estimate(spark):
     rows = texts(7, 60)
     docs = spark.createDataFrame(rows, "scope string, id long, text string")
