@@ -200,3 +200,13 @@ def test_no_texts(spark):
     assert similarity.exact_pairs(docs).pairs.collect() == []
     with pytest.raises(ValueError):
         similarity.exact_pairs(docs, percent=0)
+
+
+def test_recall_query_makes_no_rows_of_shared_shingles(spark, tmp_path, monkeypatch):
+    from checks.queries import QUERIES
+
+    rows = [("", i, t) for i, (_, _, t) in enumerate(texts(13, 25))]
+    spark.createDataFrame([r[1:] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(similarity, "bucket_pairs", None)
+    got = QUERIES["minhash_recall"](spark, str(tmp_path)).collect()
+    assert [r.exact_pairs for r in got] == [len(all_pairs(rows, 85))] and 0 < got[0].found_pairs <= got[0].exact_pairs
